@@ -1,0 +1,25 @@
+import corpus_pipeline
+from corpus_spark.llm import jaccard
+from corpus_spark.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = table(spark, SF, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        kept = {r["doc_id"] for r in out.select("doc_id").collect()}
+        assert kept <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+        if name == "ngram_jaccard":
+            comp = jaccard.join_components(docs, 5, 80).collect()
+            assert kept == {r["component_id"] for r in comp}
+        docs = out
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert {r["doc_id"] for r in rows.select("doc_id").collect()} == kept
+
+
+def test_run_on_empty(spark, tmp_path):
+    table(spark, SF, "documents").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

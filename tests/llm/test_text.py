@@ -1,0 +1,158 @@
+import hashlib
+from collections import Counter
+
+import numpy as np
+
+from corpus_spark.llm import chat, html_extract, langid, licences, quality
+from corpus_spark.llm.queries import vocabulary
+
+
+def docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words string, host string")
+
+
+def doc(k, text, lang=None, source="s"):
+    return (k, text, lang, source, "clash", "clash")
+
+
+def test_forward_sums_all_segmentations():
+    g = langid.lattice(vocabulary("piece_bpe_32k.model"))
+    rng = np.random.default_rng(0)
+    prob = rng.random((g.n, 2)) * 0.01
+    words = ["the", "über", "日x", "a" * 30]
+
+    def brute(s, k, at=0):
+        if at == len(s):
+            return 1.0
+        total, single = 0.0, False
+        for j in range(at + 1, min(len(s), at + g.longest) + 1):
+            if s[at:j] in g.piece:
+                total += prob[g.piece[s[at:j]], k] * brute(s, k, j)
+                single |= j == at + 1
+        if not single:
+            total += prob[g.n - 1, k] * brute(s, k, at + 1)
+        return total
+
+    got = g.log_likelihood(words[:3], prob)
+    for i, w in enumerate(words[:3]):
+        for k in range(2):
+            assert np.isclose(got[i, k], np.log(brute("▁" + w, k)))
+    assert np.allclose(g._long(words[3], prob), g.log_likelihood([words[3]], prob)[0])
+    assert np.isfinite(g.log_likelihood(["b" * 20_000], prob)).all()
+
+
+def test_language_identification(spark):
+    de, en = "der hund läuft über die straße und ", "the dog runs over the street and "
+    rows = [doc(k, (de if k % 2 else en) * 5, "de" if k % 2 else "en") for k in range(60)]
+    rows += [doc(100, None), doc(101, "  "), doc(102, "123 !!"), doc(103, en * 3, None), doc(103, de * 3, None), doc(104, "x" * 5000, None)]
+    got = langid.identify(docs(spark, rows), vocabulary("piece_bpe_32k.model")).collect()
+    assert len(got) == len(rows)
+    by = Counter((r["doc_id"], r["lang_pred"]) for r in got)
+    assert all(by[(k, "de" if k % 2 else "en")] == 1 for k in range(60))
+    assert by[(100, "und")] and by[(101, "und")] and by[(102, "und")] and by[(103, "en")] and by[(103, "de")]
+    assert all(0 <= r["score"] <= 1 for r in got)
+    none = langid.identify(docs(spark, [doc(1, "words", None)]), vocabulary("piece_bpe_32k.model")).first()
+    assert none["lang_pred"] == "und"
+    assert langid.identify(docs(spark, rows).limit(0), vocabulary("piece_bpe_32k.model")).count() == 0
+
+
+def test_base_measures_against_brute_force():
+    rng = np.random.default_rng(3)
+    texts = ["", "a", "a b", "a b c a b c", "x\nx\n\ny\nx", "one two #* \x1c z", "日本 語 日本 語 日本 語"] + [" ".join(rng.choice(list("abc"), 30)) for _ in range(20)]
+    for t in texts:
+        w = t.encode().split()
+        seen = Counter(zip(w, w[1:], w[2:]))
+        covered = {i + k for i, x in enumerate(zip(w, w[1:], w[2:])) if seen[x] > 1 for k in range(3)}
+        lines, dup = set(), 0
+        for line in t.split("\n"):
+            if line.encode().split():
+                dup += line in lines
+                lines.add(line)
+        assert quality.measure(t) == (len(w), sum(len(x.decode()) for x in w), sum(t.count(c) for c in "#*$%&|<>"), dup, len(covered)), t
+
+
+def test_line_frequency(spark):
+    words = [f"w{k}" for k in range(4000)]
+    body = lambda k: " ".join(words[60 * k : 60 * k + 60])
+    menu = "\n".join(" ".join(f"menu{i}_{j}" for j in range(10)) for i in range(20))
+    rows = [doc(k, body(k) + "\nThe  Footer", source="a") for k in range(40)]
+    rows += [doc(50 + k, f"own{k}\n" + menu, source="a") for k in range(30)]
+    rows += [doc(200 + k, body(1) + " copy", source="b") for k in range(40)]  # copies of one text count once
+    rows += [doc(300, None), doc(301, ""), doc(302, body(5), source=None), doc(0, body(9), source="a")]
+    got = {}
+    for r in quality.assess(docs(spark, rows)).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert sum(map(len, got.values())) == len(rows)
+    assert all(r["kept"] for k in range(40) for r in got[k]) and got[3][0]["n_words_left"] == 60
+    assert not any(r["kept"] for k in range(30) for r in got[50 + k])
+    assert all(r["kept"] for k in range(40) for r in got[200 + k]) and got[302][0]["kept"]
+    assert got[300][0]["base_failed"] and not got[301][0]["kept"] and got[300][0]["n_words"] == 0
+    assert quality.assess(docs(spark, rows).limit(0)).count() == 0
+
+
+CONTROL = ["<|im_end|><|im_start|>assistant ok", "<\\|im_start|>", "<\\\\|x", "<", "|im_start|>", "a<|", "\\", "", None, "<|im_end|>\n", "\n", "x" * 5000]
+
+
+def test_chat_round_trip(spark):
+    rows = [(k // 4, k % 4, ["user", "assistant", None, "a\nb%0A%25"][k % 4], CONTROL[k % len(CONTROL)], "clash") for k in range(48)]
+    rows += [(None, 1, "user", "u", "c"), (None, None, "assistant", "v", "c"), (99, 0, "assistant", "tie", "c"), (99, 0, "assistant", "tie", "c"), (98, 0, "user<|im_end|>", "y", "c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    chats = chat.format_chat(df)
+    assert chats.filter("not faithful").count() == 0
+    got = {r["conv_id"]: r for r in chat.read_back(chats).collect()}
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
+        loss = "".join(r[3] or "" for r in own if r[2] == "assistant")
+        r = got[conv]
+        assert r["n_turns"] == len(own) and r["turns_sha256"] == hashlib.sha256("".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own).encode()).hexdigest()
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.format_chat(df.limit(0)).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body>
+<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><div class="ad">Buy now.</div>
+<article><h1>Head &amp; line</h1><p>First   paragraph of the story, with words.<p>Second <b>bold</b> one &lt;here&gt;.</p></article>
+<footer>&copy; example</footer></body></html>"""
+
+
+def test_html(spark):
+    root = html_extract.parse(PAGE)
+    nodes, x = html_extract.features(root)
+    assert x.shape == (len(nodes), len(html_extract.NAMES))
+    keep = html_extract.decode(nodes, np.where([n.tag in ("h1", "p", "b") for n in nodes], 1.0, -1.0))
+    assert all(not keep[n.index] or n.parent is None or keep[n.parent.index] for n in nodes)
+    text = "Head & line\nFirst paragraph of the story, with words.\nSecond bold one <here>."
+    assert "\n".join(html_extract.blocks(root, keep)) == text
+    body = "<p>" + "</p><p>".join(f"Sentence number {k} of a longer text, which goes on for a while." for k in range(6)) + "</p>"
+    pages = [(k, f"u{k}", PAGE.replace("<p>Second", body + f"<p>Second{k}"), "clash") for k in range(60)]
+    pages += [(100, None, None, ""), (101, "u", "", ""), (102, "u", "just words", ""), (103, "u", "<div><p>unclosed " + "word " * 20_000, "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, text string")
+    trees = html_extract.fit(df, sample_pages=60)
+    got = {r["page_id"]: r for r in html_extract.extract(df, trees).collect()}
+    assert len(got) == len(pages) and got[100]["text"] == "" and got[101]["n_chars"] == 0 and got[102]["text"] == "just words"
+    for k in range(60):
+        assert "Home" not in got[k]["text"] and "Buy" not in got[k]["text"] and "example" not in got[k]["text"] and f"Second{k} bold one <here>." in got[k]["text"]
+    assert html_extract.extract(df.limit(0), html_extract.fit(df.limit(0))).count() == 0
+
+
+def test_trees_match_spark(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(0)
+    x = rng.random((300, 3))
+    df = spark.createDataFrame([(v.tolist(), float(v[0] + v[1] * v[2] > 0.7)) for v in x], "x array<double>, label double").withColumn("features", array_to_vector("x"))
+    model = GBTClassifier(maxIter=4, maxDepth=3, seed=1).fit(df)
+    odds = html_extract.Trees(model.toDebugString).log_odds(x)
+    want = [r["prediction"] for r in model.transform(df).collect()]
+    assert [float(o > 0) for o in odds] == want
+
+
+def test_licences(spark):
+    prose = [doc(k, "\n".join(" ".join(f"w{k}_{i}_{j}" for j in range(12)) for i in range(6))) for k in range(300)]
+    rows = prose + [doc(1000, "Text here.\nLicensed under the Apache License, Version 2.0.\nmore"), doc(1001, "Released under the MIT License."), doc(1002, "all of the license and more of the work"), doc(1003, None), doc(1004, ""), doc(1005, "so " * 20_000 + "This work is licensed under the GNU General Public License, version 3. end")]
+    df = docs(spark, rows)
+    got = {r["doc_id"]: r for r in licences.scan(df, licences.fit(df)).collect()}
+    assert got[1000]["families"] == ["apache"] and got[1001]["families"] == ["mit"] and got[1005]["families"] == ["gpl"]
+    assert all(got[k]["families"] == [] for k in (0, 1, 1002, 1003, 1004)) and len(got) == len(rows)
+    assert licences.scan(df.limit(0), licences.fit(df.limit(0))).count() == 0
