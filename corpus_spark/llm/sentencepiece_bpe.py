@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from operator import add
@@ -30,7 +31,7 @@ _FAR = 48
 class Agenda:
     """Merge-type encoder over the pieces and scores of a model file."""
 
-    def __init__(self, path: str, cache: int = 450_000):
+    def __init__(self, path: str, cache: int = 1_200_000):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -80,15 +81,11 @@ class Agenda:
                     r = made[h] = order(symbols[h] + piece)
                     if r is not None:
                         heappush(agenda, (r << 32) + h)
-        out = []
-        for s in symbols:
-            if s:
-                i = self.ids.get(s)
-                if i is None:
-                    out.extend(self.bytes[b] for b in s.encode("utf-8", "replace"))
-                else:
-                    out.append(i)
-        return out
+        left = list(filter(None, symbols))
+        ids = list(map(self.ids.get, left))
+        if None in ids:
+            ids = [x for s, i in zip(left, ids) for x in ((i,) if i is not None else [self.bytes[b] for b in s.encode("utf-8", "replace")])]
+        return ids
 
     def _agree(self, text: str, own: list[int]) -> None:
         if self.sp.encode(text, num_threads=1) != own:
@@ -101,12 +98,12 @@ class Agenda:
         found, own = {}, []
         for c in words:
             own += (ids := self.merge(MARK + c))
-            found[c] = np.array(ids, dtype="<i4").tobytes()
+            found[c] = array("i", ids).tobytes()
         for c in lines:
             own += (ids := self.merge("\n") + (self.merge(c[1:]) if len(c) > 1 else []))
-            found[c] = np.array(ids, dtype="<i4").tobytes()
+            found[c] = array("i", ids).tobytes()
         if "" in chunks:
-            found[""] = np.array(self.merge(MARK), dtype="<i4").tobytes()
+            found[""] = array("i", self.merge(MARK)).tobytes()
         if words:
             self._agree(" ".join(words) + "".join(lines), own)
         elif lines:
