@@ -3,11 +3,19 @@
 Only vectors of the same non-null label are compared, by cosine in double precision. Equal vectors
 are one class with a multiplicity. A neighbour graph with k entries a class starts from random
 projection leaves and is refined by joins of neighbours of neighbours: each class sees its neighbours
-and reverse neighbours together and proposes better ones to them. Edges at the threshold join
-components. Lists that are saturated (all k entries at the threshold) are enlarged to the whole
-component: within each component all links are counted in blocks of bounded size, so no list of
-partners is materialised. Recall of components is audited against brute force for a bounded set of
-queries; while it is under the target, another round with new leaves follows.
+and reverse neighbours together and proposes better ones to them.
+
+Components don't come from the lists of k entries: whatever classes meet in a leaf or a join, all
+links among them count, and a spanning forest of these is kept. So a saturated list (all k entries at
+the threshold) hides no link that leaves its group. Within each component all links are counted in
+blocks of bounded size, so no list of partners is materialised.
+
+Two classes at the threshold share a leaf of b signs with probability (1 - angle / pi) ** b, whatever
+the data. The number of trees grows with the largest label until one of them is shared with the target
+probability; dense leaves are compared whole, in pairs of blocks. Recall of components is audited
+against brute force until enough classes with links were seen or all were asked; too few are unknown.
+While it is unknown or under the target, another round with new leaves follows, and after the last
+one all classes of each label are compared in blocks.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing and form their
 own component, as do vectors without label. Vectors of other lengths never link with each other.
@@ -27,6 +35,9 @@ from corpus_spark.llm.common import components, small, written
 
 _BLOCK = 512
 _EDGE = "src bigint, dst bigint, sim double"
+_MET = _EDGE + ", span boolean"
+#: The audit is settled by so many classes with links, or by having asked all; it asks at most _ASKED of a larger table.
+_SEEN, _ASKED = 100, 4096
 
 
 def _unit(rows) -> np.ndarray:
@@ -41,7 +52,7 @@ def can_link():
 
 
 def _leaves(reps: DataFrame, seed: int, leaf: int) -> DataFrame:
-    """Adds the leaf of each row: signs of random projections, about ``leaf`` rows a leaf; denser ones are split by a hash."""
+    """Adds the leaf of each row: signs of random projections, about ``leaf`` rows a leaf if signs are even."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -99,8 +110,21 @@ def _by_group(rows: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], d
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
-def _local(grouped: DataFrame, k: int) -> DataFrame:
-    """Best pairs inside each bounded group: (g, rep, embedding) to edges both ways."""
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the first node of their component, for all but these, in a symmetric matrix of links."""
+    root = np.full(len(near), -1)
+    for i in np.flatnonzero(near.any(axis=1)):
+        if root[i] < 0:
+            root[i], new = i, np.array([i])
+            while len(new):
+                new = np.flatnonzero(near[new].any(axis=0) & (root < 0))
+                root[new] = i
+    at = np.flatnonzero((root >= 0) & (root != np.arange(len(near))))
+    return at, root[at]
+
+
+def _local(grouped: DataFrame, k: int, limit: float) -> DataFrame:
+    """What meets in each bounded group of (g, rep, embedding): best pairs as edges both ways, and a spanning forest of all links."""
 
     def best(pdf: pd.DataFrame) -> dict | None:
         ids, at = np.unique(pdf["rep"].to_numpy(), return_index=True)
@@ -112,31 +136,53 @@ def _local(grouped: DataFrame, k: int) -> DataFrame:
         m = min(k, len(ids) - 1)
         at = np.argpartition(-s, m - 1, axis=1)[:, :m]
         rows = np.repeat(np.arange(len(ids)), m)
-        return {"src": ids[rows], "dst": ids[at.ravel()], "sim": s[rows, at.ravel()]}
+        near = s >= limit
+        a, b = _forest(near | near.T)
+        return {"src": np.r_[ids[rows], ids[a]], "dst": np.r_[ids[at.ravel()], ids[b]], "sim": np.r_[s[rows, at.ravel()], np.ones(len(a))], "span": np.r_[np.zeros(len(rows), dtype=bool), np.ones(len(a), dtype=bool)]}
 
-    return _by_group(grouped, ["g"], best, _EDGE)
+    return _by_group(grouped, ["g"], best, _MET)
 
 
-def _start(reps: DataFrame, seed: int, leaf: int, k: int) -> DataFrame:
+def _in_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(g, rep, embedding) of rows with their group's size ``n``: every two blocks of a group meet in one g."""
+    placed = rows.withColumn("blocks", F.ceil(F.col("n") / _BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (o != F.col("block")) | (F.col("blocks") == 1))
+    sent = placed.select(*keys, "rep", "embedding", "block", F.explode(others).alias("o"))
+    return sent.select(F.xxhash64(*keys, F.least("block", "o"), F.greatest("block", "o")).alias("g"), "rep", "embedding")
+
+
+def _start(reps: DataFrame, seed: int, leaf: int, k: int, limit: float) -> DataFrame:
     coded = _leaves(reps, seed, leaf)
-    dense = small(written(coded.groupBy("label", "dim", "code").agg(F.count("*").alias("n")), "leaf"), 200_000)
-    part = F.pmod(F.xxhash64("rep", F.lit(seed)), F.ceil(F.col("n") / (2 * leaf)))
-    grouped = coded.join(dense, ["label", "dim", "code"]).select(F.xxhash64("label", "dim", "code", part).alias("g"), "rep", "embedding")
-    return _local(grouped, k)
+    key = ["label", "dim", "code"]
+    dense = small(written(coded.groupBy(*key).agg(F.count("*").alias("n")), "leaf"), 200_000)
+    return _local(_in_blocks(coded.join(dense, key), key), k, limit)
+
+
+def _exact(reps: DataFrame, limit: float) -> DataFrame:
+    """Spanning edges of all links: all classes of a label and length are compared, in pairs of blocks."""
+    sizes = written(reps.groupBy("label", "dim").agg(F.count("*").alias("n")), "sizes")
+    return _local(_in_blocks(reps.join(small(sizes, 200_000), ["label", "dim"]), ["label", "dim"]), 1, limit).filter("span").select("src", "dst")
 
 
-def _descend(graph: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """One round: every class compares its neighbours and at most 2k reverse neighbours with each other.
+def trees_for(rows: int, leaf: int, limit: float, target: float) -> int:
+    """So many trees that two classes at the threshold share a leaf with probability ``target``, in a label of ``rows``."""
+    bits = max(0, int(np.ceil(np.log2(max(1.0, rows / leaf)))))
+    share = (1 - np.arccos(np.clip(limit, -1, 1)) / np.pi) ** bits
+    return 1 if share >= target else int(np.ceil(np.log(1 - target) / np.log(1 - share)))
+
+
+def _descend(graph: DataFrame, reps: DataFrame, k: int, limit: float, salt: int) -> DataFrame:
+    """What meets in one round: every class compares its neighbours and at most 2k reverse neighbours with each other.
 
     Of more reverse neighbours, 2k are taken by a hash in this round; the others stay in the graph.
     """
-    back = graph.select(F.col("dst").alias("g"), F.col("src").alias("rep"), F.xxhash64("src", "dst").alias("h"))
+    back = graph.select(F.col("dst").alias("g"), F.col("src").alias("rep"), F.xxhash64("src", "dst", F.lit(salt)).alias("h"))
     some = back.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("h"))).filter(F.col("r") <= 2 * k).select("g", "rep")
     near = graph.select(F.col("src").alias("g"), F.col("dst").alias("rep")).unionByName(some)
     vec = reps.select("rep", "embedding")
     grouped = near.join(vec, "rep").select("g", "rep", "embedding")
     own = graph.select(F.col("src").alias("rep")).distinct().join(vec, "rep").select(F.col("rep").alias("g"), "rep", "embedding")
-    return _best(graph.unionByName(_local(grouped.unionByName(own), k)), k)
+    return _local(grouped.unionByName(own), k, limit)
 
 
 def _counts(members: DataFrame, limit: float) -> DataFrame:
@@ -166,31 +212,46 @@ def _counts(members: DataFrame, limit: float) -> DataFrame:
     return _by_group(sent, ["component", "lo", "hi"], meet, "rep bigint, n bigint").groupBy("rep").agg(F.sum("n").alias("n"))
 
 
-def _audit(reps: DataFrame, comp: DataFrame, limit: float, queries: int) -> float:
-    """Share of the links of at most ``queries`` classes, found by brute force, that lie inside a component."""
+def _audit(reps: DataFrame, comp: DataFrame, limit: float, queries: int) -> float | None:
+    """Share of links that lie inside a component, by brute force for some classes; None if too few have links.
+
+    At first ``queries`` classes are asked, then four times as many, until _SEEN of them have links.
+    A class with many links doesn't hide the others: the lower of the shares by link and by class counts.
+    """
     total = reps.count()
-    if not total:
-        return 1.0
-    dice = F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(max(1, -(-total // queries)))) == 0
-    joined = reps.join(comp, reps["rep"] == comp["node"], "left").select("label", "dim", "rep", "embedding", F.coalesce("component", "rep").alias("component"))
-    asked = joined.filter(dice).limit(2 * queries).toPandas()
+    joined = written(reps.join(comp, reps["rep"] == comp["node"], "left").select("label", "dim", "rep", "embedding", F.coalesce("component", "rep").alias("component")), "audit")
+    while total:
+        got = _asked(joined, limit, -(-total // queries))
+        if len(got) >= _SEEN or queries >= total:
+            return float(min(got["found"].sum() / got["links"].sum(), (got["found"] / got["links"]).mean())) if len(got) else 1.0
+        if queries >= _ASKED:
+            return None
+        queries = min(4 * queries, _ASKED)
+    return 1.0
+
+
+def _asked(joined: DataFrame, limit: float, one_in: int) -> pd.DataFrame:
+    """rep, links, found of the asked classes that have links."""
+    asked = joined.filter(F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(one_in)) == 0).limit(2 * _ASKED).toPandas()
     by_dim = {dim: (q["label"].to_numpy(), q["rep"].to_numpy(), _unit(q["embedding"]), q["component"].to_numpy()) for dim, q in asked.groupby("dim")}
-    shared = reps.sparkSession.sparkContext.broadcast(by_dim)
+    shared = joined.sparkSession.sparkContext.broadcast(by_dim)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        links = found = 0
+        links = {dim: np.zeros((2, len(q[1])), dtype=np.int64) for dim, q in shared.value.items()}
         for pdf in parts:
-            for dim, rows in pdf.groupby("dim"):
-                if dim in shared.value:
+            for dim, part in pdf.groupby("dim"):
+                if dim in links:
                     label, rep, q, c = shared.value[dim]
-                    near = _unit(rows["embedding"]) @ q.T >= limit
-                    near &= (rows["label"].to_numpy()[:, None] == label) & (rows["rep"].to_numpy()[:, None] != rep)
-                    links += int(near.sum())
-                    found += int((near & (rows["component"].to_numpy()[:, None] == c)).sum())
-        yield pd.DataFrame({"links": [links], "found": [found]})
+                    for at in range(0, len(part), 512):
+                        rows = part.iloc[at : at + 512]
+                        near = _unit(rows["embedding"]) @ q.T >= limit
+                        near &= (rows["label"].to_numpy()[:, None] == label) & (rows["rep"].to_numpy()[:, None] != rep)
+                        links[dim][0] += near.sum(axis=0)
+                        links[dim][1] += (near & (rows["component"].to_numpy()[:, None] == c)).sum(axis=0)
+        for dim, (n, m) in links.items():
+            yield pd.DataFrame({"rep": shared.value[dim][1], "links": n, "found": m})[n > 0]
 
-    got = joined.mapInPandas(run, "links bigint, found bigint").agg(F.sum("links"), F.sum("found")).first()
-    return 1.0 if not got[0] else got[1] / got[0]
+    return joined.mapInPandas(run, "rep bigint, links bigint, found bigint").groupBy("rep").agg(F.sum("links").alias("links"), F.sum("found").alias("found")).toPandas()
 
 
 def near_duplicates(vectors: DataFrame, limit: float = 0.98, k: int = 6, leaf: int = 64, trees: int = 2, descents: int = 2, target: float = 0.99, max_rounds: int = 3, queries: int = 200) -> DataFrame:
@@ -201,20 +262,26 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.98, k: int = 6, leaf: i
     classes = written(classes.withColumn("dim", F.size("embedding")), "classes")
     sizes = small(written(classes.groupBy("label").agg(F.count("*").alias("of_label")), "labels"), 200_000)
     reps = written(classes.join(sizes, "label"), "reps")
+    largest = sizes.agg(F.max("of_label")).first()[0] or 0
+    trees = max(trees, trees_for(largest, leaf, limit, target))
     graph: DataFrame | None = None
-    recall = 0.0
+    links: DataFrame | None = None
+    recall: float | None = None
     for step in range(max_rounds):
-        for tree in range(trees):
-            new = _start(reps, 100 * step + tree, leaf, k)
+        for at in range(trees + descents):
+            met = written(_start(reps, 1000 * step + at, leaf, k, limit) if at < trees else _descend(graph, reps, k, limit, 1000 * step + at), "met")
+            span, new = met.filter("span").select("src", "dst"), met.filter("not span").drop("span")
+            links = span if links is None else links.unionByName(span)
             graph = new if graph is None else graph.unionByName(new)
-        graph = written(_best(graph, k), "graph")
-        for _ in range(descents):
-            graph = written(_descend(graph, reps, k), "graph")
-        edges = graph.filter(F.col("sim") >= limit)
-        comp = written(components(edges, "src", "dst"), "components")
+            if at >= trees - 1:
+                graph = written(_best(graph, k), "graph")
+        links = written(links.distinct(), "spans")
+        comp = written(components(links, "src", "dst"), "components")
         recall = _audit(reps, comp, limit, queries)
-        if recall >= target:
+        if recall is not None and recall >= target:
             break
+    else:
+        comp, recall = written(components(_exact(reps, limit), "src", "dst"), "components"), 1.0
     full = graph.groupBy("src").agg((F.min("sim") >= limit).alias("low"), F.count("*").alias("m")).select(F.col("src").alias("rep"), (F.col("low") & (F.col("m") >= k)).alias("saturated"))
     members = reps.join(comp, reps["rep"] == comp["node"]).select("component", "rep", "weight", "embedding")
     count = _counts(members, limit)

@@ -98,3 +98,41 @@ def test_neighbours_against_brute_force(spark):
     assert same >= 0.99 * len(comp)
     assert all(got[i]["n_links"] <= n[i] for i in comp) and all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_neighbours_find_rare_links(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for a in range(0, 400, 2):
+        off = rng.standard_normal(64)
+        off -= (off @ x[a]) * x[a]
+        x[a + 1] = 0.981 * x[a] + np.sqrt(1 - 0.981**2) * off / np.linalg.norm(off)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in neighbours.near_duplicates(df).collect()}
+    found = sum(got[a]["component_id"] == got[a + 1]["component_id"] for a in range(0, 400, 2))
+    assert found >= 0.99 * 200 and abs(got[0]["recall"] - found / 200) < 0.02
+    assert neighbours.trees_for(1 << 20, 64, 0.98, 0.99) > neighbours.trees_for(4000, 64, 0.98, 0.99) > 2
+
+
+def test_neighbours_exact_where_the_audit_fails(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "_audit", lambda *a: None)
+    monkeypatch.setattr(neighbours, "trees_for", lambda *a: 1)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 32))
+    x[1::50] = x[::50] + 0.01 * rng.standard_normal((30, 32))
+    df = spark.createDataFrame([(i, v.tolist(), i // 50 % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in neighbours.near_duplicates(df, leaf=4, trees=1, descents=0, max_rounds=1).collect()}
+    assert all(got[a + 1]["component_id"] == a and got[a]["n_links"] == 1 for a in range(0, 1500, 50)) and sum(r["n_links"] for r in got.values()) == 60
+
+
+def test_neighbours_join_saturated_groups(spark):
+    rng = np.random.default_rng(8)
+    axes = np.eye(16)
+    turn = np.arccos(0.98) - 0.03
+    rows = []
+    for g, c in enumerate((axes[0], np.cos(turn) * axes[0] + np.sin(turn) * axes[1])):
+        rows += [(20 * g + i, (c + 0.002 * rng.standard_normal(16)).tolist(), 0) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = neighbours.near_duplicates(df).collect()
+    assert {(r["component_id"], r["n_links"], r["kept"]) for r in got} == {(0, 39, True), (0, 39, False)} and all(r["saturated"] for r in got)
