@@ -5,7 +5,8 @@ variants of public notices and on a bounded sample of the corpus' own lines as t
 probability that a passage must reach is calibrated on held-out lines of the unknown class; a comparison
 with the family's notices then confirms the prediction: enough of a notice's word pairs must be there.
 Only n-grams of the notices carry weights, and no passage without their word pairs could be confirmed, so
-passages are the stretches of a paragraph around such pairs.
+passages are the stretches of a line around such pairs, or of consecutive lines of a paragraph where a
+notice is wrapped. Lines without words end a paragraph.
 
 Null and empty texts have no licence. Repeated rows are scanned each.
 """
@@ -50,6 +51,7 @@ class Notices:
         self.pairs = {f: [frozenset(map(" ".join, zip(w, w[1:]))) for n in notices[f] for w in [words(n)]] for f in notices}
         self.every_pair = frozenset().union(*(p for ps in self.pairs.values() for p in ps))
         self.feature = {g: k for k, g in enumerate(sorted({g for ns in notices.values() for n in ns for g in _grams(words(n))}))}
+        self.longest = max((len(words(n)) for ns in notices.values() for n in ns), default=0)
         self.first = frozenset(p.split(" ")[0] for p in self.every_pair)
 
     def passages(self, line: str) -> list[list[str]]:
@@ -64,6 +66,39 @@ class Notices:
                 out.append([i, i])
         return [w[max(0, a - 1) : b + 3] for a, b in out]
 
+    def wrapped(self, lines: list[str], confirm: float) -> Iterator[tuple[int, int, list[str]]]:
+        """Stretches that cross line ends and hold enough pairs of some notice: first line, last line, words; few lines first."""
+        w, line = [], []
+        for k, x in enumerate(lines):
+            own = words(x)
+            w += own
+            line += [k] * len(own)
+        at = [i for i in range(len(w) - 1) if w[i] in self.first and f"{w[i]} {w[i + 1]}" in self.every_pair]
+        runs: list[list[int]] = []
+        for i in at:
+            if runs and i - runs[-1][-1] <= _GAP:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+        out = []
+        for run in runs:
+            if line[run[0]] == line[run[-1] + 1]:
+                continue
+            for p, a in enumerate(run):
+                if p and line[a] == line[run[p - 1]]:
+                    continue  # a stretch starts with the first pair of a line
+                for q in range(p + 1, len(run)):
+                    b = run[q]
+                    if b - a > 3 * self.longest:
+                        break
+                    if q + 1 < len(run) and line[run[q + 1] + 1] == line[b + 1]:
+                        continue  # and ends with the last one
+                    if line[a] < line[b + 1]:
+                        have = {f"{w[i]} {w[i + 1]}" for i in run[p : q + 1]}
+                        if any(len(n & have) >= confirm * len(n) for ns in self.pairs.values() for n in ns):
+                            out.append((line[a], line[b + 1], w[max(0, a - 1) : b + 3]))
+        yield from sorted(out, key=lambda x: x[1] - x[0])
+
     def vector(self, w: list[str]) -> np.ndarray:
         got = [self.feature[g] for g in _grams(w) if g in self.feature]
         x = np.zeros(len(self.feature) + 1)
@@ -149,22 +184,41 @@ def scan(docs: DataFrame, model: Model, notices: dict[str, list[str]] = NOTICES,
         # a paragraph without any word pair of a notice has no passage; one search rules most of them out
         gate = re.compile("|".join(sorted({re.escape(w) for w in notes.first}, key=len, reverse=True)))
         known: dict[str, list[tuple[str, float]]] = {}
+
+        def judged(w: list[str]) -> list[tuple[str, float]]:
+            k, p = m.classify(notes.vector(w))
+            return [(notes.families[k], p)] if k and p >= m.floor and notes.confirmed(notes.families[k], w) >= confirm else []
+
+        def wrapped(lines: list[str], taken: list[tuple[int, str]]) -> Iterator[tuple[str, float]]:
+            """Passages over several lines, where none of their family was found in one of these lines."""
+            for lo, hi, w in notes.wrapped(lines, confirm):
+                for f, p in judged(w):
+                    if not any(f == g and lo <= k <= hi for k, g in taken):
+                        taken += [(k, f) for k in range(lo, hi + 1)]
+                        yield f, p
+
         for pdf in parts:
             fam, count, best = [], [], []
             for text in pdf["text"]:
                 hits: list[tuple[str, float]] = []
-                for line in text.split("\n") if text else ():
-                    if line in known:
-                        hits += known[line]
+                paragraph: list[str] = []
+                taken: list[tuple[int, str]] = []
+                for line in [*text.split("\n"), ""] if text else ():
+                    if not _WORD.search(line):
+                        if len(paragraph) > 1 and gate.search(" ".join(paragraph).lower()):
+                            hits += wrapped(paragraph, taken)
+                        paragraph, taken = [], []
                         continue
-                    got = []
-                    if gate.search(line.lower()):
-                        for w in notes.passages(line):
-                            k, p = m.classify(notes.vector(w))
-                            if k and p >= m.floor and notes.confirmed(notes.families[k], w) >= confirm:
-                                got.append((notes.families[k], p))
-                    if got and len(line) < 200 and len(known) < 10_000:
-                        known[line] = got
+                    got = known.get(line)
+                    if got is None:
+                        got = []
+                        if gate.search(line.lower()):
+                            for w in notes.passages(line):
+                                got += judged(w)
+                        if got and len(line) < 200 and len(known) < 10_000:
+                            known[line] = got
+                    taken += [(len(paragraph), f) for f, _ in got]
+                    paragraph.append(line)
                     hits += got
                 fam.append(sorted({f for f, _ in hits}))
                 count.append(len(hits))

@@ -156,3 +156,23 @@ def test_licences(spark):
     assert got[1000]["families"] == ["apache"] and got[1001]["families"] == ["mit"] and got[1005]["families"] == ["gpl"]
     assert all(got[k]["families"] == [] for k in (0, 1, 1002, 1003, 1004)) and len(got) == len(rows)
     assert licences.scan(df.limit(0), licences.fit(df.limit(0))).count() == 0
+
+
+GPL = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */"""
+
+
+def test_wrapped_licences(spark):
+    prose = [doc(k, "\n".join(" ".join(f"w{k}_{i}_{j}" for j in range(12)) for i in range(6))) for k in range(300)]
+    wrapped = "Some words before. Licensed under the\nApache License, Version 2.0 (the License)"
+    rows = prose + [doc(1000, GPL), doc(1001, wrapped), doc(1002, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."), doc(1003, wrapped.replace("\n", "\n\n")), doc(1004, wrapped + ".\n" + GPL[6:])]
+    rows += [doc(1005, "word\n" * 5000 + "Permission is\nhereby granted\nfree of\ncharge to any\nperson obtaining a copy\nof this software\n")]
+    df = docs(spark, rows)
+    got = {r["doc_id"]: (r["families"], r["n_passages"]) for r in licences.scan(df, licences.fit(df)).collect()}
+    assert got[1000] == (["gpl"], 1) and got[1001] == (["apache"], 1) and got[1002] == (["apache", "mit"], 2)
+    assert got[1003] == ([], 0) and got[1004] == (["apache", "gpl"], 2) and got[1005] == (["mit"], 1)
+    assert all(got[k] == ([], 0) for k in range(300))
