@@ -3,7 +3,8 @@
 Each language has probabilities of the pieces of a fixed public vocabulary. A word's likelihood is
 the sum over all its segmentations into pieces, computed by a forward pass; a text's is the product
 over its words. Expectation maximisation over word counts of a bounded, documented sample of labelled
-rows (``per_lang`` rows of each language, chosen by hash) learns the piece probabilities.
+rows (``per_lang`` rows of each language, chosen by hash) learns the piece probabilities. All text of
+these rows counts; long words, such as sentences of languages without blanks, are cut into stretches.
 
 Null, empty and letterless texts are ``und`` with score 0. Repeated rows count each. With no labelled
 rows at all everything is ``und``.
@@ -23,8 +24,10 @@ UNKNOWN = "und"
 MARK = "▁"
 #: Probability of a character that is no piece.
 FLOOR = 1e-7
-#: Words longer than this are summed one at a time with rescaling.
+#: Words longer than this are summed one at a time with rescaling; for learning they are cut into stretches of it.
 _SHORT = 40
+#: Begins a stretch that continues a word; white space is in no word.
+_MORE = "\n"
 _MOST_LANGS = 1000
 
 
@@ -44,7 +47,7 @@ class Lattice:
 
     def arcs(self, word: str) -> tuple[list[int], list[int], list[int]]:
         """Starts, ends and pieces of all arcs."""
-        s, get = MARK + word, self.step.get
+        s, get = _spelled(word), self.step.get
         n, a, b, p = len(s), [], [], []
         for i in range(n):
             single = False
@@ -74,7 +77,7 @@ class Lattice:
             p += z
         w, a, b, p = (np.array(x, dtype=np.int64) for x in (w, a, b, p))
         order = np.argsort(b, kind="stable")
-        return w[order], a[order], b[order], p[order], np.array([len(x) + 1 for x in words])
+        return w[order], a[order], b[order], p[order], np.array([len(_spelled(x)) for x in words])
 
     def forward(self, arcs: tuple, prob: np.ndarray) -> np.ndarray:
         """alpha[word, position, language]; prob[piece, language]."""
@@ -151,15 +154,23 @@ def _words(text: str) -> list[str]:
     return text.lower().split()
 
 
+def _spelled(word: str) -> str:
+    return word[1:] if word.startswith(_MORE) else MARK + word
+
+
+def _stretches(word: str) -> list[str]:
+    return [word[:_SHORT], *(_MORE + word[k : k + _SHORT] for k in range(_SHORT, len(word), _SHORT))]
+
+
 def word_counts(labelled: DataFrame) -> DataFrame:
-    """(lang, word, n) over the rows: counted in each task first, then summed by word."""
+    """(lang, word or stretch of one, n) over the rows: counted in each task first, then summed by word."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, Counter] = {}
         for pdf in parts:
             for lang, text in zip(pdf["lang"], pdf["text"]):
                 if text:
-                    seen.setdefault(lang, Counter()).update(w for w in _words(text) if len(w) <= _SHORT)
+                    seen.setdefault(lang, Counter()).update(x for w in _words(text) for x in _stretches(w))
             if sum(map(len, seen.values())) > 300_000:
                 yield from (pd.DataFrame({"lang": k, "word": list(c), "n": list(c.values())}) for k, c in seen.items())
                 seen = {}

@@ -176,3 +176,11 @@ def test_wrapped_licences(spark):
     assert got[1000] == (["gpl"], 1) and got[1001] == (["apache"], 1) and got[1002] == (["apache", "mit"], 2)
     assert got[1003] == ([], 0) and got[1004] == (["apache", "gpl"], 2) and got[1005] == (["mit"], 1)
     assert all(got[k] == ([], 0) for k in range(300))
+
+
+def test_languages_without_blanks(spark):
+    de, en = "derhundläuftüberdiestraßeund", "thedogrunsoverthestreetand"
+    rows = [doc(k, (de if k % 2 else en)[k % 7 :] + (de if k % 2 else en) * 5, "de" if k % 2 else "en") for k in range(60)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs(spark, rows), vocabulary("piece_bpe_32k.model")).collect()}
+    assert got == {k: "de" if k % 2 else "en" for k in range(60)}
+    assert sum(len(langid._spelled(x)) for x in langid._stretches("x" * 100)) == 101
