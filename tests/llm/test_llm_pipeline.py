@@ -1,6 +1,8 @@
+import numpy as np
+
 import corpus_pipeline
 from corpus_spark.llm import jaccard
-from corpus_spark.llm.common import table
+from corpus_spark.llm.common import table, written
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +25,23 @@ def test_stages(spark):
 def test_run_on_empty(spark, tmp_path):
     table(spark, SF, "documents").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(1)
+    words = {"en": "the dog runs over street and house with many people who talk about weather every morning in town".split(), "de": "der hund läuft über straße und haus mit vielen leuten die jeden morgen in stadt vom wetter reden".split()}
+
+    def text(lang):
+        return " ".join(rng.choice(words[lang], 80))
+
+    rows = [(k, text(x), x, "s", 1) for k in range(100, 140) for x in [("en", "de")[k % 2]]]
+    clean, near, same = text("en"), text("de"), text("en")
+    rows += [(None, text("en"), "en", "s", 1), (None, text("de"), "de", None, 1)]  # clean, without id
+    rows += [(1, clean, "en", "s", 1), (1, "too short", "en", "s", 1), (1, "4 2 " * 40, "en", "s", 1)]  # one clean of three
+    rows += [(2, same, "en", "s", 1)] * 3 + [(2, same, "en", "t", 1), (None, same, "en", "s", 1)]
+    rows += [(4, near, "de", "s", 1), (3, near + " ende", "de", "s", 1), (3, text("de"), "de", "s", 1), (None, near, "de", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    want = sorted({(r[0] or 0, r[1]) for r in rows if r[1] not in ("too short", "4 2 " * 40)} - {(0, same), (0, near), (4, near)})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), "stage")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in docs.collect()) == want
