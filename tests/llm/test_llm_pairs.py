@@ -136,3 +136,11 @@ def test_neighbours_join_saturated_groups(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = neighbours.near_duplicates(df).collect()
     assert {(r["component_id"], r["n_links"], r["kept"]) for r in got} == {(0, 39, True), (0, 39, False)} and all(r["saturated"] for r in got)
+
+
+def test_jaccard_counts_every_link(spark):
+    words = [f"w{k}" for k in range(120)]
+    texts = {k: " ".join([*words[:k], f"x{k}", *words[k + 1 :]]) for k in range(60)} | {100: " ".join(words), 101: " ".join(words), 102: "other words here"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_class_links"] for r in jaccard.join_components(df, 3, 90, one_in=2, every_link=True).collect()}
+    assert got == {k: 60 for k in range(60)} | {100: 60, 101: 60, 102: 0}
