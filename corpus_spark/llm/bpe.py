@@ -1,78 +1,84 @@
-"""Byte-level BPE ids of whole texts, with a bounded cache of space-separated chunks.
+"""Byte-level BPE ids of whole texts, equal to the tokenizers library's own.
 
-A chunk's ids don't depend on its neighbours unless white space meets white space, because the
-pre-tokenizer's pattern gives a single space to the word after it. Texts where white space meets
-white space, or that begin with it, go through the tokenizer whole.
+A byte-level vocabulary whose merges stand in the order of their ids is a table of ranks, and the
+tiktoken library encodes by ranks in less than half of the time. Its pattern for cutting texts is the
+one that the file's pre-tokenizer has. What it isn't made for goes through the tokenizers library
+itself: other kinds of vocabulary, texts that hold one of the vocabulary's special tokens, and texts
+with a very long word or run of white space.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 from collections.abc import Iterable
 
-import numpy as np
+#: Fixed value: the pattern of byte-level pre-tokenizers.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BLANK = re.compile(r"\s")
+#: A run twice as long fills one of the blocks of this length, which tell the texts with very long runs.
+_BLOCK = 1000
+_PLAIN = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "ignore_merges": False}
 
-_LONG = 64
+
+def _letters() -> dict[str, int]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def _ranks(told: dict) -> dict[bytes, int] | None:
+    """Ranks of the vocabulary's tokens; None if they don't say the same as its merges."""
+    model, cut = told["model"], told["pre_tokenizer"] or {}
+    if told["normalizer"] or told["post_processor"] or any(cut.get(k) != v for k, v in _PLAIN.items()) or any(model.get(k) != v for k, v in _PLAIN_MODEL.items()):
+        return None
+    byte = _letters()
+    special = {t["content"] for t in told["added_tokens"]}
+    ranks = {bytes(map(byte.__getitem__, p)): i for p, i in model["vocab"].items() if p not in special}
+    made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    order = [model["vocab"][p] for p in made]
+    return ranks if order == sorted(order) and len(ranks) == 256 + len(set(made)) else None
+
+
+def _long_run(text: str) -> bool:
+    """True for any run of 2 * _BLOCK characters that are all white space, or all none."""
+    for at in range(0, len(text) - _BLOCK + 1, _BLOCK):
+        first = _BLANK.search(text, at, at + _BLOCK)
+        if first is None or first.start() == at and text[at : at + _BLOCK].isspace():
+            return True
+    return False
 
 
 class ByteBpe:
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-        self.most = cache
-        vocab = self.tok.get_vocab()
-        # every token's length in bytes: the vocabulary writes one letter for each byte
-        self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
-        for piece, i in vocab.items():
-            self.width[i] = len(piece)
-        self.newline = len(self._whole("\n")) // 4
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encodes unseen chunks as one text and cuts the ids at the chunks' byte offsets."""
-        parts = [c if c[:1] == "\n" else " " + c for c in chunks]
-        ids = np.array(self.tok.encode("".join(parts), add_special_tokens=False).ids, dtype="<u4")
-        ends = np.cumsum(self.width[ids])
-        at = np.cumsum([len(p.encode()) for p in parts])
-        cut = np.searchsorted(ends, at)
-        if len(ids) == 0 or not np.array_equal(ends[cut], at):
-            for c, p in zip(chunks, parts):
-                self.cache[c] = self._whole(p)
-            return
-        raw, begin = ids.tobytes(), 0
-        for c, k in zip(chunks, (cut + 1).tolist()):
-            self.cache[c] = raw[4 * begin : 4 * k]
-            begin = k
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        ranks = _ranks(told)
+        self.fast = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        self.special = [t["content"] for t in told["added_tokens"]]
+
+    def ids(self, text: str) -> list[int]:
+        if self.fast is None or any(s in text for s in self.special) or _long_run(text):
+            return self.tok.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers; a null text is empty."""
-        out, cache, cut, new = [], self.cache, [], set()
-        if len(cache) >= self.most:
-            cache.clear()
+        out = []
         for text in texts:
-            # fast only if every white space is one blank or newline between two words
-            if not text or text[0].isspace() or len(text.split()) != 1 + text.count(" ") + text.count("\n"):
-                out.append(self._whole(text) if text else b"")
-                continue
-            chunks = ("\n" + text.replace("\n", " \n")).split(" ")
-            found = list(map(cache.get, chunks))
-            lost = [i for i, x in enumerate(found) if x is None]
-            new.update([chunks[i] for i in lost])
-            cut.append((len(out), chunks, found, lost))
-            out.append(b"")
-        if new:
-            self._learn([c for c in new if len(c) <= _LONG])
-        far = {c: self._whole(c if c[:1] == "\n" else " " + c) for c in new if len(c) > _LONG}
-        for at, chunks, found, lost in cut:
-            for i in lost:
-                found[i] = far[c] if len(c := chunks[i]) > _LONG else cache[c]
-            out[at] = b"".join(found)[4 * self.newline :]
+            ids = array("I", self.ids(text) if text else ())
+            if ids.itemsize != 4:
+                raise RuntimeError("unsigned integers of 32 bits expected")
+            out.append(ids.tobytes())
         return out
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,14 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one is set only where none is configured."""
+    """The shared folder of the cluster; a local one is set only where none is configured and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="corpus-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: the rows as a Parquet table in the shared folder, read back.
 
@@ -35,7 +42,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``written`` made, once all that was read from them is written itself."""
+    for df in tables:
+        if df is not None and (path := _PLACES.pop(df, None)):
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def word_bytes(text: str | None) -> list[bytes]:
@@ -76,7 +93,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small_star = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        x = written(small_star.filter("u <> v").distinct(), "cc")
+        last, x = x, written(small_star.filter("u <> v").distinct(), "cc")
+        discard(last)
         now = x.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

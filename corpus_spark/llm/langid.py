@@ -5,9 +5,13 @@ the sum over all its segmentations into pieces, computed by a forward pass; a te
 over its words. Expectation maximisation over word counts of a bounded, documented sample of labelled
 rows (``per_lang`` rows of each language, chosen by hash) learns the piece probabilities. All text of
 these rows counts; long words, such as sentences of languages without blanks, are cut into stretches.
+Forward and backward sums of short words are scaled by a constant for each character, those of long
+words at each step, so that neither underflows. The model takes vocabulary times languages.
 
-Null, empty and letterless texts are ``und`` with score 0. Repeated rows count each. With no labelled
-rows at all everything is ``und``.
+Null, empty and letterless texts are ``und`` with score 0. Very long texts are scored whole, word by
+word. Languages that are equally likely go by name. Repeated rows and ids are judged each. An empty
+table gives no rows; with no labelled rows at all everything is ``und``. Other columns of the table,
+whatever their names, have no part in it.
 """
 
 from __future__ import annotations
@@ -17,8 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNKNOWN = "und"
 MARK = "▁"
@@ -28,7 +34,8 @@ FLOOR = 1e-7
 _SHORT = 40
 #: Begins a stretch that continues a word; white space is in no word.
 _MORE = "\n"
-_MOST_LANGS = 1000
+#: Each character of a short word multiplies sums by this: with _SHORT + 1 of them they stay below 1e288.
+_SCALE = 1e7
 
 
 class Lattice:
@@ -42,45 +49,57 @@ class Lattice:
         self.n = len(names) + 1  # the last stands for any unknown character
         self.piece = {p: i for i, p in enumerate(names)}
         self.longest = max(map(len, names))
+        self.scale = _SCALE ** np.array([*map(len, names), 1], dtype=float)[:, None]
         self.step: dict[str, int] = dict.fromkeys((p[:k] for p in names for k in range(1, len(p))), -1)
         self.step.update(self.piece)
-
-    def arcs(self, word: str) -> tuple[list[int], list[int], list[int]]:
-        """Starts, ends and pieces of all arcs."""
-        s, get = _spelled(word), self.step.get
-        n, a, b, p = len(s), [], [], []
-        for i in range(n):
-            single = False
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                x = get(s[i:j])
-                if x is None:
-                    break
-                if x >= 0:
-                    a.append(i)
-                    b.append(j)
-                    p.append(x)
-                    single |= j == i + 1
-            if not single:
-                a.append(i)
-                b.append(i + 1)
-                p.append(self.n - 1)
-        return a, b, p
+        self._plant()
+
+    def _plant(self) -> None:
+        """The same prefixes as sorted keys (parent, letter), for many words at once."""
+        node = {"": 0} | {s: k for k, s in enumerate(self.step, 1)}
+        letters = {c: k for k, c in enumerate(sorted(set("".join(self.piece))), 1)}
+        self.letter = np.zeros(0x110000, dtype=np.int64)
+        self.letter[[ord(c) for c in letters]] = list(letters.values())
+        self.width = len(letters) + 1
+        keys = np.array([node[s[:-1]] * self.width + letters[s[-1]] for s in self.step], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.child = keys[order], np.arange(1, len(keys) + 1)[order]
+        self.ends = np.array([-1, *self.step.values()])
 
     def batch(self, words: list[str]) -> tuple:
-        """Arcs of many short words, sorted by their ends."""
-        w, a, b, p = [], [], [], []
-        for k, word in enumerate(words):
-            x, y, z = self.arcs(word)
-            w += [k] * len(x)
-            a += x
-            b += y
-            p += z
-        w, a, b, p = (np.array(x, dtype=np.int64) for x in (w, a, b, p))
-        order = np.argsort(b, kind="stable")
-        return w[order], a[order], b[order], p[order], np.array([len(_spelled(x)) for x in words])
+        """Arcs of many short words, sorted by their ends: word, start, end and piece of each, and the words' lengths."""
+        spelled = list(map(_spelled, words))
+        n = np.array(list(map(len, spelled)), dtype=np.int64)
+        text = self.letter[np.frombuffer("".join(spelled).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+        word = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        left = n[word] - at
+        here, node = np.arange(len(text)), np.zeros(len(text), dtype=np.int64)
+        single = np.zeros(len(text), dtype=bool)
+        starts, lengths, pieces = [], [], []
+        for k in range(1, self.longest + 1):
+            inside = left[here] >= k
+            here, node = here[inside], node[inside]
+            key = node * self.width + text[here + k - 1]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[place] == key
+            here, node = here[known], self.child[place[known]]
+            whole = self.ends[node] >= 0
+            starts.append(here[whole])
+            pieces.append(self.ends[node[whole]])
+            lengths.append(np.full(len(starts[-1]), k))
+            if k == 1:
+                single[starts[0]] = True
+        odd = np.flatnonzero(~single)
+        start = np.concatenate([*starts, odd])
+        piece = np.concatenate([*pieces, np.full(len(odd), self.n - 1)])
+        w, a = word[start], at[start]
+        b = a + np.concatenate([*lengths, np.ones(len(odd), dtype=np.int64)])
+        order = np.lexsort((w, b))
+        return w[order], a[order], b[order], piece[order], n
 
     def forward(self, arcs: tuple, prob: np.ndarray) -> np.ndarray:
-        """alpha[word, position, language]; prob[piece, language]."""
+        """alpha[word, position, language], times _SCALE for each character; prob[piece, language] is scaled."""
         w, a, b, p, n = arcs
         alpha = np.zeros((len(n), n.max() + 1, prob.shape[1]))
         alpha[:, 0] = 1
@@ -113,8 +132,8 @@ class Lattice:
         near = [k for k, x in enumerate(words) if len(x) <= _SHORT]
         if near:
             arcs = self.batch([words[k] for k in near])
-            alpha = self.forward(arcs, prob)
-            out[near] = np.log(alpha[np.arange(len(near)), arcs[4]])
+            alpha = self.forward(arcs, prob * self.scale)
+            out[near] = np.log(alpha[np.arange(len(near)), arcs[4]]) - np.log(_SCALE) * arcs[4][:, None]
         for k, word in enumerate(words):
             if len(word) > _SHORT:
                 out[k] = self._long(word, prob)
@@ -182,9 +201,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
 def sample(labelled: DataFrame, per_lang: int, seed: int = 7) -> tuple[DataFrame, list[str]]:
     """About ``per_lang`` rows of each language, chosen by a hash of their id."""
     known = labelled.filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy("lang").limit(_MOST_LANGS + 1).collect()}
-    if len(sizes) > _MOST_LANGS:
-        raise ValueError(f"more than {_MOST_LANGS} languages")
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
     if not sizes:
         return known, []
     rate = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_lang / n))))
@@ -215,7 +232,7 @@ def fit(labelled: DataFrame, model: str, per_lang: int = 1500, rounds: int = 3)
             for pdf in parts:
                 for lang, part in pdf.groupby("lang"):
                     k = place[lang]
-                    p = now[:, k : k + 1]
+                    p = now[:, k : k + 1] * g.scale
                     sums = total.setdefault(k, np.zeros(g.n))
                     for at in range(0, len(part), 4000):
                         some = part.iloc[at : at + 4000]
@@ -237,50 +254,58 @@ def fit(labelled: DataFrame, model: str, per_lang: int = 1500, rounds: int = 3)
     return langs, prob
 
 
-def predict(docs: DataFrame, model: str, langs: list[str], prob: np.ndarray, cache: int = 300_000) -> DataFrame:
-    """Adds lang_pred and score (the posterior of lang_pred under equal priors) to (doc_id, text).
+def annotate(docs: DataFrame, model: str, langs: list[str], prob: np.ndarray, keep: list[str], names: tuple[str, str] = ("lang_pred", "score"), cache: int = 300_000) -> DataFrame:
+    """The columns ``keep`` as they are, with the predicted language and its posterior under equal priors in ``names``.
 
-    One narrow pass. The parameters have the size of vocabulary times languages and travel by broadcast.
+    One narrow pass over ``text``. The parameters have the size of vocabulary times languages and travel by broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast((langs, prob))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, p = shared.value
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, p = shared.value
         g = lattice(model)
         place: dict[str, int] = {}
-        logs = np.zeros((0, max(1, len(names))))
-        for pdf in parts:
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
+        logs = np.zeros((0, max(1, len(known))))
+        for batch in parts:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 if len(place) > cache:
                     place, logs = {}, logs[:0]
+                texts = part.column(0).to_pylist()
                 found, new = [], {}
-                for text in part["text"]:
-                    words = _words(text) if text and names else []
+                for text in texts:
+                    words = _words(text) if text and known else []
                     ids = list(map(place.get, words))
-                    for i, x in enumerate(ids):
-                        if x is None:
-                            ids[i] = new.setdefault(words[i], len(place) + len(new))
-                    found.append(ids)
+                    if None in ids:
+                        for i, x in enumerate(ids):
+                            if x is None:
+                                ids[i] = new.setdefault(words[i], len(place) + len(new))
+                    found.append(np.array(ids, dtype=np.int32))
                 if new:
                     fresh = list(new)
                     logs = np.concatenate([logs] + [g.log_likelihood(fresh[k : k + 4000], p) for k in range(0, len(fresh), 4000)])
                     place.update(new)
                 pred, score = [], []
-                for text, ids in zip(part["text"], found):
-                    if not ids or not any(map(str.isalpha, text)):
+                for text, ids in zip(texts, found):
+                    if not len(ids) or not any(map(str.isalpha, text)):
                         pred.append(UNKNOWN)
                         score.append(0.0)
                         continue
-                    x = logs[ids].sum(axis=0)
+                    x = np.take(logs, ids, axis=0).sum(axis=0)
                     x = np.exp(x - x.max())
                     k = int(x.argmax())
-                    pred.append(names[k])
+                    pred.append(known[k])
                     score.append(round(float(x[k] / x.sum()), 6))
-                yield pd.DataFrame({"doc_id": part["doc_id"], "lang_pred": pred, "score": score})
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=out.names)
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+    rows = docs.select(F.col("text").alias("text read"), *keep)
+    out = T.StructType([*rows.schema.fields[1:], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return rows.mapInArrow(run, out)
+
+
+def predict(docs: DataFrame, model: str, langs: list[str], prob: np.ndarray, cache: int = 300_000) -> DataFrame:
+    """doc_id, lang_pred and score of every row."""
+    return annotate(docs.select("doc_id", "text"), model, langs, prob, ["doc_id"], cache=cache)
 
 
 def held_out(doc_id: str = "doc_id"):

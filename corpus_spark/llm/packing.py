@@ -1,20 +1,24 @@
 """Operator 5: best-fit packing, certified by dual-feasible-function lower bounds.
 
 Documents become pieces of at most ``capacity`` tokens. Partitions of bounded size are packed by
-best-fit decreasing. Each reports its bins and a lower bound: the largest sum of a dual feasible
-function over its pieces; gap is what it has above the bound. Bins that are full stay. The pieces of
-open bins are exchanged: they are dealt out anew over fewer partitions and packed again, those of
-partitions with a gap always, those of certified partitions as long as the bins of the whole table
-exceed the table's own bound. It ends when that bound is met or a round brings nothing.
-
-Null text is empty and is one piece, the end token alone. Repeated rows are packed each. An empty
-table gives no rows.
+best-fit decreasing. Each is held against a lower bound, the largest sum of a dual feasible function
+over its pieces; gap is what it has above the bound, and a partition without gap is certified. Full
+bins stay. The pieces in open bins of partitions with a gap are exchanged: dealt out anew over fewer
+partitions and packed again, as long as that saves a bin. Certified partitions stay until then; only
+if the whole table still has more bins than its own bound, open bins of all partitions are exchanged,
+again as long as a round saves a bin. A round that saves none is thrown away.
+
+Null text is empty and is one piece, the end token alone; very long texts are cut into many pieces.
+Rows that repeat, or have equal ids, are packed each and dealt by their place, not by their values.
+Pieces of equal length go in the order in which they are read. An empty table gives no rows. Other
+columns of documents, whatever their names, have no part in it.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 
 from corpus_spark.llm.bpe import encoder
 from corpus_spark.llm.common import written
+from corpus_spark.llm.places import placed
 
 CAPACITY = 2048
 
@@ -103,20 +108,16 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bin_of, offset, room
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = 50_000, rounds: int = 4) -> DataFrame:
-    """Adds sequence_id, offset and certified to rows with a length from 1 to ``capacity``.
+def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = 50_000) -> DataFrame:
+    """Adds sequence_id, offset, gap and certified to rows with a length from 1 to ``capacity``.
 
-    certified: the bins of the whole table meet its lower bound. Tasks hold ``per_task`` pieces at
-    most, but for the evenness of hashing.
+    gap: bins above the lower bound of the partition that packed the row; certified: it is 0, or the
+    bins of the whole table meet the table's bound. Tasks hold ``per_task`` pieces at most, but for the
+    evenness of hashing.
     """
-    schema = items.schema
-    names = schema.fieldNames()
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", sequence_id bigint, offset bigint, room bigint, gap bigint"
-
-    def deal(df: DataFrame, salt: int, n: int) -> DataFrame:
-        tasks = max(1, -(-n // per_task))
-        key = F.pmod(F.xxhash64(F.lit(salt), *[F.col(c) for c in names]), F.lit(tasks))
-        return df.repartition(tasks, key)
+    items = placed(items)
+    names = items.columns
+    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields) + ", sequence_id bigint, offset bigint, room bigint, gap bigint"
 
     def packer(salt: int):
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,27 +135,38 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = 50_000, rou
 
         return run
 
+    def packed(df: DataFrame, salt: int, n: int) -> DataFrame:
+        tasks = max(1, -(-n // per_task))
+        meta = df.metadataColumn("_metadata")
+        dealt = df.repartition(tasks, F.pmod(F.xxhash64(F.lit(salt), meta["file_path"], meta["row_index"]), F.lit(tasks)))
+        return written(dealt.select(*names).mapInPandas(packer(salt), out_schema), "packed")
+
+    def count(df: DataFrame) -> tuple[int, int]:
+        got = df.agg(F.count_if(F.col("offset") == 0).alias("bins"), F.count("*").alias("pieces")).first()
+        return got["bins"], got["pieces"]
+
     sizes = items.groupBy("length").count().toPandas()  # at most ``capacity`` rows
     bound = lower_bound(sizes["length"].to_numpy(np.int64), sizes["count"].to_numpy(np.int64), capacity)
-    done: DataFrame | None = None
-    left, n, total_done, before = items, int(sizes["count"].sum()), 0, None
-    for salt in range(rounds):
-        packed = written(deal(left, salt, n).mapInPandas(packer(salt), out_schema), "packed")
-        stay = F.col("room") == 0
-        opened = F.col("offset") == 0
-        got = packed.agg(F.count_if(opened).alias("bins"), F.count_if(opened & stay).alias("full"), F.count_if(~stay).alias("n"), F.count_if(opened & (F.col("gap") > 0)).alias("loose")).first()
-        used = total_done + got["bins"]
-        if used <= bound or salt == rounds - 1 or (used == before and not got["loose"]):
-            final = packed
-            break
-        before = used
-        done = packed.filter(stay) if done is None else done.unionByName(packed.filter(stay))
-        total_done += got["full"]
-        left, n = packed.filter(~stay).select(*names), got["n"]
-    result = final if done is None else done.unionByName(final)
-    return result.drop("room", "gap").withColumn("certified", F.lit(used <= bound))
+    tables = [packed(items, 0, int(sizes["count"].sum()))]
+    used = count(tables[0])[0]
+    loose, all_open = (F.col("room") > 0) & (F.col("gap") > 0), F.col("room") > 0
+    choices, salt = [loose, all_open], 0
+    while used > bound and choices:
+        # every table is narrow: ids and lengths of pieces
+        moving = reduce(DataFrame.unionByName, (t.filter(choices[0]) for t in tables))
+        bins, n = count(moving)
+        salt += 1
+        again = packed(written(moving.select(*names), "moving"), salt, n) if n else None
+        saved = bins - count(again)[0] if n else 0
+        if saved > 0:
+            tables = [*(t.filter(~choices[0]) for t in tables), again]
+            used -= saved
+        else:
+            choices.pop(0)
+    result = reduce(DataFrame.unionByName, tables)
+    return result.drop("room").withColumn("certified", (F.col("gap") == 0) | F.lit(used <= bound))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified."""
+    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, gap, certified."""
     return pack(written(pieces(docs, tokenizer, capacity), "pieces"), capacity)

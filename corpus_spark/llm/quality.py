@@ -1,12 +1,15 @@
 """Operator 4: quality rules with cross-document line frequency.
 
-Base measures come from one narrow pass. Lines are normalised (white space collapsed, case folded)
-and hashed; distinct documents are counted for each (host, line), where exact copies of a text count
-once. Lines in more than the limit of a host's documents are removed, and a document of whose words
-too few are left is rejected.
-
-Null and empty texts have no words and fail the base rule. Rows with the same doc_id are judged one
-by one by their text; a null host is a host of its own.
+Base measures come from one narrow pass. Lines are normalised (ASCII white space collapsed, lower
+case) and hashed; distinct documents, copies of a text included, are counted for each (host, line).
+Lines in more than the limit of a host's documents are removed, and a document of whose words too few
+are left is rejected. Only ids and hashes are shuffled, after partial counts; a hot line or host is one
+row a task by then.
+
+Null and empty texts have no words and fail the base rule; very long ones are measured whole. Each row
+is a document: rows with the same doc_id, repeated ones too, are judged and counted one by one. A line
+at the limit stays, a document at the share stays. A null host is a host of its own. An empty table
+gives no rows. Other columns, whatever their names, have no part in it.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_spark.llm.common import small, word_bytes, written
+from corpus_spark.llm.common import word_bytes, written
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 
@@ -55,12 +58,12 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
     return n, chars, len(_SYMBOLS.findall(text)), dup, repeat
 
 
-def _line_hash(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _line_hash(line: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(line, digest_size=8).digest(), "little", signed=True)
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """row, doc_id, host, the base measures, text_hash and lines array<struct<h, words>> of distinct lines."""
+    """row, doc_id, host, the base measures and lines array<struct<h, words>> of distinct lines."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -68,32 +71,37 @@ def measures(docs: DataFrame) -> DataFrame:
             for text in pdf["text"]:
                 lines: dict[int, int] = {}
                 for line in text.split("\n") if text else ():
-                    if words := line.lower().split():
-                        h = _line_hash(" ".join(words))
-                        lines[h] = lines.get(h, 0) + len(line.encode("utf-8", "surrogatepass").split())
-                rows.append((*measure(text), _line_hash(text or ""), [{"h": h, "words": k} for h, k in lines.items()]))
-            yield pd.concat([pdf[["row", "doc_id", "host"]], pd.DataFrame(rows, index=pdf.index, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_hash", "lines"])], axis=1)
+                    if words := word_bytes(line.lower()):
+                        h = _line_hash(b" ".join(words))
+                        lines[h] = lines.get(h, 0) + len(words)
+                rows.append((*measure(text), [{"h": h, "words": k} for h, k in lines.items()]))
+            yield pd.concat([pdf[["row", "doc_id", "host"]], pd.DataFrame(rows, index=pdf.index, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])], axis=1)
 
     kind = dict(docs.dtypes)["doc_id"]
-    cols = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, text_hash bigint, lines array<struct<h:bigint,words:bigint>>"
+    cols = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<struct<h:bigint,words:bigint>>"
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("source").alias("host"), "text").mapInPandas(run, f"row bigint, doc_id {kind}, host string, {cols}")
 
 
-def assess(docs: DataFrame, share: float = 0.05, least: int = 25, left: float = 0.3, broadcast_rows: int = 100_000) -> DataFrame:
+def assess(docs: DataFrame, share: float = 0.05, least: int = 25, left: float = 0.3, broadcast_rows: int = 100_000, salts: int = 16) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_words_left, kept.
 
-    A line is removed if more than max(``least``, ``share`` of its host's distinct texts) distinct
-    texts of the host have it; a document is depleted if fewer than ``left`` of its words remain.
+    A line is removed if more than max(``least``, ``share`` of its host's documents with words) documents
+    of the host have it; a document is depleted if fewer than ``left`` of its words remain. The removed
+    lines are broadcast if a count proves them few; otherwise they are joined by line, dealt over ``salts``.
     """
     base = written(measures(docs), "quality")
-    lines = base.select("row", F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), "text_hash", F.explode("lines").alias("line")).select("row", "host", "no_host", "text_hash", "line.*")
+    host = [F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host")]
     key = ["host", "no_host"]
-    # one row for each distinct (host, line, text); copies of a text and hot lines shrink in the map-side aggregate
-    texts = lines.select(*key, "h", "text_hash").distinct()
-    per_line = texts.groupBy(*key, "h").count()
-    per_host = base.filter("n_words > 0").select(F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), "text_hash").distinct().groupBy(*key).agg(F.count("*").alias("texts"))
-    hot = written(per_line.filter(F.col("count") > least).join(per_host, key).filter(F.col("count") > F.col("texts") * share).select(*key, "h"), "quality-hot")
-    gone = lines.join(small(hot, broadcast_rows), [*key, "h"]).groupBy("row").agg(F.sum("words").alias("gone"))
+    lines = base.select("row", *host, F.explode("lines").alias("line")).select("row", *key, "line.*")
+    per_line = lines.groupBy(*key, "h").agg(F.count("*").alias("n")).filter(F.col("n") > least)
+    per_host = base.filter("n_words > 0").select(*host).groupBy(*key).agg(F.count("*").alias("docs"))
+    hot = written(per_line.join(per_host, key).filter(F.col("n") > F.col("docs") * share).select(*key, "h"), "quality-hot")
+    if hot.count() <= broadcast_rows:
+        found = lines.join(F.broadcast(hot), [*key, "h"])
+    else:
+        dealt = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        found = lines.withColumn("salt", F.pmod("row", F.lit(salts)).cast("int")).join(dealt, [*key, "h", "salt"])
+    gone = found.groupBy("row").agg(F.sum("words").alias("gone"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rest = F.col("n_words") - F.coalesce("gone", F.lit(0))
     return (
@@ -113,14 +121,14 @@ WITH d AS (
 win AS (SELECT row, unnest(range(1, len(w) - 1)) AS i, w FROM d),
 hit AS (SELECT row, i, count(*) OVER (PARTITION BY row, w[i], w[i + 1], w[i + 2]) AS n FROM win),
 rep AS (SELECT row, count(DISTINCT i + k) AS n_repeat FROM hit, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY row),
-ln AS (SELECT row, source, text, unnest(ls) AS line FROM d),
+ln AS (SELECT row, source, unnest(ls) AS line FROM d),
 dup AS (SELECT row, sum(n - 1) AS n_dup FROM (SELECT row, line, count(*) AS n FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row, line) GROUP BY row),
-norm AS (SELECT row, source, text, regexp_replace(lower(trim(line, ' ' || chr(9) || chr(13))), '[\x20\x09-\x0D]+', ' ', 'g') AS line,
+norm AS (SELECT row, source, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
                 len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
          FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-freq AS (SELECT source, line, count(DISTINCT text) AS n FROM norm GROUP BY source, line),
-host AS (SELECT source, count(DISTINCT text) AS texts FROM d WHERE len(w) > 0 GROUP BY source),
-hot AS (SELECT f.source, f.line FROM freq f JOIN host h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > 25 AND f.n > h.texts * 0.05),
+freq AS (SELECT source, line, count(DISTINCT row) AS n FROM norm GROUP BY source, line),
+host AS (SELECT source, count(*) AS docs FROM d WHERE len(w) > 0 GROUP BY source),
+hot AS (SELECT f.source, f.line FROM freq f JOIN host h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > 25 AND f.n > h.docs * 0.05),
 gone AS (SELECT row, sum(words) AS gone FROM norm n JOIN hot h ON n.source IS NOT DISTINCT FROM h.source AND n.line = h.line GROUP BY row),
 m AS (
   SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,

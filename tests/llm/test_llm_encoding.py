@@ -14,19 +14,36 @@ def docs(spark, texts):
     return spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, ids string")
 
 
-def test_byte_bpe_is_exact():
+def library(path):
     from tokenizers import Tokenizer
 
-    path = vocabulary("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    want = [np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in TEXTS]
-    enc = ByteBpe(path, cache=3)  # so small that it empties between calls
-    assert enc.encode(TEXTS) == want
-    assert [enc.encode([t])[0] for t in TEXTS] == want
+    return lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_byte_bpe_is_exact():
+    path = vocabulary("byte_bpe_50k.json")
+    whole, enc = library(path), ByteBpe(path)
+    assert enc.fast is not None
+    texts = [*TEXTS, "name\tage\n\n\tx", "col1\tcol2\tcol3\n\n\nnext line", "<|endoftext|>", " " * 5000 + "x", "word " * 20_000, "é" * 100_000, "\n" * 1999 + "a" * 1999]
+    assert enc.encode(texts) == list(map(whole, texts))
     assert enc.encode([None]) == [b""]
 
 
+def test_byte_bpe_on_all_white_space():
+    path = vocabulary("byte_bpe_50k.json")
+    whole, enc = library(path), ByteBpe(path)
+    space = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isspace()] + ["\u200b", "\u180e", "\ufeff"]
+    pool = space * 2 + [*"aé日😀1٣!'-,sSdt", "'s", "'ll", " word", "<|endoftext|>", "\u0301"]
+    rng = np.random.default_rng(0)
+    for _ in range(3000):
+        text = "".join(rng.choice(pool, rng.integers(1, 40)))
+        assert enc.encode([text])[0] == whole(text), text
+    for block in range(0, 0x110000, 64):  # every code point, between letters and alone
+        text = "".join(f"a{c} {c}{c}1{c}'s" for c in map(chr, range(block, block + 64)) if not 0xD800 <= ord(c) < 0xE000)
+        assert enc.encode([text])[0] == whole(text), hex(block)
+
+
 def test_sentencepiece(spark):
     import sentencepiece
 
@@ -90,7 +107,14 @@ def test_packing_exchanges_between_partitions(spark):
     assert sorted(r["k"] for r in got) == list(range(600))
     few = len({r["sequence_id"] for r in got})
     v, c = np.unique(n, return_counts=True)
-    assert few <= packing.lower_bound(v, c, 2048) + 1
+    bound = packing.lower_bound(v, c, 2048)
+    assert few <= bound + 1 and all(r["certified"] == (r["gap"] == 0 or few <= bound) for r in got)
+
+
+def test_packing_of_equal_rows(spark):
+    items = spark.createDataFrame([(None, 1025)] * 300 + [(1, 1023)] * 300, "k long, length long")
+    got = packing.pack(items, 2048, per_task=50).collect()
+    assert len(got) == 600 and len({r["sequence_id"] for r in got}) <= 301
 
 
 def test_token_counts(spark):

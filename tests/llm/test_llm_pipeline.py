@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline
-from corpus_spark.llm import jaccard
+from corpus_spark.llm import jaccard, places
 from corpus_spark.llm.common import table, written
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +45,27 @@ def test_stages_with_null_and_repeated_ids(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = written(stage(spark, docs, SF), "stage")
     assert sorted((r["doc_id"] or 0, r["text"]) for r in docs.collect()) == want
+
+
+def test_rows_by_place(spark, tmp_path):
+    rows = [(k % 7 or None, f"t{k}", "x") for k in range(3000)]
+    spark.createDataFrame(rows, "doc_id long, text string, `whole row` string").repartition(5, "text").write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    numbers = places.files(docs)
+    keys = places.keyed(docs, numbers, "doc_id", ["text"])
+    assert keys.select("doc_id").distinct().count() == 3000 and numbers.count() == 5
+    gone = keys.filter("text like '%3%'").select("doc_id")
+    want = sorted((r[0] or 0, r[1]) for r in rows if "3" not in r[1])
+    for most in (1, 2, 100):
+        left = places.without(docs, numbers, gone, most)
+        assert left.columns == docs.columns and sorted((r[0] or 0, r[1]) for r in left.collect()) == want
+    assert places.without(docs, numbers, gone.limit(0)).count() == 3000
+    made = spark.createDataFrame(rows, "doc_id long, text string, _metadata string")
+    assert places.placed(made).columns == made.columns and places.placed(docs) is docs
+
+
+def test_stages_shuffle_no_texts(spark):
+    docs = table(spark, SF, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plan = stage(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan, name

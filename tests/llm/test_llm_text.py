@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 
 from corpus_spark.llm import chat, html_extract, langid, licences, quality
+from corpus_spark.llm.common import table
 from corpus_spark.llm.queries import vocabulary
 
 
@@ -77,7 +78,7 @@ def test_line_frequency(spark):
     menu = "\n".join(" ".join(f"menu{i}_{j}" for j in range(10)) for i in range(20))
     rows = [doc(k, body(k) + "\nThe  Footer", source="a") for k in range(40)]
     rows += [doc(50 + k, f"own{k}\n" + menu, source="a") for k in range(30)]
-    rows += [doc(200 + k, body(1) + " copy", source="b") for k in range(40)]  # copies of one text count once
+    rows += [doc(200 + k, body(1) + " copy", source="b") for k in range(40)]  # copies are documents of their own
     rows += [doc(300, None), doc(301, ""), doc(302, body(5), source=None), doc(0, body(9), source="a")]
     got = {}
     for r in quality.assess(docs(spark, rows)).collect():
@@ -85,7 +86,9 @@ def test_line_frequency(spark):
     assert sum(map(len, got.values())) == len(rows)
     assert all(r["kept"] for k in range(40) for r in got[k]) and got[3][0]["n_words_left"] == 60
     assert not any(r["kept"] for k in range(30) for r in got[50 + k])
-    assert all(r["kept"] for k in range(40) for r in got[200 + k]) and got[302][0]["kept"]
+    assert not any(r["kept"] for k in range(40) for r in got[200 + k]) and got[302][0]["kept"]
+    dealt = quality.assess(docs(spark, rows), broadcast_rows=0).collect()
+    assert sorted(map(str, dealt)) == sorted(str(r) for x in got.values() for r in x)
     assert got[300][0]["base_failed"] and not got[301][0]["kept"] and got[300][0]["n_words"] == 0
     assert quality.assess(docs(spark, rows).limit(0)).count() == 0
 
@@ -178,6 +181,23 @@ def test_wrapped_licences(spark):
     assert all(got[k] == ([], 0) for k in range(300))
 
 
+def test_scores_of_unseen_letters(spark):
+    rng = np.random.default_rng(1)
+    words = [("en", "the dog runs over the street and talks"), ("de", "der hund läuft über die straße und redet")]
+    rows = [doc(k, " ".join(rng.choice(words[k % 2][1].split(), 900)), words[k % 2][0]) for k in range(300)]
+    odd = ["日" * 40, "日" * 40 + " the dog runs over the street", "日" * 41 + " der hund", "\u0378" * 40, "x" * 40]
+    got = {r["doc_id"]: r for r in langid.identify(docs(spark, rows + [doc(1000 + k, t) for k, t in enumerate(odd)]), vocabulary("piece_bpe_32k.model")).collect()}
+    assert all(r["score"] is not None and 0 <= r["score"] <= 1 for r in got.values())
+    assert got[1001]["lang_pred"] == "en" and got[1002]["lang_pred"] == "de"
+
+
+def test_held_out_accuracy(spark):
+    known = table(spark, "/root/testdata/sf0.01", "documents").filter("lang is not null")
+    got = langid.identify(known, vocabulary("piece_bpe_32k.model")).join(known.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    asked = [r for r in got if r["lang_pred"] != "und"]
+    assert len(asked) > 100 and sum(r["lang_pred"] == r["lang"] for r in asked) >= 0.95 * len(asked)
+
+
 def test_languages_without_blanks(spark):
     de, en = "derhundläuftüberdiestraßeund", "thedogrunsoverthestreetand"
     rows = [doc(k, (de if k % 2 else en)[k % 7 :] + (de if k % 2 else en) * 5, "de" if k % 2 else "en") for k in range(60)]
