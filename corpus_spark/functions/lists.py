@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def _tidy(items: Column) -> Column:
     return F.filter(F.transform(items, lambda x: F.trim(x.cast("string"))), lambda x: x.isNotNull() & (x != ""))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_list(text: Column, commas: bool = True) -> Column:
     """array<string>; null and blank give an empty array."""
     value = F.trim(F.coalesce(text, F.lit("")))

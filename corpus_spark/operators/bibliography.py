@@ -142,7 +142,7 @@ def with_query(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     """Each candidate's query; the first query where its own isn't listed. queries: query_id, ord, name - a short list."""
     first = queries.orderBy("ord").limit(1).select(F.struct("query_id", "name").alias("first"))
     known = queries.select("query_id", F.col("name").alias("query_name"))
-    return candidates.join(F.broadcast(known), "query_id", "left").crossJoin(F.broadcast(first)).select("*", F.coalesce("query_name", "first.name").alias("used_query")).drop("query_name", "first")
+    return candidates.join(known, "query_id", "left").crossJoin(F.broadcast(first)).select("*", F.coalesce("query_name", "first.name").alias("used_query")).drop("query_name", "first")
 
 
 def to_text(candidates: DataFrame) -> DataFrame:

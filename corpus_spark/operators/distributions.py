@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,12 +13,18 @@ def breakdown(df: DataFrame, child: str | Sequence[str], parent: str | Sequence[
     children = [child] if isinstance(child, str) else list(child)
     parents = [parent] if isinstance(parent, str) else list(parent)
     keys = [*parents, *children]
-    rows = df.select(*keys)
-    if drop_nulls:
-        rows = rows.dropna()
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("count"))
-    total = F.sum("count").over(Window.partitionBy(*parents))
-    return counts.withColumn("share", F.coalesce(F.try_divide(F.col("count").cast("double"), total), F.lit(0.0)))
+    # a filter on the keys would be moved below what computes them, and computes them again; one on counts stays
+    whole = F.lit(True)
+    for k in keys if drop_nulls else ():
+        whole = whole & F.col(k).isNotNull()
+    counts = df.groupBy(*keys).agg(F.count_if(whole).alias("count")).filter(F.col("count") > 0)
+    if parents:
+        return counts.withColumn("share", _share(F.sum("count").over(Window.partitionBy(*parents))))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("count").alias("_total")))).select(*keys, "count", _share(F.col("_total")).alias("share"))
+
+
+def _share(total: Column) -> Column:
+    return F.coalesce(F.try_divide(F.col("count").cast("double"), total), F.lit(0.0))
 
 
 def closed_distribution(df: DataFrame, column: str, labels: Sequence[str]) -> DataFrame:
@@ -31,7 +37,7 @@ def closed_distribution(df: DataFrame, column: str, labels: Sequence[str]) -> Da
 
 
 def place_frequency(mentioned: DataFrame, meta: DataFrame) -> DataFrame:
-    return breakdown(mentioned, "toponym").join(F.broadcast(meta), "toponym", "left")
+    return breakdown(mentioned, "toponym").join(meta, "toponym", "left")
 
 
 def top_places(mentioned: DataFrame, n: int) -> DataFrame:
@@ -62,11 +68,15 @@ def value_signals(df: DataFrame, columns: Sequence[str], dataset: str = "dataset
     return counts.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
-def profile(df: DataFrame, date_words: Sequence[str] = ("date", "time", "month", "period", "ts")) -> DataFrame:
-    """columns, row_count, date_column, first_date, last_date of a table in one aggregate."""
+def profile(df: DataFrame, date_words: Sequence[str] = ("date", "time", "month", "period", "ts"), samples: int = 5) -> DataFrame:
+    """columns, row_count, date_column, first_date, last_date and the first rows of a table in one aggregate.
+
+    sample: ``samples`` rows as JSON, in the order of that text."""
     date = next((c for c in df.columns if any(w in c.lower() for w in date_words)), None)
     when = F.try_to_timestamp(F.col(date).cast("string")) if date else F.lit(None).cast("timestamp")
-    return df.agg(F.count("*").alias("row_count"), F.min(when).alias("first_date"), F.max(when).alias("last_date")).select(F.lit(", ".join(df.columns)).alias("columns"), "row_count", F.lit(date).cast("string").alias("date_column"), "first_date", "last_date")
+    some = df.select(F.to_json(F.struct(*df.columns)).alias("row")).orderBy("row").limit(samples).agg(F.array_sort(F.collect_list("row")).alias("sample"))
+    told = df.agg(F.count("*").alias("row_count"), F.min(when).alias("first_date"), F.max(when).alias("last_date"))
+    return told.crossJoin(F.broadcast(some)).select(F.lit(", ".join(df.columns)).alias("columns"), "row_count", F.lit(date).cast("string").alias("date_column"), "first_date", "last_date", "sample")
 
 
 def code_frequency(annotations: DataFrame, field: str) -> DataFrame:

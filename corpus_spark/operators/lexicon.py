@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_spark.functions import text as T
-from corpus_spark.functions.lists import parse_list
+from corpus_spark.functions.lists import once, parse_list
 
 # Default word lists of the sentiment rule.
 POSITIVE = ("good", "great", "thanks", "thank", "ok", "yes", "хорошо", "спасибо", "супер", "отлично", "да", "норм")
@@ -40,44 +40,70 @@ PERCEPTIONS = {
 }
 PERCEPTION_DEFAULT = "adaptation problems"
 
-#: Terms above which one alternation gates a text before each term is tried.
-_EDGE = ("(?iU)(?<!\\w)(?:", ")(?!\\w)")
+def _layers(terms: Sequence[str]) -> list[list[str]]:
+    """The terms, in lower case, so dealt that no term of a layer begins with another one of it."""
+    layers: list[list[str]] = []
+    for term in sorted({t.lower() for t in terms}):
+        for layer in layers:
+            if not any(term.startswith(t) for t in layer):
+                layer.append(term)
+                break
+        else:
+            layers.append([term])
+    return layers
+
+
+def whole_words(text: Column, terms: Sequence[str]) -> Column:
+    """The terms that stand in a text as whole words, in lower case, each once.
+
+    One pass for each layer of terms, one as a rule: at every edge of a word at most one term of a layer
+    can stand, and looking ahead lets terms overlap.
+    """
+    layers = _layers(terms)
+    if not layers:
+        return F.array().cast("array<string>")
+    passes = ["(?iU)(?<!\\w)(?=(" + "|".join("\\Q" + t + "\\E" for t in layer) + ")(?!\\w))" for layer in layers]
+    every = lambda v: F.concat(*(F.regexp_extract_all(v, F.lit(p), F.lit(1)) for p in passes))
+    return F.array_distinct(F.transform(once(text, every), lambda t: F.lower(t)))
 
 
-def _quote(term: str) -> str:
-    return "\\Q" + term + "\\E"
+def _first_best(scores: Sequence[Column], labels: Sequence[str], default: str) -> Column:
+    """The label of the highest score, the first among equals; the default where none is above 0."""
+    rows = [F.struct(s.alias("score"), F.lit(-k).alias("ord"), F.lit(x).alias("label")) for k, (s, x) in enumerate(zip(scores, labels))]
+    return F.array_max(F.array(F.struct(F.lit(0).alias("score"), F.lit(1).alias("ord"), F.lit(default).alias("label")), *rows))["label"]
 
 
-def sentiment(text: Column, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE) -> Column:
-    tokens = F.array_distinct(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda t: F.lower(F.btrim(t, F.lit(".,!?;:()[]{}\"'")))))
-    good, bad = (F.size(F.array_intersect(tokens, F.array(*map(F.lit, words)))) for words in (positive, negative))
-    return F.when(good > bad, "positive").when(bad > good, "negative").otherwise("neutral")
+def _among(terms: Sequence[str]) -> Column:
+    return F.array(*(F.lit(t) for t in sorted({x.lower() for x in terms})))
 
 
-def _first_best(scores: Sequence[Column], labels: Sequence[str], default: str) -> Column:
-    ranked = F.array_max(F.array(*(F.struct(s.alias("score"), F.lit(-k).alias("ord"), F.lit(x).alias("label")) for k, (s, x) in enumerate(zip(scores, labels)))))
-    return F.when(ranked["score"] > 0, ranked["label"]).otherwise(default)
+def sentiment(text: Column, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE) -> Column:
+    tokens = F.array_distinct(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda t: F.lower(F.btrim(t, F.lit(".,!?;:()[]{}\"'")))))
+    found = lambda t, words: F.size(F.array_intersect(t, F.array(*map(F.lit, words))))
+    side = F.sign(once(tokens, lambda t: found(t, positive) - found(t, negative))).cast("int")
+    return F.element_at(F.array(F.lit("negative"), F.lit("neutral"), F.lit("positive")), side + 2)
 
 
 def theme(text: Column, themes: Mapping[str, Sequence[str]] = THEMES, default: str = THEME_DEFAULT) -> Column:
-    """The label with most distinct terms found as whole words. One alternation passes over texts without any."""
-    value = F.coalesce(text, F.lit(""))
-    scores = [sum((value.rlike(_EDGE[0] + _quote(t) + _EDGE[1]).cast("int") for t in terms), F.lit(0)) for terms in themes.values()]
-    anything = value.rlike(_EDGE[0] + "|".join(_quote(t) for terms in themes.values() for t in terms) + _EDGE[1])
-    return F.when(anything, _first_best(scores, list(themes), default)).otherwise(default)
+    """The label with most distinct terms found as whole words."""
+    found = whole_words(F.coalesce(text, F.lit("")), [t for terms in themes.values() for t in terms])
+    return once(found, lambda f: _first_best([F.size(F.array_intersect(f, _among(terms))) for terms in themes.values()], list(themes), default))
 
 
 def perception(text: Column, labels: Mapping[str, Sequence[str]] = PERCEPTIONS, default: str = PERCEPTION_DEFAULT) -> Column:
     """The label with most terms found anywhere in the lower-case text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return _first_best([sum((low.contains(t).cast("int") for t in terms), F.lit(0)) for terms in labels.values()], list(labels), default)
+    score = lambda low, terms: sum((F.contains(low, F.lit(t)).cast("int") for t in terms), F.lit(0))
+    return once(F.lower(F.coalesce(text, F.lit(""))), lambda low: _first_best([score(low, terms) for terms in labels.values()], list(labels), default))
 
 
 def places(text: Column, gazetteer: Mapping[str, Sequence[str]]) -> Column:
     """All names with an alias in the text as whole words, in the gazetteer's order."""
     value = T.collapse(F.lower(F.coalesce(text, F.lit(""))))
-    found = [F.when(value.rlike("(?U)(?<!\\w)(?:" + "|".join(_quote(a.lower()) for a in aliases) + ")(?!\\w)"), F.lit(name)) for name, aliases in gazetteer.items()]
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    known = [(name, aliases) for name, aliases in gazetteer.items() if aliases]
+    if not known:
+        return F.array().cast("array<string>")
+    found = whole_words(value, [a for _, aliases in known for a in aliases])
+    return once(found, lambda f: F.array_compact(F.array(*(F.when(F.arrays_overlap(f, _among(aliases)), F.lit(name)) for name, aliases in known))))
 
 
 def gazetteer_frame(spark: SparkSession, meta: Mapping[str, tuple[str, str | None]]) -> DataFrame:
@@ -85,10 +111,16 @@ def gazetteer_frame(spark: SparkSession, meta: Mapping[str, tuple[str, str | Non
     return spark.createDataFrame([(k, *v) for k, v in meta.items()], "toponym string, type string, parent_city string")
 
 
+def _few(meta: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Broadcast if a count proves it small."""
+    return F.broadcast(meta) if meta.count() <= rows else meta
+
+
 def mentions(df: DataFrame, meta: DataFrame | None = None, column: str = "toponyms") -> DataFrame:
     """One row a mention; blank names go; type and parent_city from a gazetteer frame."""
-    out = df.withColumn("toponym", F.explode(column)).drop(column).filter(F.trim(F.coalesce("toponym", F.lit(""))) != "")
-    return out if meta is None else out.join(F.broadcast(meta), "toponym", "left")
+    # outer, because Spark would move a size filter on what makes the list below everything else
+    out = df.withColumn("toponym", F.explode_outer(column)).drop(column).filter(F.trim(F.coalesce("toponym", F.lit(""))) != "")
+    return out if meta is None else out.join(_few(meta), "toponym", "left")
 
 
 def ensure_places(df: DataFrame, gazetteer: Mapping[str, Sequence[str]], text_columns: Sequence[str] = ("text", "clean_text", "comment")) -> DataFrame:
@@ -102,7 +134,7 @@ def ensure_places(df: DataFrame, gazetteer: Mapping[str, Sequence[str]], text_co
 def label_all(df: DataFrame, text: str, gazetteer: Mapping[str, Sequence[str]], compatibility: bool = True) -> DataFrame:
     """Cleaned text, language, sentiment, theme, places and perception in one narrow pass."""
     low = df.withColumn("clean_text", T.clean_text(F.col(text), compatibility)).withColumn("low", F.lower("clean_text"))
-    return low.select("*", T.language(F.col("clean_text")).alias("lang"), sentiment(F.col("low")).alias("sentiment"), theme(F.col("low")).alias("migration_driver"), places(F.col("low"), gazetteer).alias("toponyms"), perception(F.col("low")).alias("place_perception")).drop("low")
+    return low.select("*", T.language(F.col("clean_text")).alias("lang"), sentiment(F.col("low")).alias("sentiment"), theme(F.col("low")).alias("theme"), places(F.col("low"), gazetteer).alias("toponyms"), perception(F.col("low")).alias("place_perception")).drop("low")
 
 
 def in_scope(df: DataFrame, scope: str) -> DataFrame:

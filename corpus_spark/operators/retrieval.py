@@ -124,11 +124,11 @@ def task_terms(english: Column, russian: Column) -> Column:
 
 
 def best_sentences(evidence: DataFrame, tasks: DataFrame, n: int = 5) -> DataFrame:
-    """task_id, rank, sentence, score, evidence_id. tasks: task_id, terms, keywords, a small table."""
+    """task_id, rank, sentence, score, evidence_id. tasks: task_id, terms, keywords."""
     each = evidence.select("task_id", "evidence_id", "score", F.explode(sentences(collapse(F.coalesce("text", F.lit(""))))).alias("sentence")).filter("sentence <> ''")
     low = F.lower("sentence")
     hits = lambda c: F.size(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.col("low").contains(F.lower(t)) & (t != "")))
-    scored = each.join(F.broadcast(tasks.select("task_id", "terms", "keywords")), "task_id").withColumn("low", low)
+    scored = each.join(tasks.select("task_id", "terms", "keywords"), "task_id").withColumn("low", low)
     scored = scored.withColumn("score", F.col("score") + 0.2 * hits(F.col("keywords")) + 0.1 * hits(F.col("terms")))
     once = scored.withColumn("_f", F.row_number().over(Window.partitionBy("task_id", "low").orderBy(F.desc("score"), "evidence_id"))).filter("_f = 1")
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("score"), "low"))).filter(F.col("rank") <= n).select("task_id", "rank", "sentence", "score", "evidence_id")
@@ -136,7 +136,7 @@ def best_sentences(evidence: DataFrame, tasks: DataFrame, n: int = 5) -> DataFra
 
 def terms_present(evidence: DataFrame, terms: DataFrame) -> DataFrame:
     """(task_id, kind, ord, term) that occur in the evidence of their task; texts aren't put together for it."""
-    hit = evidence.join(F.broadcast(terms), "task_id").groupBy("task_id", "kind", "ord", "term").agg(F.bool_or(F.lower(F.coalesce("text", F.lit(""))).contains(F.lower("term"))).alias("hit"))
+    hit = evidence.join(terms, "task_id").groupBy("task_id", "kind", "ord", "term").agg(F.bool_or(F.lower(F.coalesce("text", F.lit(""))).contains(F.lower("term"))).alias("hit"))
     return hit.filter("hit").drop("hit")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # Alias columns of the evidence keys.
 ALIASES = {
     "toponym": ("toponym", "toponyms", "place"),
-    "driver": ("migration_driver", "driver", "category"),
+    "driver": ("theme", "driver", "category"),
     "sentiment": ("sentiment",),
     "topic": ("topic_id", "topic"),
     "source": ("source", "source_path", "source_file"),

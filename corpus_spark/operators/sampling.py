@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_spark.functions.lists import primary
+from corpus_spark.sources.scratch import written
 
-STRATA = ("source", "month", "toponym", "migration_driver", "sentiment", "topic_id")
+STRATA = ("source", "month", "toponym", "theme", "sentiment", "topic_id")
 
 
 def dice(seed: int, row_id: str) -> Column:
@@ -38,13 +39,18 @@ def equal_quota(df: DataFrame, keys: Sequence[str], n: int, seed: int, row_id: s
 
     Rows travel as (keys, id); the texts are joined back to the chosen ids only.
     """
-    slim = df.select(row_id, *keys).withColumn("_h", dice(seed, row_id))
+    slim = written(df.select(row_id, *keys).withColumn("_h", dice(seed, row_id)), "strata")
     groups = slim.select(*keys).distinct().count()
     quota = max(1, n // max(1, groups))
     taken = first_in_groups(slim, keys, quota, ["_h", row_id]).select(row_id, "_h", F.lit(0).alias("_turn"))
     rest = slim.join(taken.select(row_id), row_id, "left_anti").select(row_id, "_h", F.lit(1).alias("_turn"))
     chosen = taken.unionByName(rest).orderBy("_turn", "_h", row_id).limit(n)
-    return df.join(F.broadcast(chosen.select(row_id)) if n <= 100_000 else chosen.select(row_id), row_id, "left_semi")
+    return df.join(_bounded(chosen.select(row_id), n), row_id, "left_semi")
+
+
+def _bounded(chosen: DataFrame, n: int) -> DataFrame:
+    """At most n ids: broadcast if that is few, and then looked up below what makes the other columns."""
+    return F.broadcast(chosen) if n <= 100_000 else chosen
 
 
 def two_way(df: DataFrame, second: str, n: int, seed: int, row_id: str, column: str = "toponyms") -> DataFrame:
@@ -58,11 +64,11 @@ def strata(df: DataFrame, n: int, seed: int, row_id: str, columns: Sequence[str]
     if not have:
         return simple(df, n, seed, row_id)
     key = F.concat_ws("||", *(F.coalesce(F.col(c).cast("string"), F.lit("__na__")) for c in have))
-    slim = df.select(row_id, key.alias("_s")).withColumn("_h", dice(seed, row_id))
+    slim = written(df.select(row_id, key.alias("_s")).withColumn("_h", dice(seed, row_id)), "strata")
     one = first_in_groups(slim, ["_s"], 1, ["_h", row_id]).select(row_id, "_h", F.lit(0).alias("_turn"))
     rest = slim.join(one.select(row_id), row_id, "left_anti").select(row_id, "_h", F.lit(1).alias("_turn"))
     chosen = one.unionByName(rest).orderBy("_turn", "_h", row_id).limit(n).select(row_id)
-    out = df.join(chosen, row_id, "left_semi")
+    out = df.join(_bounded(chosen, n), row_id, "left_semi")
     return first_in_groups(out, list(unique), 1, [row_id]) if unique else out
 
 
@@ -75,7 +81,7 @@ def coding_sample(df: DataFrame, n: int, seed: int, row_id: str, place: str | No
 
 def per_place(mentioned: DataFrame, k: int, seed: int, row_id: str, top: DataFrame | None = None) -> DataFrame:
     """k random rows of each place, or of each of the top places, with an evidence_id."""
-    rows = mentioned if top is None else mentioned.join(F.broadcast(top.select("toponym")), "toponym", "left_semi")
+    rows = mentioned if top is None else mentioned.join(top.select("toponym"), "toponym", "left_semi")
     rank = F.row_number().over(Window.partitionBy("toponym").orderBy(dice(seed, row_id), row_id))
     return rows.withColumn("_r", rank).filter(F.col("_r") <= k).withColumn("evidence_id", F.concat(F.lit("E"), F.col("_r").cast("string"))).drop("_r")
 

@@ -91,7 +91,7 @@ def tfidf_labels(df: DataFrame, topic: str = "topic_id", doc: str = "doc_id", te
     docs = df.groupBy(topic).agg(F.count("*").alias("n"))
     terms = tf.groupBy(topic, "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     known = terms.withColumn("_r", F.row_number().over(Window.partitionBy(topic).orderBy(F.desc("total"), "term"))).filter(F.col("_r") <= vocabulary)
-    idf = known.join(F.broadcast(docs), topic).select(topic, "term", "n", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = known.join(docs, topic).select(topic, "term", "n", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     weight = tf.join(idf, [topic, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(topic, doc)))
     scores = weight.withColumn("u", F.col("w") / norm).groupBy(topic, "term").agg((F.sum("u") / F.first("n")).alias("score"))
@@ -140,4 +140,4 @@ def stability(df: DataFrame, n_topics: int, seed: int, vectors: str = "embedding
 
 def preview(docs: DataFrame, labels: DataFrame, k: int = 3, topic: str = "topic_id", doc: str = "doc_id", text: str = "text", chars: int = 300) -> DataFrame:
     first = docs.withColumn("rank", F.row_number().over(Window.partitionBy(topic).orderBy(doc))).filter(F.col("rank") <= k)
-    return first.select(topic, "rank", doc, F.substring(text, 1, chars).alias("text")).join(F.broadcast(label_text(labels, topic)), topic, "left")
+    return first.select(topic, "rank", doc, F.substring(text, 1, chars).alias("text")).join(label_text(labels, topic), topic, "left")

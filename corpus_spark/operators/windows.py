@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_spark.functions.text import LANGUAGES
+from corpus_spark.sources.scratch import written
 
 
 def roll_up(messages: DataFrame, width: str = "1 hour", start: str | None = None, tiebreak: str = "row_id", text: str = "clean_text") -> DataFrame:
@@ -33,15 +34,16 @@ def roll_up(messages: DataFrame, width: str = "1 hour", start: str | None = None
 def number(documents: DataFrame, template: str = "doc_%08d", keys: tuple[str, ...] = ("source", "group", "window_start"), name: str = "doc_id") -> DataFrame:
     """Dense ids in the order of ``keys``: ranges are sorted apart, and each range starts after the sizes before it.
 
-    Range partitioning decides the same ranges only for the same input; persist what it returns.
+    The sorted ranges are written once, with the place of each row in its range; the sizes of ranges, one
+    row each, are summed and broadcast.
     """
-    spark = documents.sparkSession
-    ordered = documents.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys]).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys])
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    out = spark.createDataFrame(numbered, StructType([*documents.schema.fields, StructField("_n", LongType())]))
-    return out.select(F.format_string(template, "_n").alias(name), *documents.columns)
+    by = [F.col(k).asc_nulls_first() for k in keys]
+    row = F.monotonically_increasing_id()
+    ordered = documents.repartitionByRange(*by).sortWithinPartitions(*by).select("*", F.shiftright(row, 33).alias("_range"), row.bitwiseAND((1 << 33) - 1).alias("_at"))
+    kept = written(ordered, "numbered")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = kept.groupBy("_range").agg(F.count("*").alias("n")).select("_range", before.alias("_start"))
+    return kept.join(F.broadcast(starts), "_range").select(F.format_string(template, F.col("_start") + F.col("_at")).alias(name), *documents.columns)
 
 
 def mix_as_json(column: str = "lang_distribution"):

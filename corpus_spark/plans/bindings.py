@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpus_spark.functions import text as T
 from corpus_spark.operators import lexicon
+from corpus_spark.sources.scratch import spread
 
 SALT = "test-salt"
 #: Themes, places and words from frequent tokens of the test tables.
@@ -24,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_id, datetime, author, group, comment, source: documents met by events on their id."""
-    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
+    d, e = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "events")
     return d.join(e, d["doc_id"] == e["event_id"]).select(F.col("doc_id").alias("row_id"), F.col("ts").alias("datetime"), F.col("user_id").cast("string").alias("author"), F.col("event_type").alias("group"), F.col("text").alias("comment"), "source")
 
 
@@ -35,7 +36,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = m.withColumn("clean_text", T.clean_text(F.col("comment"))).drop("comment")
     return m.select(
         "*", F.date_format("datetime", "yyyy-MM").alias("period"), T.language(text).alias("lang"), lexicon.sentiment(text, POSITIVE, NEGATIVE).alias("sentiment"),
-        lexicon.theme(text, THEMES, THEME_DEFAULT).alias("migration_driver"), lexicon.places(text, GAZETTEER).alias("toponyms"), lexicon.perception(text, PERCEPTIONS, "none").alias("place_perception"),
+        lexicon.theme(text, THEMES, THEME_DEFAULT).alias("theme"), lexicon.places(text, GAZETTEER).alias("toponyms"), lexicon.perception(text, PERCEPTIONS, "none").alias("place_perception"),
         (F.length("clean_text") % 7).cast("int").alias("topic_id"),
     )
 
@@ -71,7 +72,7 @@ SQL_SENTIMENT = f"CASE WHEN {_POS} > {_NEG} THEN 'positive' WHEN {_NEG} > {_POS}
 SQL_THEME = _best({k: "(" + " + ".join(f"{_word([t], 'clean_text')}::INT" for t in terms) + ")" for k, terms in THEMES.items()}, THEME_DEFAULT)
 SQL_PERCEPTION = _best({k: "(" + " + ".join(f"contains(lower(clean_text), '{t}')::INT" for t in terms) + ")" for k, terms in PERCEPTIONS.items()}, "none")
 SQL_PLACES = "list_filter([" + ", ".join(f"CASE WHEN {_word(aliases, 'lower(clean_text)')} THEN '{name}' END" for name, aliases in GAZETTEER.items()) + "], lambda x: x IS NOT NULL)"
-SQL_LABELLED = SQL_CLEAN + f""", l AS (SELECT row_id, datetime, author, "group", source, clean_text, strftime(datetime, '%Y-%m') AS period, {SQL_LANG} AS lang, {SQL_SENTIMENT} AS sentiment, {SQL_THEME} AS migration_driver, {SQL_PLACES} AS toponyms, {SQL_PERCEPTION} AS place_perception, (length(clean_text) % 7)::INT AS topic_id FROM c)"""
+SQL_LABELLED = SQL_CLEAN + f""", l AS (SELECT row_id, datetime, author, "group", source, clean_text, strftime(datetime, '%Y-%m') AS period, {SQL_LANG} AS lang, {SQL_SENTIMENT} AS sentiment, {SQL_THEME} AS theme, {SQL_PLACES} AS toponyms, {SQL_PERCEPTION} AS place_perception, (length(clean_text) % 7)::INT AS topic_id FROM c)"""
 SQL_META = "g AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{t}', {'NULL' if p is None else repr(p)})" for k, (t, p) in META.items()) + ") t(toponym, type, parent_city))"
 SQL_MENTIONED = SQL_LABELLED + ", " + SQL_META + ", x AS (SELECT l.* EXCLUDE (toponyms), u.toponym, g.type, g.parent_city FROM l, unnest(l.toponyms) u(toponym) LEFT JOIN g ON g.toponym = u.toponym)"
-SQL_THEME_LIST = "th AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}')" for k in THEMES) + ") t(migration_driver))"
+SQL_THEME_LIST = "th AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}')" for k in THEMES) + ") t(theme))"

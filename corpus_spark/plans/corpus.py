@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpus_spark.functions import text as T
 from corpus_spark.operators import distributions as D
 from corpus_spark.operators import lexicon, topics, windows
+from corpus_spark.sources.scratch import written
 
 
 def preprocess(raw: DataFrame, salt: str, shortest: int = 1, compatibility: bool = True, keep: Sequence[str] = ()) -> DataFrame:
@@ -26,30 +27,30 @@ def preprocess(raw: DataFrame, salt: str, shortest: int = 1, compatibility: bool
 
 
 def enrich(documents: DataFrame, gazetteer: Mapping[str, Sequence[str]], n_topics: int, seed: int, themes=None, vectors: str | None = None) -> DataFrame:
-    """topic_id, sentiment, migration_driver and toponyms of documents; hash topics unless there are vectors."""
+    """topic_id, sentiment, theme and toponyms of documents; hash topics unless there are vectors."""
     df = documents.withColumn("topic_id", topics.hash_topic(F.col("text"), n_topics)) if vectors is None else topics.kmeans_topics(documents, n_topics, seed, vectors)
     label = lexicon.theme(F.col("text"), themes) if themes else lexicon.theme(F.col("text"))
-    return df.withColumns({"sentiment": lexicon.sentiment(F.col("text")), "migration_driver": label, "toponyms": lexicon.places(F.col("text"), gazetteer)})
+    return df.withColumns({"sentiment": lexicon.sentiment(F.col("text")), "theme": label, "toponyms": lexicon.places(F.col("text"), gazetteer)})
 
 
 def analyse(enriched: DataFrame, meta: DataFrame, themes: Sequence[str], top: int = 20) -> dict[str, DataFrame]:
-    """The distribution tables of enriched documents. The key columns alone are kept; texts stay behind."""
-    keys = enriched.select("period", "group", "source", "topic_id", "sentiment", "migration_driver", "toponyms").cache()
+    """The distribution tables of enriched documents. Their key columns alone are written, once; texts stay behind."""
+    keys = written(enriched.select("period", "group", "source", "topic_id", "sentiment", "theme", "toponyms"), "keys")
     said = lexicon.mentions(keys, meta)
     return {
         "topic_distribution": D.breakdown(keys, "topic_id"),
         "temporal_dynamics": D.breakdown(keys, "topic_id", "period"),
         "group_comparison": D.breakdown(keys, "topic_id", "group"),
-        "driver_distribution": D.closed_distribution(keys, "migration_driver", themes),
-        "driver_temporal_dynamics": D.breakdown(keys, "migration_driver", "period"),
-        "driver_by_group": D.breakdown(keys, "migration_driver", "group"),
+        "driver_distribution": D.closed_distribution(keys, "theme", themes),
+        "driver_temporal_dynamics": D.breakdown(keys, "theme", "period"),
+        "driver_by_group": D.breakdown(keys, "theme", "group"),
         "toponym_frequency": D.place_frequency(said.drop("type", "parent_city"), meta),
         "top_toponyms": D.top_places(said, top),
         "city_level_stats": D.city_stats(said),
         "district_level_stats": D.district_stats(said),
         "topics_per_toponym": D.breakdown(said, "topic_id", "toponym"),
         "sentiment_per_toponym": D.breakdown(said, "sentiment", "toponym"),
-        "drivers_per_toponym": D.breakdown(said, "migration_driver", "toponym"),
+        "drivers_per_toponym": D.breakdown(said, "theme", "toponym"),
     }
 
 

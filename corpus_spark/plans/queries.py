@@ -17,6 +17,7 @@ from corpus_spark.plans import bindings as Z
 from corpus_spark.plans.corpus import preprocess
 from corpus_spark.sources import comments
 from corpus_spark.sources import tables as S
+from corpus_spark.sources.scratch import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,7 +46,7 @@ def io3_source_from_path(spark, d):
     return p.select("page_id", "url", F.when(comments.source_of(F.regexp_replace(F.lower("url"), "blog", "youtube")) == "youtube", "blog").otherwise("web").alias("kind"))
 
 
-@query()
+@query("SELECT doc_id, 'documents.parquet' AS source_file, row_number() OVER () - 1 AS row_index, source FROM documents")
 def io4_lineage(spark, d):
     return S.with_lineage(spark, f"{d}/documents.parquet").select("doc_id", "source_file", "row_index", "source")
 
@@ -66,11 +67,11 @@ def io9_joined_pages(spark, d):
     return pages.select("conv_id", F.nullif(retrieval.joined_pages(F.col("pages")), F.lit("")).alias("text"))
 
 
-@query()
+@query("SELECT doc_id, coalesce(text, '') AS repaired FROM documents")
 def t1_fix_encoding(spark, d):
-    """Texts broken on purpose, repaired again."""
-    broken = F.decode(F.encode(F.substring("text", 1, 400), "UTF-8"), "ISO-8859-1")
-    return _docs(spark, d).select("doc_id", T.fix_encoding(broken).alias("repaired"), (T.fix_encoding(broken) == F.substring("text", 1, 400)).alias("same"))
+    """Whole texts broken on purpose, repaired again."""
+    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    return spread(_docs(spark, d)).select("doc_id", T.fix_encoding(broken).alias("repaired"))
 
 
 @query(f"WITH {Z.SQL_CLEAN} SELECT row_id, clean_text FROM c")
@@ -135,9 +136,9 @@ def t11_strip_tags(spark, d):
     return Z.table(spark, d, "pages").select("page_id", T.strip_tags(F.col("html")).alias("text"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 40)), '[^\p{L}\p{N}_]+', ' ', 'g')) AS title_key, coalesce(nullif(trim(regexp_replace(substr(text, 1, 20), '[^\p{L}\p{N}_-]+', '_', 'g'), '_'), ''), 'unknown') AS file_name FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS title_key, coalesce(nullif(trim(regexp_replace(text, '[^\p{L}\p{N}_-]+', '_', 'g'), '_'), ''), 'unknown') AS file_name FROM documents")
 def t12_names(spark, d):
-    return _docs(spark, d).select("doc_id", T.title_key(F.substring("text", 1, 40)).alias("title_key"), T.safe_name(F.substring("text", 1, 20)).alias("file_name"))
+    return _docs(spark, d).select("doc_id", T.title_key(F.col("text")).alias("title_key"), T.safe_name(F.col("text")).alias("file_name"))
 
 
 @query(r"""WITH s AS (SELECT doc_id, trim(text, ' ') AS whole, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: length(x) >= 20) AS parts FROM documents WHERE text IS NOT NULL)
@@ -157,13 +158,13 @@ def t14_unfold_abstract(spark, d):
 # Lexicons
 
 
-@query(f"WITH {Z.SQL_LABELLED} SELECT row_id, lang, sentiment, migration_driver, toponyms, place_perception FROM l")
+@query(f"WITH {Z.SQL_LABELLED} SELECT row_id, lang, sentiment, theme, toponyms, place_perception FROM l")
 def c7_all_labels(spark, d):
     """C1 sentiment, C2 themes, C3 perception, C4 places and T7 in one pass."""
-    return Z.labelled(spark, d).select("row_id", "lang", "sentiment", "migration_driver", "toponyms", "place_perception")
+    return Z.labelled(spark, d).select("row_id", "lang", "sentiment", "theme", "toponyms", "place_perception")
 
 
-for _id, _column in (("c1_sentiment", "sentiment"), ("c2_theme", "migration_driver"), ("c3_perception", "place_perception"), ("c4_places", "toponyms")):
+for _id, _column in (("c1_sentiment", "sentiment"), ("c2_theme", "theme"), ("c3_perception", "place_perception"), ("c4_places", "toponyms")):
     QUERIES[_id] = lambda spark, d, c=_column: Z.labelled(spark, d).select("row_id", c)
     SQL[_id] = f"WITH {Z.SQL_LABELLED} SELECT row_id, {_column} FROM l"
 
@@ -309,8 +310,8 @@ def _share_sql(cte: str, child: str, parent: str = "", where: str = "true") -> s
 
 _SHARES = {
     "a1_topic_distribution": ("l", "topic_id", ""), "a2_temporal_dynamics": ("l", "topic_id", "period"), "a3_group_comparison": ("l", "topic_id", '"group"'),
-    "a5_driver_temporal": ("l", "migration_driver", "period"), "a6_driver_by_group": ("l", "migration_driver", '"group"'),
-    "a11_topics_per_toponym": ("x", "topic_id", "toponym"), "a12_sentiment_per_toponym": ("x", "sentiment", "toponym"), "a13_drivers_per_toponym": ("x", "migration_driver", "toponym"),
+    "a5_driver_temporal": ("l", "theme", "period"), "a6_driver_by_group": ("l", "theme", '"group"'),
+    "a11_topics_per_toponym": ("x", "topic_id", "toponym"), "a12_sentiment_per_toponym": ("x", "sentiment", "toponym"), "a13_drivers_per_toponym": ("x", "theme", "toponym"),
     "a13_source_per_toponym": ("x", "source", "toponym"), "a15_perception": ("l", "place_perception", ""), "a15_perception_by_toponym": ("x", "place_perception", "toponym"), "a15_perception_by_source": ("l", "place_perception", "source"),
 }
 for _name, (_base, _child, _parent) in _SHARES.items():
@@ -318,9 +319,9 @@ for _name, (_base, _child, _parent) in _SHARES.items():
     SQL[_name] = _share_sql(Z.SQL_LABELLED if _base == "l" else Z.SQL_MENTIONED, _child, _parent)
 
 
-@query(f"WITH {Z.SQL_LABELLED}, {Z.SQL_THEME_LIST} SELECT th.migration_driver, count(l.row_id) AS count, count(l.row_id) / sum(count(l.row_id)) OVER () AS share FROM th LEFT JOIN l USING (migration_driver) GROUP BY 1")
+@query(f"WITH {Z.SQL_LABELLED}, {Z.SQL_THEME_LIST} SELECT th.theme, count(l.row_id) AS count, count(l.row_id) / sum(count(l.row_id)) OVER () AS share FROM th LEFT JOIN l USING (theme) GROUP BY 1")
 def a4_driver_distribution(spark, d):
-    return D.closed_distribution(Z.labelled(spark, d), "migration_driver", list(Z.THEMES))
+    return D.closed_distribution(Z.labelled(spark, d), "theme", list(Z.THEMES))
 
 
 @query(f"WITH {Z.SQL_MENTIONED} SELECT toponym, count(*) AS count, count(*) / sum(count(*)) OVER () AS share, any_value(type) AS type, any_value(parent_city) AS parent_city FROM x GROUP BY toponym")
@@ -341,9 +342,9 @@ QUERIES["a14_source_comparison"] = lambda spark, d: D.source_comparison(Z.mentio
 SQL["a14_source_comparison"] = f"WITH {Z.SQL_MENTIONED} SELECT lower(coalesce(source, 'unknown')) AS source, count(*) AS count, count(*) / sum(count(*)) OVER () AS share FROM x GROUP BY 1"
 
 
-@query(f"WITH {Z.SQL_LABELLED}, {Z.SQL_THEME_LIST} SELECT th.migration_driver, count(l.row_id) AS count, least(count(l.row_id), 5) AS evidence_count, CASE WHEN count(l.row_id) > 0 THEN 'observed' ELSE 'absent' END AS status FROM th LEFT JOIN l USING (migration_driver) GROUP BY 1")
+@query(f"WITH {Z.SQL_LABELLED}, {Z.SQL_THEME_LIST} SELECT th.theme, count(l.row_id) AS count, least(count(l.row_id), 5) AS evidence_count, CASE WHEN count(l.row_id) > 0 THEN 'observed' ELSE 'absent' END AS status FROM th LEFT JOIN l USING (theme) GROUP BY 1")
 def a16_narrative_matrix(spark, d):
-    return D.narrative_matrix(Z.labelled(spark, d), "migration_driver", list(Z.THEMES))
+    return D.narrative_matrix(Z.labelled(spark, d), "theme", list(Z.THEMES))
 
 
 @query("""WITH p AS (SELECT source AS dataset, 'lang' AS "column", coalesce(lang, 'missing') AS value FROM documents UNION ALL SELECT source, 'n_chars', coalesce(n_chars::VARCHAR, 'missing') FROM documents),
@@ -354,10 +355,15 @@ def a17_value_signals(spark, d):
 
 @query("SELECT 'event_id, ts, user_id, event_type, value, props' AS columns, count(*) AS row_count, 'ts' AS date_column, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_date, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_date FROM events")
 def a18_profile(spark, d):
-    p = D.profile(Z.table(spark, d, "events"))
+    p = D.profile(Z.table(spark, d, "events")).drop("sample")
     return p.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_date", "last_date")})
 
 
+@query("WITH j AS (SELECT to_json({'c_custkey': c_custkey, 'c_name': c_name})::VARCHAR AS j FROM customer ORDER BY 1 LIMIT 5) SELECT (SELECT count(*) FROM customer) AS row_count, 'c_custkey, c_name' AS columns, unnest(list(j)) AS sample_row FROM j")
+def a18_profile_sample(spark, d):
+    return D.profile(Z.table(spark, d, "customer").select("c_custkey", "c_name")).select("row_count", "columns", F.explode("sample").alias("sample_row"))
+
+
 @query("SELECT coalesce(nullif(trim(lang), ''), 'unknown') AS code, count(*) AS count, count(*) / sum(count(*)) OVER () AS share FROM documents GROUP BY 1")
 def a19_code_frequency(spark, d):
     return D.code_frequency(_docs(spark, d), "lang")

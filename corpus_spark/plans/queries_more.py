@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +11,7 @@ from corpus_spark.operators import lexicon as X
 from corpus_spark.plans import bindings as Z
 from corpus_spark.plans.queries import QUERIES, SQL, _docs, query
 from corpus_spark.sources import tables as S
+from corpus_spark.sources.scratch import fresh_path
 
 # Sampling: rows by md5 of seed and id, in both engines
 
@@ -50,7 +48,7 @@ def s4_two_way(spark, d):
     return sampling.two_way(Z.labelled(spark, d), "period", 60, 42, "row_id").select("row_id")
 
 
-_STRATA = f"WITH {Z.SQL_LABELLED}, b AS (SELECT row_id AS id, {_h('row_id')} AS h, source, migration_driver, sentiment, topic_id FROM l @where), r AS (SELECT id, h, row_number() OVER (PARTITION BY source, migration_driver, sentiment, topic_id ORDER BY h, id) AS r FROM b)"
+_STRATA = f"WITH {Z.SQL_LABELLED}, b AS (SELECT row_id AS id, {_h('row_id')} AS h, source, theme, sentiment, topic_id FROM l @where), r AS (SELECT id, h, row_number() OVER (PARTITION BY source, theme, sentiment, topic_id ORDER BY h, id) AS r FROM b)"
 
 
 @query(_STRATA.replace("@where", "") + " SELECT id AS row_id FROM r ORDER BY CASE WHEN r = 1 THEN 0 ELSE 1 END, h, id LIMIT 120")
@@ -71,9 +69,9 @@ def s7_per_place(spark, d):
     return sampling.per_place(said, 5, 42, "row_id", top_places(said, 2))
 
 
-@query(f"WITH {Z.SQL_LABELLED}, r AS (SELECT *, row_number() OVER (PARTITION BY migration_driver ORDER BY row_id) AS r FROM l) SELECT 'E' || r AS evidence_id, migration_driver, row_id, substr(clean_text, 1, 100) AS text FROM r WHERE r <= 5")
+@query(f"WITH {Z.SQL_LABELLED}, r AS (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY row_id) AS r FROM l) SELECT 'E' || r AS evidence_id, theme, row_id, substr(clean_text, 1, 100) AS text FROM r WHERE r <= 5")
 def s8_evidence(spark, d):
-    return sampling.evidence(Z.labelled(spark, d), "migration_driver", 5, "row_id", "clean_text", 100)
+    return sampling.evidence(Z.labelled(spark, d), "theme", 5, "row_id", "clean_text", 100)
 
 
 @query(f"WITH {Z.SQL_LABELLED} SELECT row_id FROM l WHERE \"group\" = 'click' AND topic_id = 3")
@@ -434,7 +432,7 @@ def st1_stream_windows(spark, d):
     """The documents of w1 from a stream with a watermark; a last row far ahead closes all windows."""
     from corpus_spark.operators.windows import roll_up
 
-    folder = tempfile.mkdtemp(prefix="corpus-stream-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/stream-{uuid.uuid4().hex}"
+    folder = fresh_path(spark, "stream")
     rows = Z.labelled(spark, d).select("row_id", F.col("datetime").cast("timestamp").alias("datetime"), "source", "group", "clean_text", "lang", "period")
     rows.write.parquet(f"{folder}/in/1")
     last = rows.agg(F.max("datetime").alias("t")).select(F.lit(-1).cast("long").alias("row_id"), (F.col("t") + F.expr("interval 10 days")).alias("datetime"), F.lit("end").alias("source"), F.lit("end").alias("group"), F.lit("end").alias("clean_text"), F.lit("en").alias("lang"), F.lit("end").alias("period"))

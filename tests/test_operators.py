@@ -27,6 +27,22 @@ def test_labels(spark):
     assert one(spark, "bare tao", places) == []
 
 
+def test_labels_are_worked_out_once(spark):
+    from corpus_spark.plans.queries import QUERIES
+
+    for name in ("a6_driver_by_group", "a7_toponym_frequency", "c7_all_labels"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RLIKE") <= 2, name
+        assert not any(" RLIKE " in line or "regexp" in line for line in plan.splitlines() if "Join" in line), name
+
+
+def test_whole_words(spark):
+    terms = ("de", "de la", "la", "des", "über", "c++", "New York")
+    for text, want in (("de la", {"de", "de la", "la"}), ("des de", {"des", "de"}), ("ÜBER uns", {"über"}), ("in c++ now", {"c++"}), ("new york", {"new york"}), ("undes", set()), ("", set())):
+        assert set(one(spark, text, lambda c: X.whole_words(c, terms))) == want, text
+    assert one(spark, "x", lambda c: X.whole_words(c, ())) == []
+
+
 def test_windows_and_ids(spark):
     at = lambda h, m: dt.datetime(2020, 10, 13, h, m)
     rows = [(at(8, 1), "g", "first", "en", "2020-10", 1), (at(8, 30), "g", "second", "ru", "2020-10", 2), (at(9, 1), "g", "third", "en", "2020-10", 3)]

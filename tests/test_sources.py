@@ -26,6 +26,10 @@ def test_tables(spark, tmp_path):
     spark.range(5).select("id", F.lit("t").alias("text")).coalesce(1).write.parquet(str(tmp_path / "t"))
     rows = tables.with_lineage(spark, str(tmp_path / "t")).orderBy("row_index").collect()
     assert [r["row_index"] for r in rows] == [0, 1, 2, 3, 4] and rows[0]["source_file"].endswith(".parquet")
+    for name in ("c1.csv", "c2.csv"):
+        (tmp_path / name).write_text('k,text\n' + "".join(f'{k},"two\nlines"\n' for k in range(4)))
+    rows = tables.with_lineage(spark, str(tmp_path / "*.csv")).collect()
+    assert sorted((r["source_file"], r["row_index"], r["k"]) for r in rows) == [(n, k, str(k)) for n in ("c1.csv", "c2.csv") for k in range(4)]
     (tmp_path / "a").mkdir()
     (tmp_path / "a/x.txt").write_text("some words")
     (tmp_path / "a/y.md").write_text("  ")
@@ -49,7 +53,7 @@ def test_pipeline_and_stream(spark, tmp_path):
 
     docs, out = corpus.corpus_pipeline(raw, {"Bangkok": ("bangkok",)}, gazetteer_frame(spark, {"Bangkok": ("city", "Bangkok")}), "salt")
     assert docs.agg(F.sum("message_count")).first()[0] == 6
-    assert {r["migration_driver"]: r["count"] for r in out["driver_distribution"].collect()}["visa/legal"] == docs.count()
+    assert {r["theme"]: r["count"] for r in out["driver_distribution"].collect()}["visa/legal"] == docs.count()
     assert out["toponym_frequency"].first()["toponym"] == "Bangkok"
 
     at = [dt.datetime(2020, 10, 13, 8, 1), dt.datetime(2020, 10, 13, 8, 30), dt.datetime(2020, 10, 15)]
