@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpus_spark.functions.text import collapse, sentences
 
-#: Queries travel to every task; more than this must come in several calls.
+#: Queries travel to every task; more than this go in several rounds.
 MOST_QUERIES = 10_000
 
 
@@ -51,35 +51,62 @@ def joined_pages(pages: Column) -> Column:
     return F.array_join(F.transform(F.filter(pages, lambda p: F.trim(F.coalesce(p["text"], F.lit(""))) != ""), lambda p: p["text"]), "\n\n")
 
 
-def nearest(items: DataFrame, queries: DataFrame, k: int, item_id: str, location: Sequence[str], vector: str = "embedding") -> DataFrame:
+def _unit(rows) -> np.ndarray:
+    x = np.array([np.asarray(r, dtype=np.float64) for r in rows])
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n > 0, n, 1)
+
+
+def _best_of(rows: pd.DataFrame, scores: np.ndarray, ids: np.ndarray, k: int, place: list[str], item_id: str) -> pd.DataFrame:
+    """The k best rows of each query, one per place: places are compared by their best row, so copies crowd nobody out."""
+    code = rows.groupby(place, dropna=False, sort=False).ngroup().to_numpy()
+    order = np.lexsort((rows[item_id].to_numpy(), code))
+    begin = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+    top = np.maximum.reduceat(scores[order], begin, axis=0)
+    m = min(k, len(top))
+    # ties at the edge of the k best are all kept here; the final rank settles them
+    edge = -np.partition(-top, m - 1, axis=0)[m - 1]
+    at, of = np.nonzero(top >= edge)
+    size = np.diff(np.r_[begin, len(order)])
+    first = np.array([begin[g] if size[g] == 1 else begin[g] + int(scores[order[begin[g] : begin[g] + size[g]], q].argmax()) for g, q in zip(at, of)], dtype=np.int64)
+    out = rows.iloc[order[first]].reset_index(drop=True)
+    out.insert(0, "query_id", ids[of])
+    out["score"] = top[at, of]
+    return out
+
+
+def nearest(items: DataFrame, queries: DataFrame, k: int, item_id: str, location: Sequence[str], vector: str = "embedding", digits: int | None = None) -> DataFrame:
     """query_id, location, item_id, score, rank: the k best by cosine for each query, one per location.
 
-    The queries, a bounded set, travel to each task; it multiplies its rows in batches and keeps 3k
-    candidates a query, so what is shuffled is at most tasks times queries times 3k rows.
+    The queries travel to each task in rounds of about ``MOST_QUERIES``; a task multiplies its rows in
+    batches and keeps k places a query, so what is shuffled is at most tasks times queries times k rows,
+    but for ties. ``digits`` rounds scores before they are ranked.
     """
-    asked = queries.select("query_id", F.col(vector).alias("v")).limit(MOST_QUERIES + 1).toPandas()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one call")
-    spark = items.sparkSession
-    unit = lambda rows: (lambda x: x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1))(np.array([np.asarray(r, dtype=np.float64) for r in rows]))
-    shared = spark.sparkContext.broadcast((asked["query_id"].to_numpy(), unit(asked["v"]) if len(asked) else np.zeros((0, 1))))
-    keep = 3 * k
+    rounds = max(1, -(-queries.count() // MOST_QUERIES))
+    found: DataFrame | None = None
+    for turn in range(rounds):
+        own = queries if rounds == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == turn)
+        one = _nearest(items, own, k, item_id, location, vector, digits)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _nearest(items: DataFrame, queries: DataFrame, k: int, item_id: str, location: Sequence[str], vector: str, digits: int | None) -> DataFrame:
+    asked = queries.select("query_id", F.col(vector).alias("v")).toPandas()  # one round of queries
+    shared = items.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(), _unit(asked["v"]) if len(asked) else np.zeros((0, 1))))
     place = [c for c in location if c != item_id]
 
     def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = shared.value
         held: pd.DataFrame | None = None
         for pdf in parts:
-            if not len(pdf) or not len(ids):
-                continue
-            s = unit(pdf["v"]) @ q.T
-            m = min(keep, len(pdf))
-            at = np.argpartition(-s, m - 1, axis=0)[:m]
-            rows = pdf.drop(columns="v").iloc[at.T.ravel()].reset_index(drop=True)
-            rows.insert(0, "query_id", np.repeat(ids, m))
-            rows["score"] = s[at.T.ravel(), np.repeat(np.arange(len(ids)), m)]
-            held = rows if held is None else pd.concat([held, rows])
-            held = held.sort_values(["query_id", "score", item_id], ascending=[True, False, True]).groupby("query_id").head(keep)
+            for at in range(0, len(pdf) if len(ids) else 0, 2000):
+                part = pdf.iloc[at : at + 2000]
+                s = _unit(part["v"]) @ q.T
+                rows = _best_of(part.drop(columns="v"), s if digits is None else np.round(s, digits), ids, k, list(location), item_id)
+                rows = rows if held is None else pd.concat([held, rows])
+                rows = rows.sort_values(["query_id", "score", item_id], ascending=[True, False, True]).drop_duplicates(["query_id", *location])
+                held = rows[rows.groupby("query_id").cumcount() < k]
         if held is not None:
             yield held
 

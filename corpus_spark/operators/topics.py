@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 WIDTH = 384
 
 
-def hash_embedding(text: Column, width: int = WIDTH) -> Column:
-    """array<float>: each lower-case token adds +-1 at a place from its digest; unit length, zero stays zero."""
+def hash_embedding(text: Column, width: int = WIDTH, kind: str = "float") -> Column:
+    """array<float> or array<double>: each lower-case token adds +-1 at a place from its digest; unit length, zero stays zero."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(f"array<{kind}>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, tuple[int, int]] = {}
         for batch in batches:
-            rows = np.zeros((len(batch), width), dtype=np.float32)
+            rows = np.zeros((len(batch), width), dtype=np.float32 if kind == "float" else np.float64)
             for row, text_ in zip(rows, batch):
                 for token in text_.lower().split() if text_ else ():
                     if token not in known:

@@ -229,14 +229,15 @@ def w4_hash_embedding_long(spark, d):
     return topics.hash_embedding_long(Z.table(spark, d, "benchmark"), "item_id", "text").withColumn("value", F.round("value", 6))
 
 
-@query()
+@query("WITH e AS (SELECT item_id, unnest([length(text), length(text) - length(replace(text, ' ', '')), 1]) AS v, unnest([0, 1, 2]) AS idx FROM benchmark) SELECT item_id, idx, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)), 2) AS value FROM e")
 def w5_model_embedding(spark, d):
     def encoder():
         import numpy as np
 
         return lambda texts: np.array([[len(t), t.count(" "), 1.0] for t in texts])
 
-    return topics.model_embedding(Z.table(spark, d, "benchmark"), "text", encoder).select("item_id", "embedding")
+    found = topics.model_embedding(Z.table(spark, d, "benchmark"), "text", encoder).select("item_id", F.posexplode("embedding").alias("idx", "value"))
+    return found.withColumn("value", F.round(F.col("value").cast("double"), 2))
 
 
 @query()
@@ -293,7 +294,11 @@ def w11_stability(spark, d):
     return topics.stability(Z.table(spark, d, "embeddings").select("vec_id", "embedding"), 10, 42)
 
 
-@query()
+@query(r"""WITH t AS (SELECT (doc_id % 5)::INT AS topic_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: length(x) >= 3)) AS term FROM documents),
+c AS (SELECT topic_id, term, row_number() OVER (PARTITION BY topic_id ORDER BY count(*) DESC, term) AS rank FROM t GROUP BY topic_id, term),
+l AS (SELECT topic_id, string_agg(term, ', ' ORDER BY rank) AS label FROM c WHERE rank <= 5 GROUP BY topic_id),
+f AS (SELECT (doc_id % 5)::INT AS topic_id, row_number() OVER (PARTITION BY doc_id % 5 ORDER BY doc_id)::INT AS rank, doc_id, substr(text, 1, 300) AS text FROM documents)
+SELECT topic_id, rank, doc_id, text, label FROM f LEFT JOIN l USING (topic_id) WHERE rank <= 3""")
 def w12_topic_preview(spark, d):
     docs = _docs(spark, d).withColumn("topic_id", (F.col("doc_id") % 5).cast("int"))
     return topics.preview(docs, topics.count_labels(docs))

@@ -133,13 +133,13 @@ def j5_violations(spark, d):
     return coding.violations(a, [("doc_id", "string", True, None), ("coder_id", "string", True, None), ("code", "category", True, "g"), ("many", "multi_category", False, "g")], codes)
 
 
-_BOOK = "WITH b AS (SELECT 'n' || n_nationkey AS code_id, CASE WHEN n_nationkey % 4 = 0 THEN 'n99' WHEN n_nationkey % 4 = 1 THEN 'n0' END AS parent_id, CASE WHEN n_nationkey % 7 = 0 THEN ' ' ELSE n_name END AS description, 'g' || (n_nationkey % 3) AS mutually_exclusive_group FROM nation UNION ALL SELECT 'n1', NULL, 'again', 'g0')"
+_BOOK = "WITH b AS (SELECT 'n' || p_partkey AS code_id, CASE WHEN p_partkey % 4 = 0 THEN 'x' || p_partkey WHEN p_partkey % 4 = 1 THEN 'n0' END AS parent_id, CASE WHEN p_partkey % 7 = 0 THEN ' ' ELSE p_name END AS description, 'g' || (p_partkey % 3) AS mutually_exclusive_group, p_brand AS book FROM part UNION ALL SELECT 'n1', NULL, 'again', 'g0', 'more')"
 
 
 def _book(spark, d):
-    n, k = Z.table(spark, d, "nation"), F.col("n_nationkey")
-    one = n.select(F.concat(F.lit("n"), k.cast("string")).alias("code_id"), F.when(k % 4 == 0, "n99").when(k % 4 == 1, "n0").alias("parent_id"), F.when(k % 7 == 0, " ").otherwise(F.col("n_name")).alias("description"), F.concat(F.lit("g"), (k % 3).cast("string")).alias("mutually_exclusive_group"))
-    return one.unionByName(spark.createDataFrame([("n1", None, "again", "g0")], one.schema))
+    k = F.col("p_partkey")
+    one = Z.table(spark, d, "part").select(F.concat(F.lit("n"), k.cast("string")).alias("code_id"), F.when(k % 4 == 0, F.concat(F.lit("x"), k.cast("string"))).when(k % 4 == 1, "n0").alias("parent_id"), F.when(k % 7 == 0, " ").otherwise(F.col("p_name")).alias("description"), F.concat(F.lit("g"), (k % 3).cast("string")).alias("mutually_exclusive_group"), F.col("p_brand").alias("book"))
+    return one.unionByName(spark.createDataFrame([("n1", None, "again", "g0", "more")], one.schema))
 
 
 @query(_BOOK + " SELECT code_id, 'duplicate id' AS problem FROM b GROUP BY code_id HAVING count(*) > 1 UNION ALL SELECT code_id, 'empty description' FROM b WHERE trim(description) = '' UNION ALL SELECT code_id, 'unknown parent' FROM b WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT code_id FROM b)")
@@ -149,7 +149,7 @@ def j6_codebook_problems(spark, d):
 
 @query(_BOOK + " SELECT DISTINCT code_id FROM b WHERE mutually_exclusive_group = 'g1'")
 def j7_group_codes(spark, d):
-    books = _book(spark, d).agg(F.collect_list(F.struct("*")).alias("codes"))
+    books = _book(spark, d).groupBy("book").agg(F.collect_list(F.struct("code_id", "mutually_exclusive_group")).alias("codes"))
     return coding.group_codes(coding.flatten_codebook(books), "g1")
 
 
@@ -169,38 +169,59 @@ def r1_chunks(spark, d):
     return _chunks(spark, d).drop("filename", "path", "page_number")
 
 
-_NEAR = "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 7), s AS (SELECT query_id, vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.e::DOUBLE[]) AS score FROM embeddings v, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 5"
+_NEAR = "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.e::DOUBLE[]) AS score FROM embeddings v, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 5"
 
 
 @query(_NEAR)
 def r2_nearest(spark, d):
     e = Z.table(spark, d, "embeddings")
-    q = e.filter("vec_id % 100 = 7").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return retrieval.nearest(e, q, 5, "vec_id", ["vec_id"]).withColumn("score", F.round("score", 6))
 
 
 def _found(spark, d, k=8):
     """Chunks of documents found for tasks made of benchmark items, by hash embedding."""
-    chunks = _chunks(spark, d, 1200, 200).withColumn("embedding", topics.hash_embedding(F.col("text")))
+    chunks = _chunks(spark, d, 1200, 200).withColumn("embedding", topics.hash_embedding(F.col("text"), kind="double"))
     asked = retrieval.task_queries(_tasks(spark, d)).withColumn("query_id", F.concat_ws("/", "task_id", F.col("turn").cast("string")))
-    queries = asked.withColumn("embedding", topics.hash_embedding(F.col("query")))
-    hits = retrieval.nearest(chunks, queries, k, "chunk_id", ["filename", "page_number", "chunk_index", "text"])
-    return hits.join(F.broadcast(asked), "query_id")
+    queries = asked.withColumn("embedding", topics.hash_embedding(F.col("query"), kind="double"))
+    hits = retrieval.nearest(chunks, queries, k, "chunk_id", ["filename", "page_number", "chunk_index", "text"], digits=9)
+    return hits.join(asked, "query_id")
 
 
 def _tasks(spark, d):
-    b = Z.table(spark, d, "benchmark").filter("item_id % 10 = 1")
-    words = F.slice(F.filter(F.split("text", r"\s+"), lambda w: F.length(w) >= 5), 1, 4)
-    return b.select(F.col("item_id").cast("string").alias("task_id"), F.substring("text", 1, 80).alias("question_en"), F.lit("").alias("question_ru"), words.alias("keywords"), F.lit("t").alias("title"), retrieval.task_terms(F.substring("text", 1, 80), F.lit("")).alias("terms"))
+    words = F.filter(F.split("text", r"\s+"), lambda w: F.length(w) >= 5)
+    return Z.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("task_id"), F.col("text").alias("question_en"), F.lit("").alias("question_ru"), words.alias("keywords"), F.lit("t").alias("title"), retrieval.task_terms(F.col("text"), F.lit("")).alias("terms"))
 
 
-@query(r"""WITH b AS (SELECT item_id::VARCHAR AS task_id, substr(text, 1, 80) AS q, list_filter(regexp_split_to_array(text, '\s+'), lambda w: length(w) >= 5)[1:4] AS k FROM benchmark WHERE item_id % 10 = 1),
-u AS (SELECT task_id, 0 AS turn, trim(q, ' ') AS query FROM b UNION ALL SELECT task_id, 1, array_to_string(k, ' ') FROM b WHERE len(k) > 0) SELECT * FROM u""")
+_ASKED = r"""WITH b AS (SELECT item_id::VARCHAR AS task_id, text AS q, list_filter(regexp_split_to_array(text, '\s+'), lambda w: length(w) >= 5) AS k, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_-]+'), lambda w: length(w) >= 5)) AS terms FROM benchmark),
+u AS (SELECT task_id, 0 AS turn, trim(q, ' ') AS query FROM b UNION ALL SELECT task_id, 1, array_to_string(k, ' ') FROM b WHERE len(k) > 0)"""
+
+
+@query(_ASKED + " SELECT * FROM u")
 def r3_task_queries(spark, d):
     return retrieval.task_queries(_tasks(spark, d))
 
 
-@query()
+def _cells(table: str, key: str, text: str) -> str:
+    """(key, idx, v, norm) of hash embeddings, sparse."""
+    return f"""(SELECT {key}, idx, v, sqrt(sum(v * v) OVER (PARTITION BY {key})) AS norm FROM (
+  SELECT {key}, (('0x' || substr(sha256(t), 1, 8))::BIGINT % 384)::INT AS idx, sum(CASE WHEN ('0x' || substr(sha256(t), 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS v
+  FROM (SELECT {key}, unnest(list_filter(regexp_split_to_array(lower({text}), '\\s+'), lambda x: x <> '')) AS t FROM {table}) GROUP BY {key}, idx HAVING v <> 0))"""
+
+
+_EVIDENCE = _ASKED + f""", d AS (SELECT doc_id, source, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM documents),
+n AS (SELECT doc_id, source, t, unnest(range(0, CASE WHEN length(t) = 0 THEN 0 WHEN length(t) <= 1200 THEN 1 ELSE ceil((length(t) - 1200) / 1000)::BIGINT + 1 END)) AS k FROM d),
+ck AS (SELECT doc_id || printf('_%06d', k) AS chunk_id, source AS filename, k::INT AS chunk_index, trim(substr(t, (k * 1000)::INT + 1, 1200)) AS text FROM n),
+uq AS (SELECT task_id || '/' || turn AS query_id, * FROM u),
+sc AS (SELECT q.query_id, c.chunk_id, round(sum(q.v * c.v) / (any_value(q.norm) * any_value(c.norm)), 9) AS score FROM {_cells('uq', 'query_id', 'query')} q JOIN {_cells('ck', 'chunk_id', 'text')} c ON q.idx = c.idx GROUP BY q.query_id, c.chunk_id),
+f1 AS (SELECT uq.task_id, uq.turn, sc.query_id, ck.*, sc.score, row_number() OVER (PARTITION BY sc.query_id, filename, chunk_index, text ORDER BY sc.score DESC, ck.chunk_id) AS f FROM sc JOIN ck USING (chunk_id) JOIN uq USING (query_id)),
+f2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f1 WHERE f = 1),
+f3 AS (SELECT *, row_number() OVER (PARTITION BY task_id, filename, chunk_index ORDER BY turn, rank) AS g FROM f2 WHERE rank <= 8),
+f4 AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, turn, rank) AS r FROM f3 WHERE g = 1),
+ev AS (SELECT task_id, 'E' || r AS evidence_id, filename, chunk_index, score, text FROM f4 WHERE r <= 10)"""
+
+
+@query(_EVIDENCE + " SELECT task_id, evidence_id, filename, chunk_index, round(score, 6) AS score FROM ev")
 def r4_evidence(spark, d):
     return retrieval.collect_evidence(_found(spark, d), 10).select("task_id", "evidence_id", "filename", "chunk_index", F.round("score", 6).alias("score"))
 
@@ -214,24 +235,49 @@ def r5_filter_evidence(spark, d):
     return retrieval.filter_evidence(e, 20.0, 12)
 
 
-@query()
+_SENTENCES = _EVIDENCE + r""", st AS (SELECT task_id, evidence_id, score, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM ev),
+pt AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: length(x) >= 20) AS parts FROM st),
+se AS (SELECT task_id, evidence_id, score, unnest(CASE WHEN len(parts) > 0 THEN parts ELSE [t] END) AS sentence FROM pt),
+hs AS (SELECT se.task_id, evidence_id, sentence, lower(sentence) AS low, score + 0.2::DOUBLE * len(list_filter(k, lambda x: contains(lower(sentence), lower(x)))) + 0.1::DOUBLE * len(list_filter(terms, lambda x: contains(lower(sentence), x))) AS score FROM se JOIN b USING (task_id) WHERE sentence <> ''),
+o1 AS (SELECT *, row_number() OVER (PARTITION BY task_id, low ORDER BY score DESC, evidence_id) AS f FROM hs),
+bs AS (SELECT * FROM (SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, low) AS rank, sentence, score, evidence_id FROM o1 WHERE f = 1) WHERE rank <= 5)"""
+
+
+@query(_SENTENCES + " SELECT task_id, rank::INT AS rank, sentence, round(score, 6) AS score, evidence_id FROM bs")
 def r6_best_sentences(spark, d):
     return retrieval.best_sentences(retrieval.collect_evidence(_found(spark, d), 10), _tasks(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query()
-def r8_summaries(spark, d):
-    """R7 concepts, methods and limitations are part of it."""
+def _terms(spark, d):
+    """The tasks' keywords as concepts, and two lists for all of them."""
     tasks = _tasks(spark, d)
     own = tasks.select("task_id", F.lit("concept").alias("kind"), F.posexplode("keywords").alias("ord", "term"))
-    lists = spark.createDataFrame([("method", 0, "thon"), ("method", 1, "eau"), ("limitation", 0, "xylophone")], "kind string, ord int, term string")
-    terms = own.unionByName(tasks.select("task_id").crossJoin(F.broadcast(lists)))
-    return retrieval.summaries(retrieval.collect_evidence(_found(spark, d), 10), tasks, terms)
+    lists = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("ord"), F.lit(term).alias("term")) for kind, k, term in (("method", 0, "thon"), ("method", 1, "eau"), ("limitation", 0, "xylophone"))))
+    return own.unionByName(tasks.select("task_id", F.inline(lists)))
+
+
+_CONCEPTS = """, tx AS (SELECT task_id, unnest(k) AS term, generate_subscripts(k, 1) AS ord FROM b),
+th AS (SELECT *, EXISTS (SELECT 1 FROM ev WHERE ev.task_id = tx.task_id AND contains(lower(ev.text), lower(tx.term))) AS hit FROM tx),
+co AS (SELECT task_id, coalesce((list(term ORDER BY ord) FILTER (hit))[1:10], list(term ORDER BY ord)[1:10]) AS concepts FROM th GROUP BY task_id)"""
+
+
+@query(_EVIDENCE + _CONCEPTS + " SELECT * FROM co")
+def r7_concepts(spark, d):
+    terms = _terms(spark, d)
+    return retrieval.concepts(retrieval.terms_present(retrieval.collect_evidence(_found(spark, d), 10), terms), terms)
+
+
+@query(_SENTENCES + _CONCEPTS + """, fi AS (SELECT task_id, list(sentence ORDER BY rank) AS findings FROM bs GROUP BY task_id),
+me AS (SELECT task_id, list_filter(['thon', 'eau'], lambda m: list_contains(list_transform(l, lambda x: contains(x, m)), true)) AS methods FROM (SELECT task_id, list(lower(text)) AS l FROM ev GROUP BY task_id)),
+us AS (SELECT task_id, list(evidence_id ORDER BY evidence_id) AS used FROM ev GROUP BY task_id)
+SELECT b.task_id, coalesce(findings, []) AS findings, coalesce(concepts, []) AS concepts, coalesce(methods, []) AS methods, []::VARCHAR[] AS limitations, coalesce(used, []) AS evidence_used FROM b LEFT JOIN fi USING (task_id) LEFT JOIN co USING (task_id) LEFT JOIN me USING (task_id) LEFT JOIN us USING (task_id)""")
+def r8_summaries(spark, d):
+    return retrieval.summaries(retrieval.collect_evidence(_found(spark, d), 10), _tasks(spark, d), _terms(spark, d))
 
 
-# Records: documents as candidates (title: first 40 characters; doi: md5 of the text, so copies merge)
+# Records: documents as candidates (title: their first line; abstract: the text; doi: md5 of the text, so copies merge)
 
-_CAND = "WITH c AS (SELECT doc_id AS ordinal, 'c' || doc_id AS candidate_id, CASE doc_id % 3 WHEN 0 THEN 'arxiv' WHEN 1 THEN 'crossref' ELSE 'openalex' END AS source, CASE WHEN doc_id % 2 = 0 THEN 'q1' ELSE 'q9' END AS query_id, substr(text, 1, 40) AS title, CASE WHEN doc_id % 5 > 0 THEN md5(text) END AS doi, CASE WHEN doc_id % 3 = 0 THEN 'https://x.org/abs/' || doc_id ELSE '' END AS url, CASE WHEN doc_id % 4 = 1 THEN 'p' || doc_id ELSE '' END AS pdf_url, CASE WHEN doc_id % 6 = 0 THEN true END AS open_access, (2000 + doc_id % 26)::INT AS year, CASE WHEN doc_id % 7 > 0 THEN (doc_id % 900)::INT END AS citation_count, CASE WHEN doc_id % 3 > 0 THEN substr(text, 41, 200) END AS abstract, [source, lang] AS keywords FROM documents)"
+_CAND = "WITH c AS (SELECT doc_id AS ordinal, 'c' || doc_id AS candidate_id, CASE doc_id % 3 WHEN 0 THEN 'arxiv' WHEN 1 THEN 'crossref' ELSE 'openalex' END AS source, CASE WHEN doc_id % 2 = 0 THEN 'q1' ELSE 'q9' END AS query_id, string_split(text, chr(10))[1] AS title, CASE WHEN doc_id % 5 > 0 THEN md5(text) END AS doi, CASE WHEN doc_id % 3 = 0 THEN 'https://x.org/abs/' || doc_id ELSE '' END AS url, CASE WHEN doc_id % 4 = 1 THEN 'p' || doc_id ELSE '' END AS pdf_url, CASE WHEN doc_id % 6 = 0 THEN true END AS open_access, (2000 + doc_id % 26)::INT AS year, CASE WHEN doc_id % 7 > 0 THEN (doc_id % 900)::INT END AS citation_count, CASE WHEN doc_id % 3 > 0 THEN text END AS abstract, [source, lang] AS keywords FROM documents)"
 
 
 def _candidates(spark, d):
@@ -239,8 +285,8 @@ def _candidates(spark, d):
     text = k.cast("string")
     return _docs(spark, d).select(
         k.alias("ordinal"), F.concat(F.lit("c"), text).alias("candidate_id"), F.when(k % 3 == 0, "arxiv").when(k % 3 == 1, "crossref").otherwise("openalex").alias("source"), F.when(k % 2 == 0, "q1").otherwise("q9").alias("query_id"),
-        F.substring("text", 1, 40).alias("title"), F.when(k % 5 > 0, F.md5(F.col("text").cast("binary"))).alias("doi"), F.when(k % 3 == 0, F.concat(F.lit("https://x.org/abs/"), text)).otherwise("").alias("url"), F.when(k % 4 == 1, F.concat(F.lit("p"), text)).otherwise("").alias("pdf_url"),
-        F.when(k % 6 == 0, True).alias("open_access"), (2000 + k % 26).cast("int").alias("year"), F.when(k % 7 > 0, (k % 900).cast("int")).alias("citation_count"), F.when(k % 3 > 0, F.substring("text", 41, 200)).alias("abstract"), F.array("source", "lang").alias("keywords"),
+        F.split("text", "\n")[0].alias("title"), F.when(k % 5 > 0, F.md5(F.col("text").cast("binary"))).alias("doi"), F.when(k % 3 == 0, F.concat(F.lit("https://x.org/abs/"), text)).otherwise("").alias("url"), F.when(k % 4 == 1, F.concat(F.lit("p"), text)).otherwise("").alias("pdf_url"),
+        F.when(k % 6 == 0, True).alias("open_access"), (2000 + k % 26).cast("int").alias("year"), F.when(k % 7 > 0, (k % 900).cast("int")).alias("citation_count"), F.when(k % 3 > 0, F.col("text")).alias("abstract"), F.array("source", "lang").alias("keywords"),
     )
 
 
@@ -275,10 +321,10 @@ def b4_arxiv(spark, d):
     return B.arxiv(Z.table(spark, d, "pages").select(F.lit("q").alias("query_id"), feed.alias("payload"))).select("candidate_id", "title", "year", "pdf_url")
 
 
-@query("SELECT 'manual_seed_' || substr(sha1(trim(n_name)), 1, 12) AS candidate_id, trim(n_name) AS title, (n_nationkey % 2 = 0) AS open_access FROM nation")
+@query("SELECT 'manual_seed_' || substr(sha1(trim(p_name)), 1, 12) AS candidate_id, trim(p_name) AS title, (p_partkey % 2 = 0) AS open_access FROM part")
 def b5_seeds(spark, d):
     none = lambda t: F.lit(None).cast(t)
-    rows = Z.table(spark, d, "nation").select(F.concat(F.lit(" "), "n_name").alias("title"), none("array<string>").alias("authors"), none("int").alias("year"), none("string").alias("journal"), none("string").alias("abstract"), F.lit("").alias("doi"), F.lit("u").alias("url"), F.when(F.col("n_nationkey") % 2 == 0, "p").otherwise("").alias("pdf_url"), none("boolean").alias("open_access"), none("array<string>").alias("keywords"), F.lit("n").alias("note"))
+    rows = Z.table(spark, d, "part").select(F.concat(F.lit(" "), "p_name").alias("title"), none("array<string>").alias("authors"), none("int").alias("year"), none("string").alias("journal"), none("string").alias("abstract"), F.lit("").alias("doi"), F.lit("u").alias("url"), F.when(F.col("p_partkey") % 2 == 0, "p").otherwise("").alias("pdf_url"), none("boolean").alias("open_access"), none("array<string>").alias("keywords"), F.lit("n").alias("note"))
     return B.seeds(rows).select("candidate_id", "title", "open_access")
 
 
@@ -330,9 +376,9 @@ def b10_download_state(spark, d):
     return B.download_state(_candidates(spark, d)).select("candidate_id", "eligible", "state")
 
 
-@query(_CAND + " SELECT candidate_id, CASE WHEN query_id = 'q1' THEN 'First' ELSE 'First' END AS used_query FROM c")
+@query(_CAND + " SELECT candidate_id, CASE WHEN query_id = 'q1' THEN 'First' ELSE 'Zeroth' END AS used_query FROM c")
 def j8_query_lookup(spark, d):
-    asked = spark.createDataFrame([("q1", 0, "First"), ("q2", 1, "Second")], "query_id string, ord int, name string")
+    asked = spark.createDataFrame([("q1", 1, "First"), ("q0", 0, "Zeroth"), ("q2", 2, "Second")], "query_id string, ord int, name string")
     return B.with_query(_candidates(spark, d), asked).select("candidate_id", "used_query")
 
 
@@ -359,9 +405,9 @@ def _runs(spark, d):
     return e.select(F.col("event_id").alias("run_id"), F.col("user_id").alias("experiment"), F.col("event_type").alias("hypothesis"), F.col("ts").alias("run_time"), "value", F.from_json("props", "map<string,string>").alias("params"))
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), '1') OR contains(n_nationkey::VARCHAR, '1') OR contains(n_regionkey::VARCHAR, '1') LIMIT 1000")
+@query("SELECT event_id, event_type FROM events WHERE contains(event_id::VARCHAR, '19') OR contains(user_id::VARCHAR, '19') OR contains(lower(event_type), '19') OR contains(lower(props), '19')")
 def e1_search(spark, d):
-    return runs.search(Z.table(spark, d, "nation"), "1", 1000).select("n_nationkey", "n_name")
+    return runs.search(Z.table(spark, d, "events").drop("ts", "value"), " 19 ", 1 << 30).select("event_id", "event_type")
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(source), 'src1') AND contains(lower(lang), 'e')")

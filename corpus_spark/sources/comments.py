@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import sys
 from collections.abc import Iterable, Mapping
 
 import pandas as pd
@@ -45,6 +46,7 @@ def repair_line(line: Column) -> Column:
 
     @F.pandas_udf("array<string>")
     def fields(lines: pd.Series) -> pd.Series:
+        csv.field_size_limit(sys.maxsize)  # a comment may be of any length
         return lines.map(lambda x: next(csv.reader([x]), []) if x else [])
 
     bare = F.trim(line)

@@ -58,7 +58,7 @@ def export_by_place(mentioned: DataFrame, folder: str, cap: int, row_id: str) ->
     """At most ``cap`` rows a place, one folder a place; returns the manifest (toponym, path, rows)."""
     from corpus_spark.operators.sampling import first_in_groups
 
-    rows = first_in_groups(mentioned, ["toponym"], cap, [row_id]).withColumn("place", safe_name(F.col("toponym")))
+    rows = written(first_in_groups(mentioned, ["toponym"], cap, [row_id]).withColumn("place", safe_name(F.col("toponym"))), "by-place")
     for_csv(rows).repartition("place").write.mode("overwrite").option("header", True).partitionBy("place").csv(folder)
     return rows.groupBy("toponym", "place").agg(F.count("*").alias("rows")).select("toponym", F.concat(F.lit(f"{folder}/place="), "place").alias("path"), "rows")
 
