@@ -1,23 +1,29 @@
 """Operator 2: main text of HTML pages by boosted trees over DOM nodes.
 
-Each element has features of its own (tag, attribute tokens, depth, sibling statistics) and of its
-subtree (density of text, links and punctuation, share of the page). Gradient-boosted trees give every
+Each element has features of its own (tag, depth, sibling statistics, its attribute tokens and those of
+the elements above it, hashed into columns) and of its subtree (density of text, links and punctuation,
+share of the page). Gradient-boosted trees give every
 element the log-odds of being main content. Decoding works down the tree: the value of an element is
 its own log-odds, weighted by the text that stands directly in it, plus that of the children that are
 worth keeping; an element that is dropped drops all below it, so no kept element stands in a dropped
 one. Text that is kept is cut into blocks at block elements.
 
-The trees are trained here on pages put together from a bounded sample of the table: text blocks of
-``sample_pages`` pages, chosen by hash, set into layouts drawn from rules, whose main part is known.
+The trees are trained here on a bounded sample of the table, about ``sample_pages`` pages chosen by hash:
+on their text blocks set into layouts drawn from rules, whose main part is known and whose parts bear
+names of the usual kinds, and on the pages themselves, where text that several pages of a host repeat is
+known to be no main text. What a name means is learned from where it stands; no list of names is asked.
 
-Null and empty pages give the empty text. Pages without markup are one block of text. Repeated rows are
-extracted each; an empty table gives no rows.
+Null and empty pages give the empty text. Pages without markup are one block of text. Pages of any
+length, also such as end within a tag or an attribute, are read in one pass. Repeated rows and ids are
+extracted each; elements as likely in as out are left out; an empty table gives no rows. Other columns,
+whatever their names, have no part in it.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +31,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: What begins markup; its end is looked for by hand, so that every character is read once.
+_OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: A whole plain tag: it ends before the next "<", so that a failed try costs no more than the way there.
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/<>\"']*+)([^<>\"']*+(?:\"[^\"<]*+\"[^<>\"']*+|'[^'<]*+'[^<>\"']*+)*+)>")
+#: One attribute: name, and a value in quotes or up to the next blank or bracket. Nothing is given back once it is read,
+#: and only a quote that is never closed is read twice, of which a page has two at most.
+_ATTR = re.compile(r"[\s/]*+(?:([^\s=/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))?)?|=)")
+_ENDS_IN_VALUE = re.compile(r"=\s*[^\s\"'][^\s]*\Z")
+#: Elements nested deeper become siblings, as in browsers.
+_DEEPEST = 512
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,8 +50,8 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 #: Open elements that a start tag ends.
 _ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dd", "dt", "p"}, "dd": {"dd", "dt", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 _SCOPE = frozenset("ul ol dl table article section div body main aside nav header footer form blockquote td th".split())
-GOOD_TOKENS = frozenset("article articlebody body content entry main post story text prose page".split())
-BAD_TOKENS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion footer header login masthead menu meta modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted related reply replies respond share sharing shoutbox sidebar signup social sponsor sponsored subscribe tags toc toolbar widget".split())
+#: Columns for the tokens of an element's attributes and its tag, and as many for those above it.
+_SLOTS = 192
 
 
 class Node:
@@ -51,45 +66,109 @@ class Node:
         self.size = 1
 
 
+def _start_tag(page: str, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+    """Attributes behind a tag's name, whether it closes itself, and the place behind it."""
+    found: list[tuple[str, str]] = []
+    while (m := _ATTR.match(page, at)) and m.end() > at:
+        if m[1]:
+            found.append((m[1].lower(), m[2] or m[3] or m[4] or ""))
+        at = m.end()
+    rest = at
+    while rest < len(page) and (page[rest].isspace() or page[rest] == "/"):
+        rest += 1
+    if rest < len(page) and page[rest] == ">":
+        return found, rest > at and page[rest - 1] == "/", rest + 1
+    return found, False, len(page) if rest >= len(page) else rest
+
+
+def _raw_end(page: str, low: str, name: str, at: int) -> int:
+    """The place behind a raw element's end tag, those of the same name within it counted; -1 where there is none."""
+    depth = 1
+    ends = re.compile(f"<(/?){re.escape(name)}(?=[\\s/>])") if name not in ("script", "style", "textarea", "title") else re.compile(f"<(/){re.escape(name)}(?=[\\s/>])")
+    for m in ends.finditer(low, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            close = page.find(">", m.end())
+            return close + 1 if close >= 0 else len(page)
+    return -1
+
+
 def parse(page: str) -> Node:
-    """A tree of elements; end tags without a start are skipped, missing ones supplied."""
+    """A tree of elements; end tags without a start are skipped, missing ones supplied.
+
+    Texts are decoded one by one, so that no character reference spans two of them. Each character is
+    read a bounded number of times, whatever the page.
+    """
     root = here = Node("#root", None)
     at, low = 0, None
-    for m in iter(lambda: _TOKEN.search(page, at), None):
+    lost: set[str] = set()  # raw elements whose end the rest of the page lacks
+
+    def say(text: str) -> None:
+        here.items.append(html_lib.unescape(text) if "&" in text else text)
+
+    while at < len(page):
+        m = _OPEN.search(page, at)
+        if m is None:
+            say(page[at:])
+            break
         if m.start() > at:
-            here.items.append(page[at : m.start()])
+            say(page[at : m.start()])
+        plain = _PLAIN.match(page, m.start())
         at = m.end()
-        name = m[2]
-        if not name:
-            if m[0].startswith("<![CDATA["):
-                here.items.append(m[0][9:-3])
+        first = page[at]
+        if plain:
+            pass
+        elif first in "!?":
+            if page.startswith("!--", at):
+                end, skip = page.find("-->", at + 1), 3
+            elif page.startswith("![CDATA[", at):
+                end, skip = page.find("]]>", at), 3
+                here.items.append(page[at + 8 : end if end >= 0 else len(page)])
+            else:
+                end, skip = page.find(">", at), 1
+            at = end + skip if end >= 0 else len(page)
             continue
-        name = name.lower()
-        if m[1]:
+        name = None if plain else _NAME.match(page, at + (first == "/"))
+        if name is None and not plain:  # no tag: "</ " and the like are comments up to the next bracket
+            end = page.find(">", at)
+            at = end + 1 if end >= 0 else len(page)
+            continue
+        if plain:
+            tag, at, said = plain[2].lower(), plain.end(), plain[3]
+            attrs = _start_tag(said, 0)[0] if said else []
+            closed = said.endswith("/") and not _ENDS_IN_VALUE.search(said)
+        else:
+            tag = name[0].lower()
+            attrs, closed, at = _start_tag(page, name.end())
+        if first == "/":
             up = here
-            while up is not root and up.tag != name:
-                if up.tag in _SCOPE and name not in _SCOPE and name not in BLOCK:
+            while up is not root and up.tag != tag:
+                if up.tag in _SCOPE and tag not in _SCOPE and tag not in BLOCK:
                     up = root
                     break
                 up = up.parent
             if up is not root:
                 here = up.parent
             continue
-        if name in RAW and not m[4]:
-            low = low or page.lower()
-            if name == "head":  # up to its end or the body, whichever comes first
+        if tag in RAW and not closed:
+            low = low or _lower(page)
+            if tag == "head" and tag not in lost:  # up to its end or the body, whichever comes first
+                lost.add(tag)
                 ends = [x for x in (low.find("</head", at), low.find("<body", at)) if x >= 0]
                 end = min(ends, default=-1)
+                if end >= 0 and not low.startswith("<body", end):
+                    end = page.find(">", end) + 1 or len(page)
             else:
-                end = low.find("</" + name, at)
+                end = -1 if tag in lost else _raw_end(page, low, tag, at)
             if end >= 0:
-                close = page.find(">", end)
-                at = end if low.startswith("<body", end) else (close + 1 if close >= 0 else len(page))
-            elif name in ("script", "style"):
+                at = end
+            elif tag in ("script", "style"):
                 at = len(page)
+            else:
+                lost.add(tag)
             continue
-        if name in _ENDS or name in BLOCK and name != "p":
-            up, drop = here, _ENDS.get(name, {"p"})
+        if tag in _ENDS or tag in BLOCK and tag != "p":
+            up, drop = here, _ENDS.get(tag, {"p"})
             last = None
             while up is not root and up.tag not in _SCOPE | {"ul", "ol"} or up.tag in drop:
                 if up.tag in drop:
@@ -97,28 +176,37 @@ def parse(page: str) -> Node:
                 up = up.parent
             if last is not None:
                 here = last.parent
-        node = Node(name, here, _tokens(m[3]) if m[3] else frozenset())
+        node = Node(tag, here, _tokens(attrs))
         here.children.append(node)
         here.items.append(node)
-        if name not in VOID and not m[4]:
+        if tag not in VOID and not closed and node.depth < _DEEPEST:
             here = node
-    if at < len(page):
-        here.items.append(page[at:])
     return root
 
 
-def _tokens(attrs: str) -> frozenset:
+def _lower(page: str) -> str:
+    """Lower case, in which every character keeps its place; where lower() makes two of one, only A-Z change."""
+    low = page.lower()
+    return low if len(low) == len(page) else page.translate(_AZ)
+
+
+_AZ = {c: c + 32 for c in range(65, 91)}
+
+
+def _tokens(attrs: list[tuple[str, str]]) -> frozenset:
     out: set[str] = set()
-    for m in _ATTR.finditer(attrs):
-        if m[2] and (key := m[1].lower()) in ("class", "id", "role", "itemprop", "aria-label"):
-            out.update(x.lower() for x in _WORD.findall(m[2]))
-        elif m[1].lower() == "hidden":
+    for key, value in attrs:
+        if key in ("class", "id", "role", "itemprop", "aria-label"):
+            out.update(x.lower() for x in _WORD.findall(value))
+        elif key == "hidden":
             out.add("hidden")
     return frozenset(out)
 
 
 TAGS = ("article", "main", "section", "div", "p", "nav", "header", "footer", "aside", "form", "ul", "li", "a", "h1", "h2", "h3", "table", "td", "blockquote", "pre", "span", "b", "figure", "body")
-NAMES = [*(f"tag_{t}" for t in TAGS), "inline", "depth", "good", "bad", "bad_above", "good_above", "log_text", "share", "link_share", "mark_rate", "paragraphs", "log_size", "density", "own_share", "siblings", "place", "parent_share", "same_tag", "position"]
+NAMES = [*(f"tag_{t}" for t in TAGS), "inline", "depth", "log_text", "share", "link_share", "mark_rate", "paragraphs", "log_size", "density", "own_share", "siblings", "place", "parent_share", "same_tag", "position", *(f"token_{k}" for k in range(_SLOTS)), *(f"above_{k}" for k in range(_SLOTS))]
+_PLACE, _SAME = NAMES.index("place"), NAMES.index("same_tag")
+_OWN, _ABOVE = NAMES.index("token_0"), NAMES.index("above_0")
 
 
 def features(root: Node) -> tuple[list[Node], np.ndarray]:
@@ -153,21 +241,21 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
     x = np.zeros((len(nodes), len(NAMES)), dtype=np.float64)
     tag_at = {t: k for k, t in enumerate(TAGS)}
     first = len(TAGS)
-    above = np.zeros((len(nodes), 2), dtype=bool)
+    slot: dict[str, int] = {}
     for i, node in enumerate(nodes):
         if node.tag in tag_at:
             x[i, tag_at[node.tag]] = 1
         p = node.parent
-        good, bad = bool(node.tokens & GOOD_TOKENS), bool(node.tokens & BAD_TOKENS) or "hidden" in node.tokens
-        bad = bad or node.tag in ("nav", "footer", "aside", "form")
-        good = good or node.tag in ("article", "main")
+        for token in (f"<{node.tag}>", *node.tokens):
+            if (at := slot.get(token)) is None:
+                at = slot[token] = _OWN + zlib.crc32(token.encode()) % _SLOTS
+            x[i, at] = 1
         if p:
-            above[i] = above[p.index] | x[p.index, first + 2 : first + 4].astype(bool)
+            np.maximum(x[p.index, _ABOVE:], x[p.index, _OWN:_ABOVE], out=x[i, _ABOVE:])
         sib = p.children if p else [node]
-        x[i, first:] = (
-            node.tag not in BLOCK, node.depth, good, bad, above[i, 1], above[i, 0], np.log1p(node.text), node.text / total, node.link / max(1, node.text),
-            node.marks / max(1, node.text), node.paragraphs, np.log1p(node.size), np.log1p(node.text / node.size), node.own / max(1, node.text), len(sib), 0.0,
-            node.text / max(1, p.text) if p else 1.0, 0.0, node.at / total,
+        x[i, first:_OWN] = (
+            node.tag not in BLOCK, node.depth, np.log1p(node.text), node.text / total, node.link / max(1, node.text), node.marks / max(1, node.text), node.paragraphs,
+            np.log1p(node.size), np.log1p(node.text / node.size), node.own / max(1, node.text), len(sib), 0.0, node.text / max(1, p.text) if p else 1.0, 0.0, node.at / total,
         )
     for node in nodes:
         if kids := node.children:
@@ -175,8 +263,8 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
             for c in kids:
                 counts[c.tag] = counts.get(c.tag, 0) + 1
             for k, c in enumerate(kids):
-                x[c.index, first + 15] = k / len(kids)
-                x[c.index, first + 17] = counts[c.tag] / len(kids)
+                x[c.index, _PLACE] = k / len(kids)
+                x[c.index, _SAME] = counts[c.tag] / len(kids)
     return nodes, x
 
 
@@ -194,13 +282,13 @@ def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
 
 
 def blocks(root: Node, keep: np.ndarray) -> list[str]:
-    """Texts of kept elements, cut at block elements, entities decoded, white space collapsed."""
+    """Texts of kept elements, cut at block elements, white space collapsed."""
     out: list[str] = []
     run: list[str] = []
 
     def flush() -> None:
         if run:
-            text = _SPACE.sub(" ", html_lib.unescape("".join(run))).strip()
+            text = _SPACE.sub(" ", "".join(run)).strip()
             if text:
                 out.append(text)
             run.clear()
@@ -271,15 +359,29 @@ class Trees:
         return 2 * total
 
 
-_LAYOUT_MAIN = ('<article>{}</article>', '<main><article>{}</article></main>', '<div class="post-content">{}</div>', '<div id="content"><div class="entry">{}</div></div>', '<section class="story-body">{}</section>', '<main>{}</main>', '<div id="main"><div class="text">{}</div></div>', '<div>{}</div>', '<article class="post"><header>{}</header></article>')
-_LAYOUT_REST = ('<nav><ul>{links}</ul></nav>', '<div class="menu">{links}</div>', '<header><div class="masthead">{t}</div>{links}</header>', '<header>{t}</header>', '<div class="ad">{t}</div>', '<div class="advertisement"><p>{t}</p></div>', '<aside class="sidebar"><h3>{t}</h3><ul>{links}</ul></aside>', '<aside><p>{t}</p><p>{u}</p></aside>', '<div class="cookie-notice"><p>{t}</p><button>ok</button></div>', '<div class="notice">{t}</div>', '<form action="/s"><label>{t}</label><input name="q"></form>', '<div class="newsletter"><form><p>{t}</p></form></div>', '<section id="comments"><h2>{t}</h2><div class="comment"><p>{u}</p></div><div class="comment"><p>{v}</p></div></section>', '<div class="comments"><ol><li><p>{u}</p></li><li><p>{v}</p></li></ol></div>', '<div class="related"><ul>{links}</ul></div>', '<div class="share">{links}</div>', '<footer>{t}</footer>', '<footer><p>&copy; {t}</p><ul>{links}</ul></footer>', '<div id="footer"><p>{t}</p></div>', '<div class="breadcrumbs">{links}</div>', '<div role="navigation">{links}</div>')
+# Layouts of practice pages. {m}, {r} and {x} stand for attributes with names of main parts, of the others, and of neither.
+_LAYOUT_MAIN = ("<article{x}>{t}</article>", "<main><article{m}>{t}</article></main>", "<div{m}>{t}</div>", "<div{x}><div{m}>{t}</div></div>", "<section{m}>{t}</section>", "<main{x}>{t}</main>", "<div{m}><div{x}>{t}</div></div>", "<div>{t}</div>", "<article{m}><header>{t}</header></article>")
+_LAYOUT_REST = ("<nav{x}><ul>{links}</ul></nav>", "<div{r}>{links}</div>", "<header{x}><div{r}>{t}</div>{links}</header>", "<header>{t}</header>", "<div{r}>{t}</div>", "<div{r}><p>{t}</p></div>", "<aside{r}><h3>{t}</h3><ul>{links}</ul></aside>", "<aside{x}><p>{t}</p><p>{u}</p></aside>", "<div{r}><p>{t}</p><button>ok</button></div>", "<div{r}>{t}</div>", '<form action="/s"{x}><label>{t}</label><input name="q"></form>', "<div{r}><form><p>{t}</p></form></div>", "<section{r}><h2>{t}</h2><div{r}><p>{u}</p></div><div{r}><p>{v}</p></div></section>", "<div{r}><ol><li><p>{u}</p></li><li><p>{v}</p></li></ol></div>", "<div{r}><ul>{links}</ul></div>", "<footer{x}>{t}</footer>", "<footer><p>&copy; {t}</p><ul>{links}</ul></footer>", "<div{r}><p>{t}</p></div>", "<section{r}><p>{u}</p></section>")
+_NAMES_MAIN = "article articlebody article-content body-text content entry entry-content main-content maincontent post post-body post-content story story-body text prose page-content".split()
+_NAMES_REST = "ad ads ad-slot advert advertisement banner breadcrumb breadcrumbs comment comments comment-list consent cookie-notice cookies disclaimer discussion footer site-footer header site-header login masthead menu main-menu meta modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted related related-posts reply replies respond share sharing shoutbox sidebar signup social sponsor sponsored subscribe tags toc toolbar widget".split()
+_NAMES_NEITHER = "wrapper container row col inner outer box block clearfix section group layout grid item card".split()
+
+
+def _named(names: list[str], rng: np.random.Generator) -> str:
+    """A class, id or role attribute, with a name of neither kind beside it at times; none now and then."""
+    if rng.random() < 0.08:
+        return ""
+    name = names[rng.integers(len(names))]
+    more = " " + _NAMES_NEITHER[rng.integers(len(_NAMES_NEITHER))] if rng.random() < 0.3 else ""
+    return f' {("class", "id", "class", "role")[rng.integers(4)]}="{name}{more}"'
 
 
 def practice_page(texts: list[str], rng: np.random.Generator) -> tuple[str, str]:
     """A page and its main part's mark: texts set into a layout drawn from the rules above."""
     pick = lambda: texts[rng.integers(len(texts))]
     short = lambda: " ".join(pick().split()[: rng.integers(2, 30)])
-    esc = html_lib.escape
+    esc = lambda t: html_lib.escape(t).replace("{", "&#123;").replace("}", "&#125;")
+    neither = lambda: _named(_NAMES_NEITHER, rng) if rng.random() < 0.3 else ""
     title = " ".join(pick().split()[:9])
     body = [f"<h1>{esc(title)}</h1>"] if rng.random() < 0.8 else []
     for _ in range(rng.integers(1, 12)):
@@ -308,17 +410,23 @@ def practice_page(texts: list[str], rng: np.random.Generator) -> tuple[str, str]
         links = "".join(f'<li><a href="/{k}">{esc(" ".join(pick().split()[: rng.integers(1, 5)]))}</a></li>' for k in range(rng.integers(2, 9)))
         long_one = rng.random() < 0.35
         say = (lambda: esc(pick())) if long_one else (lambda: esc(short()))
-        rest.append(f'<data-rest value="">{str(_LAYOUT_REST[rng.integers(len(_LAYOUT_REST))]).format(links=links, t=say(), u=say(), v=say())}</data-rest>')
+        rest.append(f'<data-rest value="">{_LAYOUT_REST[rng.integers(len(_LAYOUT_REST))].format(links=links, t=say(), u=say(), v=say(), r=_named(_NAMES_REST, rng), x=neither())}</data-rest>')
     inside = "".join(body)
     if rng.random() < 0.25:  # an advert or form within the article
         k = rng.integers(len(body) + 1)
         inside = "".join(body[:k]) + rest.pop() + "".join(body[k:])
-    main = "<data-main>" + str(_LAYOUT_MAIN[rng.integers(len(_LAYOUT_MAIN))]).format(inside) + "</data-main>"
+    main = "<data-main>" + _LAYOUT_MAIN[rng.integers(len(_LAYOUT_MAIN))].format(t=inside, m=_named(_NAMES_MAIN, rng), x=neither()) + "</data-main>"
     k = int(rng.integers(len(rest) + 1)) if rest else 0
     wrap = ("{}", '<div class="wrapper">{}</div>', '<div id="page"><div class="container">{}</div></div>')[rng.integers(3)]
     return "<html><body>" + wrap.format("".join(rest[:k]) + main + "".join(rest[k:])) + "</body></html>", title
 
 
+def _line(node: Node) -> int:
+    """A hash of the text that stands directly in an element, 0 where there is little."""
+    text = _SPACE.sub(" ", " ".join(x for x in node.items if isinstance(x, str))).strip()
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) or 1 if len(text) >= 3 else 0
+
+
 def _practice_rows(pages: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the elements of practice pages made from the texts of ``pages``."""
     rng = np.random.default_rng(seed)
@@ -359,8 +467,33 @@ def _practice_rows(pages: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(xs), np.concatenate(ys)
 
 
-def fit(pages: DataFrame, sample_pages: int = 400, trees: int = 20, depth: int = 4) -> Trees:
-    """Trains Spark's gradient-boosted trees on elements of practice pages."""
+def repeated_texts(some: DataFrame, pages_of_host: int = 5, share: float = 0.3) -> dict[str, set[int]]:
+    """For each host of the sample, hashes of texts that at least so many of its pages, and such a share, repeat.
+
+    Pages with the same longest text count once, so that copies of a page don't make its text look repeated.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for at in range(0, len(pdf), 25):
+                rows = []
+                for host, page in zip(pdf["host"].iloc[at : at + 25], pdf["html"].iloc[at : at + 25]):
+                    nodes, _ = features(parse(page))
+                    longest = _line(max(nodes, key=lambda n: n.own))
+                    rows += [(host, h, longest) for h in {0, *map(_line, nodes)}]
+                yield pd.DataFrame(rows, columns=["host", "h", "longest"])
+
+    counts = some.filter("host is not null").mapInPandas(run, "host string, h bigint, longest bigint").groupBy("host", "h").agg(F.count_distinct("longest").alias("n"))
+    whole = counts.filter("h = 0").select("host", F.col("n").alias("pages"))  # 0 stands once in each page
+    often = counts.filter((F.col("h") != 0) & (F.col("n") >= pages_of_host)).join(whole, "host").filter(F.col("n") >= share * F.col("pages"))
+    out: dict[str, set[int]] = {}
+    for r in often.select("host", "h").collect():  # texts of a bounded sample
+        out.setdefault(r["host"], set()).add(r["h"])
+    return out
+
+
+def fit(pages: DataFrame, sample_pages: int = 400, trees: int = 30, depth: int = 4) -> Trees:
+    """Trains Spark's gradient-boosted trees on elements of practice pages and on repeated texts of the pages themselves."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
@@ -368,15 +501,23 @@ def fit(pages: DataFrame, sample_pages: int = 400, trees: int = 20, depth: int =
 
     total = max(1, pages.count())
     step = max(1, total // sample_pages)
-    some = pages.filter(F.col("html").isNotNull() & (F.length("html") < 60_000) & (F.pmod(F.xxhash64("page_id", F.lit(5)), F.lit(step)) == 0)).select("html")
+    chosen = F.col("html").isNotNull() & (F.pmod(F.xxhash64("page_id", F.lit(5)), F.lit(step)) == 0)
+    some = written(pages.filter(chosen).select(F.nullif(F.regexp_extract("url", "^[a-zA-Z]+://([^/]+)", 1), F.lit("")).alias("host"), "html"), "sample-pages").repartition(6)
+    often = repeated_texts(some)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for at in range(0, len(pdf), 25):
-                x, y = _practice_rows(pdf["html"].iloc[at : at + 25].tolist(), 1 + at)
+                part = pdf.iloc[at : at + 25]
+                x, y = _practice_rows(part["html"].tolist(), 1 + at)
+                for host, page in zip(part["host"], part["html"]):
+                    if gone := often.get(host):
+                        nodes, own = features(parse(page))
+                        own = own[[k for k, n in enumerate(nodes) if _line(n) in gone]]
+                        x, y = np.concatenate([x, own]), np.r_[y, np.zeros(len(own))]
                 yield pd.DataFrame({"x": list(x), "label": y.astype(float)})
 
-    rows = written(some.repartition(6).mapInPandas(run, "x array<double>, label double"), "practice").withColumn("features", array_to_vector("x")).select("features", "label")
+    rows = written(some.mapInPandas(run, "x array<double>, label double"), "practice").withColumn("features", array_to_vector("x")).select("features", "label")
     if rows.select("label").distinct().count() < 2:
         return Trees("")
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1, maxBins=32, minInstancesPerNode=5).fit(rows.cache())
