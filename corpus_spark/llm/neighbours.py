@@ -19,7 +19,10 @@ one all classes of each label are compared in blocks.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing and form their
 own component, as do vectors without label. Vectors of other lengths never link with each other.
-Rows that repeat a vec_id count as vectors of their own, and take the smallest id as usual.
+Vectors of any magnitude count, very long ones too. Labels are of any type; those that are no integers
+are compared by a 64-bit hash. Equal similarities go by id. Rows that repeat a vec_id count as vectors
+of their own, and take the smallest id as usual. An empty table gives no rows. Other columns, whatever
+their names, have no part in it.
 """
 
 from __future__ import annotations
@@ -42,6 +45,7 @@ _SEEN, _ASKED = 100, 4096
 
 def _unit(rows) -> np.ndarray:
     x = np.array([np.asarray(r, dtype=np.float64) for r in rows])
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square leaves the range of numbers
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -256,7 +260,9 @@ def _asked(joined: DataFrame, limit: float, one_in: int) -> pd.DataFrame:
 
 def near_duplicates(vectors: DataFrame, limit: float = 0.98, k: int = 6, leaf: int = 64, trees: int = 2, descents: int = 2, target: float = 0.99, max_rounds: int = 3, queries: int = 200) -> DataFrame:
     """vec_id, n_links, component_id, kept, saturated, recall for every row of (vec_id, embedding, label)."""
-    rows = vectors.select("vec_id", F.col("label").cast("bigint").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    whole = dict(vectors.dtypes)["label"] in ("tinyint", "smallint", "int", "bigint")
+    label = F.col("label").cast("bigint") if whole else F.when(F.col("label").isNotNull(), F.xxhash64("label"))
+    rows = vectors.select("vec_id", label.alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = rows.filter(can_link())
     classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     classes = written(classes.withColumn("dim", F.size("embedding")), "classes")
