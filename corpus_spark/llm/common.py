@@ -2,73 +2,46 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from corpus_spark.sources.scratch import discard, scratch_dir, spread, written  # noqa: F401
 
 #: Words are runs of bytes outside these, as in ``[^\x20\x09-\x0D]+``.
 ASCII_SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one is set only where none is configured and Spark runs in one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="corpus-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
 
-
-_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+def word_bytes(text: str | None) -> list[bytes]:
+    """Words of a text in UTF-8; bytes.split() cuts at exactly the six ASCII white-space bytes."""
+    return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: the rows as a Parquet table in the shared folder, read back.
+def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, size: int = 256) -> DataFrame:
+    """Applies ``work`` to slices of Arrow batches; it returns a value for each column of ``schema``, in that order.
 
-    Lost executors cost only the tasks that were running: later stages read the table.
+    Only one slice's texts are Python objects at a time. Columns that are handed on stay Arrow arrays, so that nulls
+    and large integers are what they were.
     """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _PLACES[out] = path
-    return out
-
-
-def discard(*tables: DataFrame | None) -> None:
-    """Deletes tables that ``written`` made, once all that was read from them is written itself."""
-    for df in tables:
-        if df is not None and (path := _PLACES.pop(df, None)):
-            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def word_bytes(text: str | None) -> list[bytes]:
-    """Words of a text in UTF-8; bytes.split() cuts at exactly the six ASCII white-space bytes."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+    out = T.StructType.fromDDL(schema)
+    kinds = to_arrow_schema(out)
 
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for at in range(0, batch.num_rows, size):
+                made = work(batch.slice(at, size))
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made.values(), kinds)], schema=kinds)
 
-def batches(rows: Iterator, size: int) -> Iterator[list]:
-    out = []
-    for row in rows:
-        out.append(row)
-        if len(out) >= size:
-            yield out
-            out = []
-    if out:
-        yield out
+    return df.mapInArrow(run, out)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

@@ -190,7 +190,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
             for lang, text in zip(pdf["lang"], pdf["text"]):
                 if text:
                     seen.setdefault(lang, Counter()).update(x for w in _words(text) for x in _stretches(w))
-            if sum(map(len, seen.values())) > 300_000:
+            if sum(map(len, seen.values())) > 200_000:
                 yield from (pd.DataFrame({"lang": k, "word": list(c), "n": list(c.values())}) for k, c in seen.items())
                 seen = {}
         yield from (pd.DataFrame({"lang": k, "word": list(c), "n": list(c.values())}) for k, c in seen.items())
@@ -254,7 +254,7 @@ def fit(labelled: DataFrame, model: str, per_lang: int = 1500, rounds: int = 3)
     return langs, prob
 
 
-def annotate(docs: DataFrame, model: str, langs: list[str], prob: np.ndarray, keep: list[str], names: tuple[str, str] = ("lang_pred", "score"), cache: int = 300_000) -> DataFrame:
+def annotate(docs: DataFrame, model: str, langs: list[str], prob: np.ndarray, keep: list[str], names: tuple[str, str] = ("lang_pred", "score"), cache: int = 200_000) -> DataFrame:
     """The columns ``keep`` as they are, with the predicted language and its posterior under equal priors in ``names``.
 
     One narrow pass over ``text``. The parameters have the size of vocabulary times languages and travel by broadcast.
@@ -271,7 +271,7 @@ def annotate(docs: DataFrame, model: str, langs: list[str], prob: np.ndarray, ke
                 part = batch.slice(at, 256)
                 if len(place) > cache:
                     place, logs = {}, logs[:0]
-                texts = part.column(0).to_pylist()
+                texts = part.column(at_text).to_pylist()
                 found, new = [], {}
                 for text in texts:
                     words = _words(text) if text and known else []
@@ -296,14 +296,16 @@ def annotate(docs: DataFrame, model: str, langs: list[str], prob: np.ndarray, ke
                     k = int(x.argmax())
                     pred.append(known[k])
                     score.append(round(float(x[k] / x.sum()), 6))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=out.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=out.names)
 
-    rows = docs.select(F.col("text").alias("text read"), *keep)
-    out = T.StructType([*rows.schema.fields[1:], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    own = [] if "text" in keep else ["text"]
+    rows = docs.select(*keep, *own)
+    at_text = rows.columns.index("text")
+    out = T.StructType([*rows.schema.fields[: len(keep)], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return rows.mapInArrow(run, out)
 
 
-def predict(docs: DataFrame, model: str, langs: list[str], prob: np.ndarray, cache: int = 300_000) -> DataFrame:
+def predict(docs: DataFrame, model: str, langs: list[str], prob: np.ndarray, cache: int = 200_000) -> DataFrame:
     """doc_id, lang_pred and score of every row."""
     return annotate(docs.select("doc_id", "text"), model, langs, prob, ["doc_id"], cache=cache)
 

@@ -22,11 +22,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_spark.llm.bpe import encoder
-from corpus_spark.llm.common import written
+from corpus_spark.llm.common import map_slices, written
 from corpus_spark.llm.places import placed
 
 CAPACITY = 2048
@@ -35,24 +36,20 @@ CAPACITY = 2048
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32. Longer documents are cut; their first piece is the short one."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer)
-        for pdf in parts:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                rows = []
-                for doc, raw in zip(part["doc_id"].tolist(), enc.encode(part["text"])):
-                    raw += b"\0\0\0\0"
-                    n = len(raw) // 4
-                    start, length = 0, n % capacity or min(n, capacity)
-                    k = 0
-                    while start < n:
-                        rows.append((doc, k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)])))
-                        start, length, k = start + length, capacity, k + 1
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+    def work(part: pa.RecordBatch) -> dict:
+        of, rows = [], []
+        for i, raw in enumerate(encoder(tokenizer).encode(part.column("text").to_pylist())):
+            raw += b"\0\0\0\0"
+            n = len(raw) // 4
+            start, length, k = 0, n % capacity or min(n, capacity), 0
+            while start < n:
+                of.append(i)
+                rows.append((k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)])))
+                start, length, k = start + length, capacity, k + 1
+        return {"doc_id": part.column("doc_id").take(pa.array(of)), **dict(zip(("piece", "start", "length", "ids_crc32"), zip(*rows)))}
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return map_slices(docs.select("doc_id", "text"), work, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def lower_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> int:

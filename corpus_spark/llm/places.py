@@ -56,6 +56,24 @@ def _bit(maps: Column, at: Column) -> Column:
     return F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2, F.lit(0))
 
 
+def among(rows: DataFrame, key: str, ids: DataFrame, few: int = 1_000_000, most: int = 100_000_000) -> DataFrame:
+    """The rows whose key is in the one column of ``ids``, and some others by chance; rows are not shuffled.
+
+    Few ids are broadcast. More become a bitmap by their hash, of 16 or 64 MB, which lets through some others: a
+    quarter of them at worst. Beyond ``most`` ids Spark joins by shuffling.
+    """
+    n = ids.count()
+    if n <= few or n > most:
+        return rows.join(F.broadcast(ids) if n <= few else ids, key, "left_semi")
+    slots = 1 << (27 if n <= most // 10 else 29) - _MAP_BITS
+    place = lambda c: F.pmod(F.xxhash64(c.cast("bigint"), F.lit(23)), F.lit(slots << _MAP_BITS))
+    own = place(F.col(ids.columns[0]))
+    maps = ids.groupBy(F.shiftright(own, _MAP_BITS).alias("in slot")).agg(F.bitmap_construct_agg(own.bitwiseAND((1 << _MAP_BITS) - 1)).alias("id map"))
+    asked = place(F.col(key))
+    hit = rows.withColumn("at place", asked).join(F.broadcast(written(maps, "id-maps")), F.shiftright("at place", _MAP_BITS) == F.col("in slot"))
+    return hit.filter(_bit(F.col("id map"), F.col("at place").bitwiseAND((1 << _MAP_BITS) - 1)) == 1).select(*rows.columns)
+
+
 def without(docs: DataFrame, numbers: DataFrame, gone: DataFrame, most: int = _MAPS) -> DataFrame:
     """docs without the rows whose keys are in the one column of ``gone``; no row of docs is shuffled."""
     columns = docs.columns

@@ -17,15 +17,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_spark.llm.common import word_bytes, written
+from corpus_spark.llm.common import map_slices, word_bytes, written
 
+_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 
 
@@ -65,21 +65,22 @@ def _line_hash(line: bytes) -> int:
 def measures(docs: DataFrame) -> DataFrame:
     """row, doc_id, host, the base measures and lines array<struct<h, words>> of distinct lines."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for text in pdf["text"]:
-                lines: dict[int, int] = {}
-                for line in text.split("\n") if text else ():
-                    if words := word_bytes(line.lower()):
-                        h = _line_hash(b" ".join(words))
-                        lines[h] = lines.get(h, 0) + len(words)
-                rows.append((*measure(text), [{"h": h, "words": k} for h, k in lines.items()]))
-            yield pd.concat([pdf[["row", "doc_id", "host"]], pd.DataFrame(rows, index=pdf.index, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])], axis=1)
+    def work(part: pa.RecordBatch) -> dict:
+        found, per_line = [], []
+        for text in part.column("text").to_pylist():
+            lines: dict[int, int] = {}
+            for line in text.split("\n") if text else ():
+                if words := word_bytes(line.lower()):
+                    h = _line_hash(b" ".join(words))
+                    lines[h] = lines.get(h, 0) + len(words)
+            found.append(measure(text))
+            per_line.append([{"h": h, "words": k} for h, k in lines.items()])
+        return {**{c: part.column(c) for c in ("row", "doc_id", "host")}, **dict(zip(_MEASURES, zip(*found))), "lines": per_line}
 
     kind = dict(docs.dtypes)["doc_id"]
-    cols = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<struct<h:bigint,words:bigint>>"
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("source").alias("host"), "text").mapInPandas(run, f"row bigint, doc_id {kind}, host string, {cols}")
+    cols = ", ".join(f"{c} bigint" for c in _MEASURES)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("source").alias("host"), "text")
+    return map_slices(rows, work, f"row bigint, doc_id {kind}, host string, {cols}, lines array<struct<h:bigint,words:bigint>>")
 
 
 def assess(docs: DataFrame, share: float = 0.05, least: int = 25, left: float = 0.3, broadcast_rows: int = 100_000, salts: int = 16) -> DataFrame:
