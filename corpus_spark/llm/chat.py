@@ -6,7 +6,8 @@ before the bar of every control opening ``<\\...|``. The parser takes one such b
 two are inverse for every text, so the second rendering always returns the source.
 
 Null text and null role are empty. Turns go by (turn, role, text), nulls first; repeated rows stay.
-A null conversation id is a conversation of its own. An empty table gives no rows.
+A null conversation id is a conversation of its own. Very long texts are rendered whole. An empty table
+gives no rows. Other columns, whatever their names, have no part in it.
 """
 
 from __future__ import annotations

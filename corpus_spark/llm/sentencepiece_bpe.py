@@ -7,7 +7,9 @@ newline, so merges never cross those places: texts are cut there and a bounded c
 of chunks. Every chunk that enters the cache is compared with the sentencepiece library's ids, by
 Arrow batch; a difference raises an error. Decoding is the library's decode(ids).
 
-Null and empty texts have no ids and decode to the empty text. Repeated rows are encoded each.
+Null and empty texts have no ids and decode to the empty text; very long texts are encoded whole. Pairs
+of equal score go by place, the leftmost first. Repeated rows and ids are encoded each; an empty table
+gives no rows. Other columns, whatever their names, have no part in it.
 """
 
 from __future__ import annotations

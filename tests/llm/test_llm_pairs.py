@@ -61,6 +61,21 @@ def test_jaccard_against_brute_force(spark):
         assert {a: r["component_id"] for a, r in got.items()} == comp
 
 
+def test_jaccard_hot_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(4000)]
+    passage = list(rng.choice(words, 60))
+    texts = {k: " ".join([*passage, *rng.choice(words, 6)]) for k in range(60)}  # one passage in all, most of each
+    texts |= {100 + k: " ".join(passage) for k in range(30)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    real = jaccard._members
+    monkeypatch.setattr(jaccard, "_members", lambda c: real(c, hot=5))
+    size, comp = brute(texts, 3, 90)
+    for bucket in (7, 1000):
+        got = {r["doc_id"]: r for r in jaccard.join_components(df, 3, 90, one_in=2, rounds=0, bucket=bucket).collect()}
+        assert {a: r["component_id"] for a, r in got.items()} == comp and {a: r["n_shingles"] for a, r in got.items()} == size
+
+
 def test_jaccard_edges(spark):
     kind = "doc_id long, text string"
     assert jaccard.join_components(spark.createDataFrame([], kind)).count() == 0
@@ -100,6 +115,16 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_any_magnitude_and_label(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((40, 16))
+    x[1::2] = x[::2] * 1.0001 + 0.001
+    x *= np.where(np.arange(40) % 4 < 2, 1e200, 1e-200)[:, None]
+    df = spark.createDataFrame([(i, v.tolist(), "ab"[i // 20]) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    got = {r["vec_id"]: (r["component_id"], r["n_links"]) for r in neighbours.near_duplicates(df).collect()}
+    assert got == {i: (i - i % 2, 1) for i in range(40)}
+
+
 def test_neighbours_find_rare_links(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((4000, 64))

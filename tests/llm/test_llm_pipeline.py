@@ -60,6 +60,10 @@ def test_rows_by_place(spark, tmp_path):
         left = places.without(docs, numbers, gone, most)
         assert left.columns == docs.columns and sorted((r[0] or 0, r[1]) for r in left.collect()) == want
     assert places.without(docs, numbers, gone.limit(0)).count() == 3000
+    some = keys.filter("text like '%77%'").select("doc_id")
+    for few in (0, 1000):
+        got = {r["text"] for r in places.among(keys, "doc_id", some, few=few).collect()}
+        assert {r[1] for r in rows if "77" in r[1]} <= got and len(got) < 100
     made = spark.createDataFrame(rows, "doc_id long, text string, _metadata string")
     assert places.placed(made).columns == made.columns and places.placed(docs) is docs
 

@@ -138,6 +138,54 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0), html_extract.fit(df.limit(0))).count() == 0
 
 
+def everything(page):
+    root = html_extract.parse(page)
+    return html_extract.blocks(root, np.ones(len(html_extract.features(root)[0]), dtype=bool))
+
+
+def test_html_that_ends_anywhere_or_never():
+    import time
+
+    began = time.time()
+    odd = ["<a " + " ".join(f'x{k}="a' for k in range(1000)), "<a " + " ".join(f'x{k}="v"' for k in range(5000)), "<svg>" * 20_000, "<head>" * 20_000, "<b><p>" * 5000, "<div>" * 5000 + "</x>" * 20_000]
+    odd += ["<" * 50_000, "<!" * 50_000, "</" * 50_000, "<a b='" * 20_000, "&" * 50_000, "<a " + "=" * 50_000, "<a " + "/ " * 50_000, "<!--" * 20_000]
+    for page in odd:
+        everything(page)
+    for k in range(len(PAGE)):
+        everything(PAGE[:k])
+    assert time.time() - began < 20
+
+
+def test_html_references_and_raw_elements():
+    for page, want in (
+        ("a &am<b>p;</b>", ["a &amp;"]), ("<svg>x<svg></svg>leak</svg>y", ["y"]), ("<p>a&lt;b &amp;amp; c", ["a<b &amp; c"]), ('<p title="x>y">t</p>', ["t"]), ("<SCRIPT>x</SCRIPT >z", ["z"]),
+        ("x < y <p>1 <2</p>", ["x < y", "1 <2"]), ("<title>a</title><p>b<p>c", ["b", "c"]), ("<a href=foo/>k</a>m", ["km"]), ("<p>İ<script>a</script>b", ["İb"]), ("<p a='1' b=\"2\" c=3 d>x<br/>y", ["x y"]),
+    ):
+        assert everything(page) == want, page
+
+
+def test_decode_against_all_choices():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        root = html_extract.Node("#root", None)
+        nodes = [root]
+        for _ in range(int(rng.integers(1, 8))):
+            up = nodes[rng.integers(len(nodes))]
+            up.children.append(html_extract.Node("p", up))
+            up.items += [up.children[-1], "x" * int(rng.integers(0, 4))]
+            nodes.append(up.children[-1])
+        nodes, _ = html_extract.features(root)
+        odds = rng.standard_normal(len(nodes))
+        gain = np.array([o * (1 + n.own) if n.own else 0.0 for o, n in zip(odds, nodes)])
+        best = 0.0
+        for mask in range(1 << len(nodes) - 1):
+            keep = [True, *(bool(mask >> k & 1) for k in range(len(nodes) - 1))]
+            if all(not keep[i] or keep[n.parent.index] for i, n in enumerate(nodes) if n.parent):
+                best = max(best, sum(g for g, k in zip(gain[1:], keep[1:]) if k))
+        keep = html_extract.decode(nodes, odds)
+        assert np.isclose(gain[1:][keep[1:]].sum(), best)
+
+
 def test_trees_match_spark(spark):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
@@ -198,6 +246,24 @@ def test_held_out_accuracy(spark):
     assert len(asked) > 100 and sum(r["lang_pred"] == r["lang"] for r in asked) >= 0.95 * len(asked)
 
 
+def test_paragraphs_of_licence_texts(spark):
+    rows = [doc(k, "\n".join(" ".join(f"w{k}_{i}_{j}" for j in range(12)) for i in range(6))) for k in range(300)]
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    apache = "// Unless required by applicable law or agreed to in writing, software\n// distributed under the License is distributed on an \"AS IS\" BASIS,\n// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n// See the License for the specific language governing permissions and\n// limitations under the License."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the “Software”), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."
+    rows += [doc(1000, isc), doc(1001, apache), doc(1002, mit + "\n\n" + isc), doc(1003, "the use of the software in the case of any claim by the author of this book, without any of the rights to copy it")]
+    df = docs(spark, rows)
+    got = {r["doc_id"]: r["families"] for r in licences.scan(df, licences.fit(df)).collect()}
+    assert got[1000] == ["isc"] and got[1001] == ["apache"] and got[1002] == ["isc", "mit"] and got[1003] == []
+    assert not any(got[k] for k in range(300))
+
+
+def test_repeated_texts_of_hosts(spark):
+    pages = [("a.org", f"<p>Same words on all.</p><p>Own words of page number {k}.</p>") for k in range(10)] + [("c.org", "<p>Copies.</p><p>of one page</p>")] * 10 + [("b.org", f"<p>Own {k}.</p>") for k in range(10)] + [(None, "<p>Same words on all.</p>")] * 9
+    found = html_extract.repeated_texts(spark.createDataFrame(pages, "host string, html string"))
+    assert {k: len(v) for k, v in found.items()} == {"a.org": 1}
+
+
 def test_languages_without_blanks(spark):
     de, en = "derhundläuftüberdiestraßeund", "thedogrunsoverthestreetand"
     rows = [doc(k, (de if k % 2 else en)[k % 7 :] + (de if k % 2 else en) * 5, "de" if k % 2 else "en") for k in range(60)]
