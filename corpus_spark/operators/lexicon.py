@@ -131,10 +131,16 @@ def ensure_places(df: DataFrame, gazetteer: Mapping[str, Sequence[str]], text_co
     return df.withColumn("toponyms", F.array().cast("array<string>") if text is None else places(F.col(text), gazetteer))
 
 
-def label_all(df: DataFrame, text: str, gazetteer: Mapping[str, Sequence[str]], compatibility: bool = True) -> DataFrame:
+def label_all(
+    df: DataFrame, text: str, gazetteer: Mapping[str, Sequence[str]], compatibility: bool = True, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE,
+    themes: Mapping[str, Sequence[str]] = THEMES, theme_default: str = THEME_DEFAULT, perceptions: Mapping[str, Sequence[str]] = PERCEPTIONS, perception_default: str = PERCEPTION_DEFAULT,
+) -> DataFrame:
     """Cleaned text, language, sentiment, theme, places and perception in one narrow pass."""
     low = df.withColumn("clean_text", T.clean_text(F.col(text), compatibility)).withColumn("low", F.lower("clean_text"))
-    return low.select("*", T.language(F.col("clean_text")).alias("lang"), sentiment(F.col("low")).alias("sentiment"), theme(F.col("low")).alias("theme"), places(F.col("low"), gazetteer).alias("toponyms"), perception(F.col("low")).alias("place_perception")).drop("low")
+    return low.select(
+        "*", T.language(F.col("clean_text")).alias("lang"), sentiment(F.col("low"), positive, negative).alias("sentiment"), theme(F.col("low"), themes, theme_default).alias("theme"),
+        places(F.col("low"), gazetteer).alias("toponyms"), perception(F.col("low"), perceptions, perception_default).alias("place_perception"),
+    ).drop("low")
 
 
 def in_scope(df: DataFrame, scope: str) -> DataFrame:

@@ -31,14 +31,8 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with clean text, language and all labels."""
-    m = messages(spark, sf_dir)
-    text = F.col("clean_text")
-    m = m.withColumn("clean_text", T.clean_text(F.col("comment"))).drop("comment")
-    return m.select(
-        "*", F.date_format("datetime", "yyyy-MM").alias("period"), T.language(text).alias("lang"), lexicon.sentiment(text, POSITIVE, NEGATIVE).alias("sentiment"),
-        lexicon.theme(text, THEMES, THEME_DEFAULT).alias("theme"), lexicon.places(text, GAZETTEER).alias("toponyms"), lexicon.perception(text, PERCEPTIONS, "none").alias("place_perception"),
-        (F.length("clean_text") % 7).cast("int").alias("topic_id"),
-    )
+    m = lexicon.label_all(messages(spark, sf_dir), "comment", GAZETTEER, positive=POSITIVE, negative=NEGATIVE, themes=THEMES, theme_default=THEME_DEFAULT, perceptions=PERCEPTIONS, perception_default="none")
+    return m.drop("comment").select("*", F.date_format("datetime", "yyyy-MM").alias("period"), (F.length("clean_text") % 7).cast("int").alias("topic_id"))
 
 
 def mentioned(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,26 @@ def test_embedding_forms_agree(spark):
         assert abs(dense[r["id"]][r["idx"]] - r["value"]) < 1e-6
 
 
+def test_kmeans_properties(spark):
+    from corpus_spark.plans.queries import QUERIES
+
+    topic = {r["vec_id"]: r["topic_id"] for r in QUERIES["w6_kmeans"](spark, "/root/testdata/sf0.001").collect()}
+    again = {r["vec_id"]: r["topic_id"] for r in QUERIES["w6_kmeans"](spark, "/root/testdata/sf0.001").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
+    assert topic == again and set(topic) == {r["vec_id"] for r in rows} and 1 < len(set(topic.values())) <= 10
+    sums, sizes = {}, {}
+    for r in rows:  # every vector lies nearest to the mean of its own topic, but for the last step's rest
+        k = topic[r["vec_id"]]
+        sums[k] = [a + b for a, b in zip(sums.get(k, [0] * len(r["embedding"])), r["embedding"])]
+        sizes[k] = sizes.get(k, 0) + 1
+    far = lambda v, k: sum((a - b / sizes[k]) ** 2 for a, b in zip(v, sums[k]))
+    assert sum(min(sizes, key=lambda k: far(r["embedding"], k)) == topic[r["vec_id"]] for r in rows) >= 0.95 * len(rows)
+    ari = QUERIES["w11_stability"](spark, "/root/testdata/sf0.001").first()["ari"]
+    assert -1 <= ari <= 1 and ari == QUERIES["w11_stability"](spark, "/root/testdata/sf0.001").first()["ari"]
+    same = spark.createDataFrame([(k, [float(k % 2), 1.0]) for k in range(20)], "vec_id long, embedding array<double>")
+    assert topics.stability(same, 2, 1).first()["ari"] == 1.0
+
+
 def test_topics(spark):
     df = spark.createDataFrame([(k, [float(k % 2), float(k % 2)]) for k in range(10)], "id long, embedding array<double>")
     t = topics.kmeans_topics(df, 2, 1)
