@@ -245,9 +245,9 @@ def fit(labelled: DataFrame, model: str, per_lang: int = 1500, rounds: int = 3)
                 at = np.flatnonzero(sums)
                 yield pd.DataFrame({"lang": k, "piece": at, "n": sums[at]})
 
-        got = counts.mapInPandas(expect, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+        got = counts.mapInPandas(expect, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
         expected = np.zeros_like(prob)
-        expected[got["piece"], got["lang"]] = got["n"]
+        expected[got.column("piece").to_numpy(), got.column("lang").to_numpy()] = got.column("n").to_numpy()
         expected[-1] = 0
         prob = (expected + 0.01) / (expected.sum(axis=0) + 0.01 * grid.n)
         prob[-1] = FLOOR
