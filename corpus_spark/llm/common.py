@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -17,8 +17,14 @@ from corpus_spark.sources.scratch import discard, scratch_dir, spread, written
 ASCII_SPACE = "[\\x20\\x09-\\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+def table(spark: SparkSession, sf_dir: str, name: str, dealt: bool = True) -> DataFrame:
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if dealt else found
+
+
+def whole(names: list[str]) -> list[Column]:
+    """Columns by their names, whatever characters these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
 
 
 def word_bytes(text: str | None) -> list[bytes]:

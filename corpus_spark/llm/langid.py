@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpus_spark.llm.common import whole, written
+
 UNKNOWN = "und"
 MARK = "▁"
 #: Probability of a character that is no piece.
@@ -214,8 +216,6 @@ def fit(labelled: DataFrame, model: str, per_lang: int = 1500, rounds: int = 3)
 
     What reaches the driver is the table of expected counts, bounded by vocabulary times languages.
     """
-    from corpus_spark.llm.common import written
-
     rows, langs = sample(labelled, per_lang)
     grid = lattice(model)
     if not langs:
@@ -299,10 +299,10 @@ def annotate(docs: DataFrame, model: str, langs: list[str], prob: np.ndarray, ke
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=out.names)
 
     own = [] if "text" in keep else ["text"]
-    rows = docs.select(*keep, *own)
-    at_text = rows.columns.index("text")
-    out = T.StructType([*rows.schema.fields[: len(keep)], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return rows.mapInArrow(run, out)
+    at_text = [*keep, *own].index("text")
+    rows = docs.select(*(c.alias(f"c{k}") for k, c in enumerate(whole([*keep, *own]))))
+    out = T.StructType([*rows.schema.fields[: len(keep)], T.StructField("pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, out).toDF(*keep, *names)
 
 
 def predict(docs: DataFrame, model: str, langs: list[str], prob: np.ndarray, cache: int = 200_000) -> DataFrame:

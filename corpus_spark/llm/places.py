@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpus_spark.llm.common import small, written
+from corpus_spark.llm.common import small, whole, written
 
 #: Bits of a key for the row's index in its file; numbers of files have the rest.
 _ROW_BITS = 40
@@ -97,7 +97,7 @@ def without(docs: DataFrame, numbers: DataFrame, gone: DataFrame, most: int = _M
         if after:
             own, mine = own.filter(path < after[0]), mine.filter(F.col("in file") < after[1])
         meta = docs.metadataColumn("_metadata")
-        rows = own.select(F.struct(*columns).alias("whole row"), meta["file_path"].alias("of file"), meta["row_index"].alias("at row"))
+        rows = own.select(F.struct(*whole(columns)).alias("whole row"), meta["file_path"].alias("of file"), meta["row_index"].alias("at row"))
         rows = rows.join(small(numbers, 1_000_000), rows["of file"] == numbers["file"])
         rows = rows.withColumn("row slot", F.shiftright(F.shiftleft("number", _ROW_BITS) + F.col("at row"), _MAP_BITS))
         hit = rows.join(F.broadcast(mine), rows["row slot"] == mine["slot"], "left")

@@ -68,6 +68,22 @@ def test_rows_by_place(spark, tmp_path):
     assert places.placed(made).columns == made.columns and places.placed(docs) is docs
 
 
+def test_stages_with_odd_columns(spark, tmp_path):
+    import datetime as dt
+
+    rng = np.random.default_rng(5)
+    words = "the dog runs over street and house with many people who talk about weather every morning in town".split()
+    rows = [(k, " ".join(rng.choice(words, 70)), "en", "s", 1, f"n{k}", float(k), [k, None], dt.datetime(2020, 1, 1 + k), None if k % 2 else 2**60 + k) for k in range(20)]
+    kind = "doc_id long, text string, lang string, source string, n_chars int, number string, file double, `a.b` array<int>, `row``slot` timestamp, score long"
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    first = sorted(docs.collect(), key=str)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), "stage")
+        assert sorted(docs.collect(), key=str) == first, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 20
+
+
 def test_stages_shuffle_no_texts(spark):
     docs = table(spark, SF, "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:
