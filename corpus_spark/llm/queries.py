@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_spark.llm import chat, html_extract, jaccard, langid, licences, neighbours, packing, quality, sentencepiece_bpe, token_counts
+from corpus_spark.llm import chat, dialogue_repair, html_extract, jaccard, langid, lexical_search, licences, neighbours, packing, quality, sentencepiece_bpe, token_counts, toxicity
 from corpus_spark.llm.common import table
 
 
@@ -64,16 +64,31 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark", dealt=False))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue_repair.repair(dialogue_repair.damage(table(spark, sf_dir, "conversations", dealt=False)))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels", dealt=False)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_html_extraction, op3_license_scan, op4_quality_rules, op5_best_fit_packing, op6_chat_format, op7_token_counts, op8_sentencepiece, op9_embedding_near_dedup, op10_ngram_jaccard, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_html_extraction, op3_license_scan, op4_quality_rules, op5_best_fit_packing, op6_chat_format, op7_token_counts, op8_sentencepiece, op9_embedding_near_dedup, op10_ngram_jaccard, op11_lexical_search, op12_structure_repair, op13_toxicity, pipeline)}
 
 SQL: dict[str, str] = {
     "op4_quality_rules": quality.SQL,
     "op6_chat_format": chat.SQL,
     "op10_ngram_jaccard": jaccard.SQL,
+    "op11_lexical_search": lexical_search.SQL,
+    "op12_structure_repair": dialogue_repair.SQL,
 }
