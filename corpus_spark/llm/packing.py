@@ -3,15 +3,18 @@
 Documents become pieces of at most ``capacity`` tokens. Partitions of bounded size are packed by
 best-fit decreasing. Each is held against a lower bound, the largest sum of a dual feasible function
 over its pieces; gap is what it has above the bound, and a partition without gap is certified. Full
-bins stay. The pieces in open bins of partitions with a gap are exchanged: dealt out anew over fewer
-partitions and packed again, as long as that saves a bin. Certified partitions stay until then; only
-if the whole table still has more bins than its own bound, open bins of all partitions are exchanged,
-again as long as a round saves a bin. A round that saves none is thrown away.
+bins stay. While the whole table has more bins than its own bound, open bins are exchanged: those of
+partitions with a gap, then those of all, are dealt out anew over fewer and larger partitions and
+packed again, down to one partition if a task can hold them, and all bins at last if a task can hold
+the table. A round that saves no bin is thrown away. What remains above the bound is in table_gap.
+
+Pieces are dealt by a hash of their values, and a task packs them in an order of their values, so the
+result does not depend on where rows were read or on which executors were lost. Rows that are equal in
+all columns travel as runs with their number, at most a sixteenth of a task each.
 
 Null text is empty and is one piece, the end token alone; very long texts are cut into many pieces.
-Rows that repeat, or have equal ids, are packed each and dealt by their place, not by their values.
-Pieces of equal length go in the order in which they are read. An empty table gives no rows. Other
-columns of documents, whatever their names, have no part in it.
+Rows that repeat, or have equal ids, are packed each. Pieces of equal length go in the order of that
+hash. An empty table gives no rows. Other columns of documents, whatever their names, have no part in it.
 """
 
 from __future__ import annotations
@@ -21,14 +24,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_spark.llm.bpe import encoder
-from corpus_spark.llm.common import map_slices, written
-from corpus_spark.llm.places import placed
+from corpus_spark.llm.common import discard, map_slices, whole, written
 
 CAPACITY = 2048
 
@@ -105,65 +106,83 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bin_of, offset, room
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = 50_000) -> DataFrame:
-    """Adds sequence_id, offset, gap and certified to rows with a length from 1 to ``capacity``.
+def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = 50_000, most: int = 1_000_000) -> DataFrame:
+    """Adds sequence_id, offset, gap, certified and table_gap to rows with a length from 1 to ``capacity``.
 
-    gap: bins above the lower bound of the partition that packed the row; certified: it is 0, or the
-    bins of the whole table meet the table's bound. Tasks hold ``per_task`` pieces at most, but for the
-    evenness of hashing.
+    gap: bins above the lower bound of the partition that packed the row; table_gap: bins of the whole table
+    above the table's bound; certified: one of both is 0. The first tasks hold about ``per_task`` rows, those of an
+    exchange up to ``most``.
     """
-    items = placed(items)
     names = items.columns
+    own = whole(names)
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields) + ", sequence_id bigint, offset bigint, room bigint, gap bigint"
 
     def packer(salt: int):
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            all_ = [p for p in parts if len(p)]
-            if not all_:
+            some = [p for p in parts if p.num_rows]
+            if not some:
                 return
-            pdf = pd.concat(all_, ignore_index=True)
-            bins, offset, room = best_fit_decreasing(pdf["length"].to_numpy(), capacity)
-            v, c = np.unique(pdf["length"].to_numpy(), return_counts=True)
+            held = pa.Table.from_batches(some)
+            lengths, at, nth, times = (held.column(c).to_numpy() for c in ("length", "row's hash", "row's run", "row's times"))
+            order = np.lexsort((nth, at, -lengths))
+            order = np.repeat(order, times[order])
+            bins, offset, room = best_fit_decreasing(lengths[order], capacity)
+            v, c = np.unique(lengths[order], return_counts=True)
             gap = len(room) - lower_bound(v, c, capacity)
             base = (salt << 56) + (TaskContext.get().partitionId() << 32)
-            yield pdf.assign(sequence_id=base + bins, offset=offset, room=np.array(room, dtype=np.int64)[bins], gap=gap)
+            out = held.select(names).take(pa.array(order))
+            for name, values in (("sequence_id", base + bins), ("offset", offset), ("room", np.array(room, dtype=np.int64)[bins]), ("gap", np.full(len(order), gap, dtype=np.int64))):
+                out = out.append_column(name, pa.array(values, pa.int64()))
+            yield from out.to_batches(max_chunksize=10_000)
 
         return run
 
-    def packed(df: DataFrame, salt: int, n: int) -> DataFrame:
-        tasks = max(1, -(-n // per_task))
-        meta = df.metadataColumn("_metadata")
-        dealt = df.repartition(tasks, F.pmod(F.xxhash64(F.lit(salt), meta["file_path"], meta["row_index"]), F.lit(tasks)))
-        return written(dealt.select(*names).mapInPandas(packer(salt), out_schema), "packed")
+    def packed(df: DataFrame, salt: int, tasks: int, run: int) -> DataFrame:
+        """Equal rows travel as runs with their number; where a run goes, its values and its number in the row tell."""
+        times = df.select(*own).groupBy(*own).agg(F.count("*").alias("row's times"))
+        runs = times.withColumn("row's run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("row's times") - 1) / run))))
+        runs = runs.withColumn("row's times", F.least(F.lit(run), F.col("row's times") - F.col("row's run") * run)).withColumn("row's hash", F.xxhash64(*own))
+        return written(runs.repartition(tasks, F.xxhash64(F.lit(salt), F.col("row's hash"), F.col("row's run"))).mapInArrow(packer(salt), out_schema), "packed")
 
     def count(df: DataFrame) -> tuple[int, int]:
         got = df.agg(F.count_if(F.col("offset") == 0).alias("bins"), F.count("*").alias("pieces")).first()
         return got["bins"], got["pieces"]
 
     sizes = items.groupBy("length").count().toPandas()  # at most ``capacity`` rows
-    bound = lower_bound(sizes["length"].to_numpy(np.int64), sizes["count"].to_numpy(np.int64), capacity)
-    tables = [packed(items, 0, int(sizes["count"].sum()))]
+    bound, total = lower_bound(sizes["length"].to_numpy(np.int64), sizes["count"].to_numpy(np.int64), capacity), int(sizes["count"].sum())
+    tables = [packed(items, 0, max(1, -(-total // per_task)), max(1, per_task // 16))]
     used = count(tables[0])[0]
+    # open bins of partitions with a gap, then all open bins, over fewer and larger partitions; at last all bins, if one task can hold them
     loose, all_open = (F.col("room") > 0) & (F.col("gap") > 0), F.col("room") > 0
-    choices, salt = [loose, all_open], 0
-    while used > bound and choices:
+    larger = [min(per_task * 4**k, most) for k in range(1, 64) if per_task * 4 ** (k - 1) < most] or [most]
+    tries = [(choice, size) for choice in (loose, all_open) for size in larger] + [(F.lit(True), most)] * (total <= most)
+    salt, before = 0, None
+    while used > bound and tries:
+        choice, size = tries[0]
         # every table is narrow: ids and lengths of pieces
-        moving = reduce(DataFrame.unionByName, (t.filter(choices[0]) for t in tables))
+        moving = reduce(DataFrame.unionByName, (t.filter(choice) for t in tables))
         bins, n = count(moving)
+        tasks = max(1, -(-n // size))
+        if not n or (tasks, n) == before and tasks == 1:  # what one task has packed, it packs alike again
+            tries.pop(0)
+            continue
         salt += 1
-        again = packed(written(moving.select(*names), "moving"), salt, n) if n else None
-        saved = bins - count(again)[0] if n else 0
+        again = packed(moving, salt, tasks, max(1, min(n, size) // 16))
+        saved = bins - count(again)[0]
+        before = (tasks, n) if saved <= 0 else None
         if saved > 0:
-            tables = [*(t.filter(~choices[0]) for t in tables), again]
+            tables = [*(t.filter(~choice) for t in tables), again]
             used -= saved
         else:
-            choices.pop(0)
+            discard(again)
+        if saved < (used + saved - bound) / 5:  # a round that closes a fifth of the gap is tried again with other partitions
+            tries.pop(0)
     result = reduce(DataFrame.unionByName, tables)
-    return result.drop("room").withColumn("certified", (F.col("gap") == 0) | F.lit(used <= bound))
+    return result.drop("room").withColumns({"certified": (F.col("gap") == 0) | F.lit(used <= bound), "table_gap": F.lit(used - bound).cast("long")})
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, gap, certified."""
+    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, gap, certified, table_gap."""
     return pack(written(pieces(docs, tokenizer, capacity), "pieces"), capacity)

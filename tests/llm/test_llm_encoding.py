@@ -99,16 +99,31 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, ["a"]).limit(0), path).count() == 0
 
 
-def test_packing_exchanges_between_partitions(spark):
-    rng = np.random.default_rng(1)
-    n = rng.integers(1, 900, 600).tolist()
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_packing_exchanges_between_partitions(spark, seed):
+    n = np.random.default_rng(seed).integers(1, 900, 600).tolist()
     items = spark.createDataFrame([(k, x) for k, x in enumerate(n)], "k long, length long")
     got = packing.pack(items, 2048, per_task=60).collect()
     assert sorted(r["k"] for r in got) == list(range(600))
     few = len({r["sequence_id"] for r in got})
     v, c = np.unique(n, return_counts=True)
     bound = packing.lower_bound(v, c, 2048)
-    assert few <= bound + 1 and all(r["certified"] == (r["gap"] == 0 or few <= bound) for r in got)
+    assert few <= bound + 1 and all(r["table_gap"] == few - bound and r["certified"] == (r["gap"] == 0 or few <= bound) for r in got)
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(x for _, x in p) <= 2048 and [o for o, _ in sorted(p)] == [sum(x for _, x in sorted(p)[:i]) for i in range(len(p))] for p in places.values())
+    again = packing.pack(items.repartition(7), 2048, per_task=60).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_packing_reports_what_tasks_too_small_leave(spark):
+    n = np.random.default_rng(5).integers(1, 900, 600).tolist()
+    items = spark.createDataFrame([(k, x) for k, x in enumerate(n)], "k long, length long")
+    got = packing.pack(items, 2048, per_task=60, most=60).collect()
+    v, c = np.unique(n, return_counts=True)
+    assert sorted(r["k"] for r in got) == list(range(600))
+    assert {r["table_gap"] for r in got} == {len({r["sequence_id"] for r in got}) - packing.lower_bound(v, c, 2048)}
 
 
 def test_packing_of_equal_rows(spark):
