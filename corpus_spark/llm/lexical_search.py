@@ -70,7 +70,7 @@ def sketch(counts: dict[bytes, int]) -> bytes:
     return made.tobytes()
 
 
-def index(docs: DataFrame, held: int = 500_000, size: int = 256) -> DataFrame:
+def index(docs: DataFrame, held: int = 100_000, size: int = 128) -> DataFrame:
     """A written table of two kinds of rows: doc_id, n, sketch, text of documents with terms; term, df.
 
     The second are partial counts of the documents that hold a term, cut off when a task holds ``held`` terms.
@@ -159,7 +159,7 @@ class _Block:
         return total
 
 
-def _slices(parts: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
+def _slices(parts: Iterator[pa.RecordBatch], size: int = 128) -> Iterator[pa.RecordBatch]:
     for batch in parts:
         for at in range(0, batch.num_rows, size):
             yield batch.slice(at, size)
