@@ -20,9 +20,85 @@ def dice(seed: int, row_id: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")).cast("binary"))
 
 
+#: Hash digits of one step of the search for a threshold: 65,536 counts at most reach the driver. A null id comes before all.
+_DIGITS, _NULL = 4, "!" * 32
+
+
+def _slim(df: DataFrame, seed: int, row_id: str, *more: Column | str) -> DataFrame:
+    """Ids, their hashes and what else is asked for, written once; texts stay where they are."""
+    return written(df.select(row_id, F.coalesce(dice(seed, row_id), F.lit(_NULL)).alias("_h"), *more), "dice")
+
+
+def nth(slim: DataFrame, n: int, row_id: str, few: int = 4096) -> tuple[str, object, int, int] | None:
+    """Hash and id of the n-th row in the order of (_h, row_id); how many of its equals belong to the n, and how many there are.
+
+    None if there are no more than n rows. Counts of hash prefixes narrow the place down, from 65,536 classes to
+    one and on within it, until few rows are left: nothing is sorted, and no task gets more than a class.
+    """
+    prefix, left, size = "", n, None
+    while size is None or size > few and len(prefix) < 32:
+        own = slim.filter(F.col("_h").startswith(prefix)) if prefix else slim
+        counts = sorted(own.groupBy(F.substring("_h", len(prefix) + 1, _DIGITS).alias("p")).count().collect())
+        if not prefix and sum(c for _, c in counts) <= n:
+            return None
+        for p, size in counts:
+            if left <= size:
+                prefix += p
+                break
+            left -= size
+    rows = slim.filter(F.col("_h").startswith(prefix)).groupBy("_h", row_id).count().collect()
+    for h, i, c in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] if r[1] is not None else 0)):
+        if left <= c:
+            return h, i, left, c
+        left -= c
+    raise AssertionError("counts changed between two reads")
+
+
+def _first(df: DataFrame, hashed: Column, edge: tuple[str, object, int, int] | None, row_id: str) -> DataFrame:
+    """The rows up to an edge found by nth(): a narrow filter, but where repeated ids stand at the edge."""
+    if edge is None:
+        return df
+    h, i, taken, size = edge
+    same = (hashed == h) & (F.col(row_id).isNull() if i is None else F.col(row_id) == F.lit(i))
+    below = hashed < h
+    if i is not None:
+        below = below | (hashed == h) & F.coalesce(F.col(row_id) < F.lit(i), F.lit(True))
+    return df.filter(below | same) if taken == size else df.filter(below).unionByName(df.filter(same).limit(taken))
+
+
 def simple(df: DataFrame, n: int, seed: int, row_id: str) -> DataFrame:
-    """n rows at random: a top-n, not a full sort."""
-    return df.withColumn("_h", dice(seed, row_id)).orderBy("_h", row_id).limit(n).drop("_h")
+    """n rows at random: those up to the n-th smallest hash, which counts of hash prefixes find. No order, no shuffle of rows."""
+    if n <= 0:
+        return df.filter(F.lit(False))
+    return _first(df, F.coalesce(dice(seed, row_id), F.lit(_NULL)), nth(_slim(df, seed, row_id), n, row_id), row_id)
+
+
+def first_by_hash(slim: DataFrame, keys: Sequence[str], k: int, row_id: str) -> DataFrame:
+    """The k rows of each group with the smallest (_h, row_id).
+
+    Counts by hash prefix tell each group's last class; classes below are taken whole, and only rows of the last
+    one are ranked, so that a large group is never in one task. Null keys are groups.
+    """
+    bins = slim.groupBy(*keys, F.substring("_h", 1, _DIGITS).alias("_bin")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin"))
+    edge = bins.withColumn("_upto", upto).filter((F.col("_upto") >= k) & (F.col("_upto") - F.col("_n") < k))
+    edge = written(edge.select(*(F.col(c).alias(f"_of_{c}") for c in keys), F.col("_bin").alias("_edge"), (k - F.col("_upto") + F.col("_n")).alias("_left")), "edges")
+    on = [slim[c].eqNullSafe(edge[f"_of_{c}"]) for c in keys]
+    placed = slim.join(F.broadcast(edge) if edge.count() <= 200_000 else edge, on, "left")
+    own = F.substring("_h", 1, _DIGITS)
+    sure = placed.filter(F.col("_edge").isNull() | (own < F.col("_edge"))).select(*slim.columns)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", row_id))
+    return sure.unionByName(placed.filter(own == F.col("_edge")).withColumn("_r", rank).filter(F.col("_r") <= F.col("_left")).select(*slim.columns))
+
+
+def _topped_up(slim: DataFrame, keys: Sequence[str], quota: int, n: int, row_id: str) -> DataFrame:
+    """Ids of ``quota`` rows of each group, topped up from the rest, n at most; all by their hashes."""
+    taken = written(first_by_hash(slim, keys, quota, row_id).select(row_id, "_h"), "taken")
+    have = taken.count()
+    if have >= n:
+        return _first(taken, F.col("_h"), nth(taken, n, row_id), row_id).select(row_id)
+    rest = written(slim.join(taken.select(row_id), row_id, "left_anti").select(row_id, "_h"), "rest")
+    return taken.select(row_id).unionByName(_first(rest, F.col("_h"), nth(rest, n - have, row_id), row_id).select(row_id))
 
 
 def by_place(df: DataFrame, place: str, n: int, seed: int, row_id: str, column: str = "toponyms") -> DataFrame:
@@ -39,13 +115,9 @@ def equal_quota(df: DataFrame, keys: Sequence[str], n: int, seed: int, row_id: s
 
     Rows travel as (keys, id); the texts are joined back to the chosen ids only.
     """
-    slim = written(df.select(row_id, *keys).withColumn("_h", dice(seed, row_id)), "strata")
-    groups = slim.select(*keys).distinct().count()
-    quota = max(1, n // max(1, groups))
-    taken = first_in_groups(slim, keys, quota, ["_h", row_id]).select(row_id, "_h", F.lit(0).alias("_turn"))
-    rest = slim.join(taken.select(row_id), row_id, "left_anti").select(row_id, "_h", F.lit(1).alias("_turn"))
-    chosen = taken.unionByName(rest).orderBy("_turn", "_h", row_id).limit(n)
-    return df.join(_bounded(chosen.select(row_id), n), row_id, "left_semi")
+    slim = _slim(df, seed, row_id, *keys)
+    groups = slim.groupBy(*keys).agg(F.lit(1)).count()
+    return df.join(_bounded(_topped_up(slim, keys, max(1, n // max(1, groups)), n, row_id), n), row_id, "left_semi")
 
 
 def _bounded(chosen: DataFrame, n: int) -> DataFrame:
@@ -64,11 +136,8 @@ def strata(df: DataFrame, n: int, seed: int, row_id: str, columns: Sequence[str]
     if not have:
         return simple(df, n, seed, row_id)
     key = F.concat_ws("||", *(F.coalesce(F.col(c).cast("string"), F.lit("__na__")) for c in have))
-    slim = written(df.select(row_id, key.alias("_s")).withColumn("_h", dice(seed, row_id)), "strata")
-    one = first_in_groups(slim, ["_s"], 1, ["_h", row_id]).select(row_id, "_h", F.lit(0).alias("_turn"))
-    rest = slim.join(one.select(row_id), row_id, "left_anti").select(row_id, "_h", F.lit(1).alias("_turn"))
-    chosen = one.unionByName(rest).orderBy("_turn", "_h", row_id).limit(n).select(row_id)
-    out = df.join(_bounded(chosen, n), row_id, "left_semi")
+    slim = _slim(df, seed, row_id, key.alias("_s"))
+    out = df.join(_bounded(_topped_up(slim, ["_s"], 1, n, row_id), n), row_id, "left_semi")
     return first_in_groups(out, list(unique), 1, [row_id]) if unique else out
 
 

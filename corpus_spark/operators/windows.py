@@ -9,18 +9,26 @@ from corpus_spark.functions.text import LANGUAGES
 from corpus_spark.sources.scratch import written
 
 
+def _rows(messages: DataFrame) -> DataFrame:
+    """Messages with all the columns that a roll-up reads."""
+    source = F.coalesce("source", F.lit("unknown")) if "source" in messages.columns else F.lit("unknown")
+    rows = messages.withColumns({"group": F.coalesce("group", F.lit("unknown")), "source": source})
+    if "lang" not in rows.columns:
+        rows = rows.withColumn("lang", F.lit("other"))
+    return rows if "period" in rows.columns else rows.withColumn("period", F.date_format("datetime", "yyyy-MM"))
+
+
+def _span(width: str, start: str | None):
+    return F.window("datetime", width, width, start) if start else F.window("datetime", width)
+
+
 def roll_up(messages: DataFrame, width: str = "1 hour", start: str | None = None, tiebreak: str = "row_id", text: str = "clean_text") -> DataFrame:
     """source, group, window_start, window_end, period, text, message_count, lang_distribution.
 
     Text is joined by newlines in time order, ties by ``tiebreak``. The language mix comes from the same
     aggregate, because the set of languages is closed. A null group counts as ``unknown``.
     """
-    rows = messages.withColumns({"group": F.coalesce("group", F.lit("unknown")), "source": F.coalesce("source", F.lit("unknown"))}) if "source" in messages.columns else messages.withColumns({"group": F.coalesce("group", F.lit("unknown")), "source": F.lit("unknown")})
-    if "lang" not in rows.columns:
-        rows = rows.withColumn("lang", F.lit("other"))
-    if "period" not in rows.columns:
-        rows = rows.withColumn("period", F.date_format("datetime", "yyyy-MM"))
-    span = F.window("datetime", width, width, start) if start else F.window("datetime", width)
+    rows, span = _rows(messages), _span(width, start)
     item = F.struct("datetime", tiebreak, F.col(text).alias("text"), "period")
     langs = [F.count_if(F.col("lang") == x).alias(f"n_{x}") for x in LANGUAGES]
     got = rows.groupBy("source", "group", span.alias("w")).agg(F.array_sort(F.collect_list(item)).alias("items"), F.count("*").alias("message_count"), *langs)
@@ -31,6 +39,38 @@ def roll_up(messages: DataFrame, width: str = "1 hour", start: str | None = None
     )
 
 
+_KEYS = ["source", "group", "window_start", "window_end"]
+
+
+def roll_up_pieces(messages: DataFrame, width: str = "1 hour", start: str | None = None, tiebreak: str = "row_id", text: str = "clean_text", most: int = 16 << 20) -> DataFrame:
+    """source, group, window_start, window_end, piece, text, message_count: windows in pieces of about ``most`` characters.
+
+    A piece holds the messages that begin within ``most`` characters of the window's text, newlines counted, so no row
+    has more than ``most`` characters and one message. Windows that are no longer have one piece, as from ``roll_up``.
+    Longer ones are sorted in ranges: a range's length and the lengths before it give each message its place, and no
+    task has a whole window.
+    """
+    said = F.coalesce(text, F.lit(""))
+    rows = _rows(messages).select("source", "group", _span(width, start).alias("w"), "datetime", tiebreak, F.col(text).alias("text"), (F.length(said) + F.col(text).isNotNull().cast("int")).cast("long").alias("size"))
+    rows = rows.select("source", "group", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "datetime", tiebreak, "text", "size")
+    hot = written(rows.groupBy(*_KEYS).agg(F.sum("size").alias("n")).filter(F.col("n") > most).select(*_KEYS), "hot-windows")
+    few = F.broadcast(hot) if hot.count() <= 200_000 else hot
+    order = ["datetime", tiebreak]
+    ranged = rows.join(few, _KEYS, "left_semi").repartitionByRange(*_KEYS, *order).withColumn("range", F.spark_partition_id())
+    ranged = written(ranged, "hot-messages")
+    totals = ranged.groupBy(*_KEYS, "range").agg(F.sum("size").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*_KEYS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select(*_KEYS, "range", F.coalesce(before, F.lit(0)).alias("offset"))
+    upto = F.sum("size").over(Window.partitionBy(*_KEYS, "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    placed = ranged.withColumn("upto", F.coalesce(upto, F.lit(0))).join(offsets, [*_KEYS, "range"])
+    long_ones = placed.withColumn("piece", F.floor((F.col("offset") + F.col("upto")) / most))
+    short_ones = rows.join(few, _KEYS, "left_anti").withColumn("piece", F.lit(0).cast("long"))
+    item = F.struct(*order, F.col("text"))
+    every = long_ones.select(*short_ones.columns).unionByName(short_ones)
+    got = every.groupBy(*_KEYS, "piece").agg(F.array_sort(F.collect_list(item)).alias("items"), F.count("*").alias("message_count"))
+    return got.select(*_KEYS, "piece", F.array_join(F.transform("items", lambda x: x["text"]), "\n").alias("text"), "message_count")
+
+
 def number(documents: DataFrame, template: str = "doc_%08d", keys: tuple[str, ...] = ("source", "group", "window_start"), name: str = "doc_id") -> DataFrame:
     """Dense ids in the order of ``keys``: ranges are sorted apart, and each range starts after the sizes before it.
 

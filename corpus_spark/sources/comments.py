@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_spark.sources import csv_ranges
+
 COLUMNS = ("datetime", "author", "group", "comment")
-_SCHEMA = ", ".join(f"`{c}` string" for c in COLUMNS)
 
 
 def source_of(path: Column, unknown: str = "unknown") -> Column:
@@ -26,18 +27,14 @@ def fill_source(df: DataFrame) -> DataFrame:
     return df.withColumn("source", F.coalesce(*parts) if parts else F.lit(None).cast("string")).filter(F.col("source").isNotNull())
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.option("header", True).csv(path).columns
-
-
 def read_plain(spark: SparkSession, path: str) -> DataFrame:
-    """The four required columns as text; lines that don't fit are dropped."""
-    columns = [c.lstrip("﻿").strip() for c in _header(spark, path)]
+    """The four required columns as text; records that don't fit are dropped. Large files are read in many ranges."""
+    rows, names = csv_ranges.read(spark, path)
+    columns = {c.lstrip("﻿").strip(): c for c in names}
     missing = [c for c in COLUMNS if c not in columns]
     if missing:
         raise ValueError(f"{path} lacks {missing}")
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.schema(schema).options(header=True, mode="DROPMALFORMED", multiLine=True, escape='"', quote='"', enforceSchema=True).csv(path).select(*COLUMNS)
+    return rows.filter(~F.col("malformed")).select(*(F.col("fields")[columns[c]].alias(c) for c in COLUMNS))
 
 
 def repair_line(line: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_spark.functions.text import safe_name
+from corpus_spark.sources import csv_ranges
 from corpus_spark.sources.scratch import written
 
 TEXT_COLUMNS = ("text", "clean_text", "comment")
@@ -16,12 +17,8 @@ TEXT_COLUMNS = ("text", "clean_text", "comment")
 def with_lineage(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet or CSV table with source_path, source_file and row_index, the row's place in its file from 0."""
     if path.rstrip("/").endswith(".csv"):
-        df = spark.read.options(header=True, multiLine=True, escape='"').csv(path).select("*", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_name").alias("source_file"))
-        # a file with such records is one part of the scan, so its rows stand together and in order
-        kept = written(df.withColumn("_row", F.monotonically_increasing_id()), "lineage")
-        first = kept.groupBy("source_path").agg(F.min("_row").alias("_first"))
-        rows = kept.join(F.broadcast(first) if first.count() <= 200_000 else first, "source_path")
-        return rows.select(*df.columns, (F.col("_row") - F.col("_first")).alias("row_index"))
+        rows, names = csv_ranges.read(spark, path)
+        return rows.select(*(F.col("fields")[c].alias(c) for c in names), F.col("file").alias("source_path"), F.element_at(F.split("file", "/"), -1).alias("source_file"), "row_index")
     return spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.row_index").alias("row_index"))
 
 
