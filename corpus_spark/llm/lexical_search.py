@@ -9,8 +9,9 @@ stand partial counts of the documents of each term.
 
 ``search`` takes the queries in blocks of bounded size. One scan looks all terms of a block up in all
 sketches and keeps the highest bounds of each query; the documents with those are rescored exactly.
-The k-th exact score is the threshold: a second scan rescores, in order of descending bounds, what
-may still reach it. No text, sketch or bound is shuffled, only each task's best.
+The k-th exact score is the threshold: a second scan of the sketches finds what may still reach it, and
+that is rescored in order of descending bounds. Only texts of candidates leave the index, and they are
+shuffled only if a count says that the candidates are too many to be broadcast.
 
 Null and empty texts have no terms: such documents are counted nowhere, such queries get no rows.
 Very long texts are taken whole. Rows that repeat, or have equal ids, are documents and queries each;
@@ -71,12 +72,12 @@ def sketch(counts: dict[bytes, int]) -> bytes:
 
 
 def index(docs: DataFrame, held: int = 100_000, size: int = 128) -> DataFrame:
-    """A written table of two kinds of rows: doc_id, n, sketch, text of documents with terms; term, df.
+    """A written table of two kinds of rows: key, doc_id, n, sketch, text of documents with terms; term, df.
 
     The second are partial counts of the documents that hold a term, cut off when a task holds ``held`` terms.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n bigint, sketch binary, text string, term binary, df bigint"
+    schema = f"key bigint, doc_id {kind}, n bigint, sketch binary, text string, term binary, df bigint"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df: Counter[bytes] = Counter()
@@ -89,7 +90,7 @@ def index(docs: DataFrame, held: int = 100_000, size: int = 128) -> DataFrame:
             return rows(term=pa.array(list(df), pa.binary()), df=pa.array(list(df.values()), pa.int64()))
 
         for batch in parts:
-            kinds = [("doc_id", batch.schema.field("doc_id").type), ("n", pa.int64()), ("sketch", pa.binary()), ("text", pa.string()), ("term", pa.binary()), ("df", pa.int64())]
+            kinds = [("key", pa.int64()), ("doc_id", batch.schema.field("doc_id").type), ("n", pa.int64()), ("sketch", pa.binary()), ("text", pa.string()), ("term", pa.binary()), ("df", pa.int64())]
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
                 some, n, made = [], [], []
@@ -101,14 +102,14 @@ def index(docs: DataFrame, held: int = 100_000, size: int = 128) -> DataFrame:
                         n.append(len(found))
                         made.append(sketch(counts))
                 kept = part.take(pa.array(some, pa.int64()))
-                yield rows(doc_id=kept.column("doc_id"), n=pa.array(n, pa.int64()), sketch=pa.array(made, pa.binary()), text=kept.column("text").cast(pa.string()))
+                yield rows(key=kept.column("key"), doc_id=kept.column("doc_id"), n=pa.array(n, pa.int64()), sketch=pa.array(made, pa.binary()), text=kept.column("text").cast(pa.string()))
                 if len(df) > held:
                     yield counted()
                     df.clear()
         if df:
             yield counted()
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, schema), "lexical-index")
+    return written(docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text").mapInArrow(run, schema), "lexical-index")
 
 
 class _Block:
@@ -165,24 +166,50 @@ def _slices(parts: Iterator[pa.RecordBatch], size: int = 128) -> Iterator[pa.Rec
             yield batch.slice(at, size)
 
 
-def _best_bounds(found: DataFrame, block: _Block, few: int) -> DataFrame:
-    """query, bound: of each task, the ``few`` highest bounds of each query."""
+def _highest(found: DataFrame, block: _Block, few: int) -> DataFrame:
+    """query, bound, key: of each task, the ``few`` documents with the highest bounds for each query."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.zeros((0, len(block.queries)), dtype=np.int64)
+        keys = np.zeros_like(best)
         for part in _slices(parts):
-            best = np.concatenate([best, block.bounds(part.column("n").to_numpy(), part.column("sketch").to_pylist())])
+            bounds = block.bounds(part.column("n").to_numpy(), part.column("sketch").to_pylist())
+            best = np.concatenate([best, bounds])
+            keys = np.concatenate([keys, np.repeat(part.column("key").to_numpy()[:, None], len(block.queries), axis=1)])
             if len(best) > few:
-                best = np.partition(best, len(best) - few, axis=0)[-few:]
-        query, bound = np.tile(np.arange(len(block.queries)), len(best)), best.ravel()
-        yield pa.RecordBatch.from_pydict({"query": query[bound > 0], "bound": bound[bound > 0]})
+                at = np.argpartition(best, len(best) - few, axis=0)[-few:]
+                best, keys = np.take_along_axis(best, at, axis=0), np.take_along_axis(keys, at, axis=0)
+        query, some = np.tile(np.arange(len(block.queries)), len(best)), best.ravel() > 0
+        yield pa.RecordBatch.from_pydict({"query": query[some], "bound": best.ravel()[some], "key": keys.ravel()[some]})
 
-    return found.select("n", "sketch").mapInArrow(run, "query bigint, bound bigint")
+    return found.select("key", "n", "sketch").mapInArrow(run, "query bigint, bound bigint, key bigint")
 
 
-def _rescored(found: DataFrame, block: _Block, low: np.ndarray, high: np.ndarray, k: int) -> DataFrame:
-    """query, doc_id, score: the exact scores of the documents with low <= bound < high, as far as they are of a task's k best."""
+def _between(found: DataFrame, block: _Block, low: np.ndarray, high: np.ndarray) -> DataFrame:
+    """key, asked array<struct<query, bound>>: documents with low <= bound < high for a query, and these queries."""
+    kind = pa.list_(pa.struct([("query", pa.int64()), ("bound", pa.int64())]))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(parts):
+            bounds = block.bounds(part.column("n").to_numpy(), part.column("sketch").to_pylist())
+            doc, query = np.nonzero((bounds >= low) & (bounds < high))
+            own, first = np.unique(doc, return_index=True)
+            values = pa.StructArray.from_arrays([pa.array(query, pa.int64()), pa.array(bounds[doc, query], pa.int64())], names=["query", "bound"])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(doc)], pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(own, pa.int64())), lists.cast(kind)], names=["key", "asked"])
+
+    return found.select("key", "n", "sketch").mapInArrow(run, "key bigint, asked array<struct<query:bigint,bound:bigint>>")
+
+
+def _rescored(found: DataFrame, candidates: DataFrame, block: _Block, low: np.ndarray, k: int, small_asked: int) -> DataFrame:
+    """query, doc_id, score: the exact scores of the candidates (key, asked), as far as they are of a task's k best.
+
+    Candidates are broadcast if a count of their queries proves them few, so that only their texts leave the scan;
+    otherwise both sides are shuffled by key. A task takes them in order of descending bounds.
+    """
     kind = dict(found.dtypes)["doc_id"]
+    asked = candidates.agg(F.coalesce(F.sum(F.size("asked")), F.lit(0))).first()[0]
+    rows = found.select("key", "doc_id", "n", "text").join(F.broadcast(candidates) if asked <= small_asked else candidates, "key")
 
     def order(x: tuple) -> tuple:
         return -x[0], x[1] is None, x[1] if x[1] is not None else 0
@@ -193,29 +220,23 @@ def _rescored(found: DataFrame, block: _Block, low: np.ndarray, high: np.ndarray
         kind_of = pa.int64()
         for part in _slices(parts):
             kind_of = part.schema.field("doc_id").type
-            n = part.column("n").to_numpy()
-            bounds, m = block.bounds(n, part.column("sketch").to_pylist()), block.damping(n)
-            near = (bounds >= enough) & (bounds < high)
-            if not near.any():
-                continue
-            ids, texts, counts = part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()), {}
-            for q in np.flatnonzero(near.any(axis=0)).tolist():
-                own = np.flatnonzero(near[:, q])
-                for d in own[np.argsort(-bounds[own, q], kind="stable")].tolist():
-                    if bounds[d, q] < enough[q]:
-                        break
-                    if d not in counts:
-                        counts[d] = Counter(terms(texts[d].as_py()))
-                    score = block.score(q, counts[d], int(m[d]))
-                    if score >= max(enough[q], 1):
-                        best[q].append((score, ids[d]))
-                        if len(best[q]) >= 4 * k:
-                            best[q] = sorted(best[q], key=order)[:k]
-                            enough[q] = max(enough[q], best[q][-1][0])
+            m, texts, counts = block.damping(part.column("n").to_numpy()), part.column("text").cast(pa.binary()), {}
+            wanted = [(-x["bound"], x["query"], d) for d, xs in enumerate(part.column("asked").to_pylist()) for x in xs]
+            for bound, q, d in sorted(wanted):
+                if -bound < enough[q]:
+                    continue
+                if d not in counts:
+                    counts[d] = Counter(terms(texts[d].as_py()))
+                score = block.score(q, counts[d], int(m[d]))
+                if score >= max(enough[q], 1):
+                    best[q].append((score, part.column("doc_id")[d].as_py()))
+                    if len(best[q]) >= 4 * k:
+                        best[q] = sorted(best[q], key=order)[:k]
+                        enough[q] = max(enough[q], best[q][-1][0])
         rows = [(q, i, s) for q, have in enumerate(best) for s, i in sorted(have, key=order)[:k]]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], kind_of), pa.array([r[2] for r in rows], pa.int64())], names=["query", "doc_id", "score"])
 
-    return found.select("doc_id", "n", "sketch", "text").mapInArrow(run, f"query bigint, doc_id {kind}, score bigint")
+    return rows.select("doc_id", "n", "text", "asked").mapInArrow(run, f"query bigint, doc_id {kind}, score bigint")
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:
@@ -223,11 +244,12 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def search(table: DataFrame, items: DataFrame, k: int = 10, block_terms: int = 250_000, few: int = 64) -> DataFrame:
+def search(table: DataFrame, items: DataFrame, k: int = 10, block_terms: int = 250_000, few: int = 64, small_asked: int = 300_000) -> DataFrame:
     """item_id, rank, doc_id, score: each item's k best documents of an ``index`` with a score above 0.
 
     Queries are taken in blocks of about ``block_terms`` terms; the driver holds one block's terms, counts and
-    thresholds. ``few`` highest bounds of a query are rescored to find its threshold.
+    thresholds. ``few`` highest bounds of a query are rescored to find its threshold; candidates with at most
+    ``small_asked`` queries in all are broadcast.
     """
     kind = dict(items.dtypes)["item_id"]
     asked = map_slices(
@@ -247,20 +269,28 @@ def search(table: DataFrame, items: DataFrame, k: int = 10, block_terms: int = 2
         block = _Block(mine.select("item", "terms").collect(), df, n_docs, n_terms)
         if not block.queries:
             continue
-        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound")))
-        start = _best_bounds(found, block, few).withColumn("rank", rank).filter(F.col("rank") <= few).groupBy("query").agg(F.min("bound").alias("bound"))
-        low, above = np.ones(len(block.queries), dtype=np.int64), np.full(len(block.queries), np.iinfo(np.int64).max)
-        for q, bound in start.collect():
-            low[q] = bound
-        first = written(_top(_rescored(found, block, low, above, k), k), "lexical-first")
-        threshold = np.ones(len(block.queries), dtype=np.int64)
-        for q, score in first.filter(F.col("rank") == k).select("query", "score").collect():
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "key"))
+        start = written(_highest(found, block, few).withColumn("rank", rank).filter(F.col("rank") <= few), "lexical-start")
+        # what stands below a query's first candidates: all bounds from there on are still to be looked at
+        above = np.full(len(block.queries), np.iinfo(np.int64).max)
+        for q, bound in start.filter(F.col("rank") == few).select("query", "bound").collect():
+            above[q] = bound
+        above[above == np.iinfo(np.int64).max] = 0  # fewer documents than that: all are candidates
+        ones = np.ones(len(block.queries), dtype=np.int64)
+        first = written(start.groupBy("key").agg(F.collect_list(F.struct("query", "bound")).alias("asked")), "lexical-candidates")
+        best = written(_top(_rescored(found, first, block, ones, k, small_asked), k), "lexical-first")
+        threshold = ones.copy()
+        for q, score in best.filter(F.col("rank") == k).select("query", "score").collect():
             threshold[q] = score
-        second = _rescored(found, block, np.minimum(threshold, low), low, k)
-        both = written(_top(first.drop("rank").unionByName(second), k), "lexical-best")
+        # equal bounds may stand on both sides of the border, so those are scored again, and keys tell them apart
+        second = written(_between(found, block, threshold, above + 1), "lexical-candidates")
+        seen = start.select("key", "query")
+        fresh = second.select("key", F.explode("asked").alias("x")).select("key", "x.*").join(seen, ["key", "query"], "left_anti")
+        more = written(fresh.groupBy("key").agg(F.collect_list(F.struct("query", "bound")).alias("asked")), "lexical-candidates")
+        both = written(_top(best.drop("rank").unionByName(_rescored(found, more, block, threshold, k, small_asked)), k), "lexical-best")
+        discard(start, first, second, more, best)
         names = table.sparkSession.createDataFrame(list(enumerate(block.items)), "query bigint, item bigint")
         results.append(both.join(F.broadcast(names), "query").select("item", "rank", "doc_id", "score"))
-        discard(first)
     if not results:
         return asked.limit(0).select("item_id", F.lit(0).alias("rank"), F.lit(None).cast(dict(table.dtypes)["doc_id"]).alias("doc_id"), F.lit(0).cast("long").alias("score"))
     every = results[0]
