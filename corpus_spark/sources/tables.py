@@ -64,7 +64,7 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
     """Text articles below a folder: doc_id, path, filename, extension, text, pages. Blank ones are skipped."""
     from corpus_spark.operators.retrieval import plain_pages
 
-    df = spark.read.options(wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{txt,md}").text(folder).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("filename"))
+    df = spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.{txt,md}").text(folder, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("filename"))
     return df.filter(F.trim("text") != "").select(F.concat(F.lit("article_"), F.substring(F.sha1(F.col("path").cast("binary")), 1, 12)).alias("doc_id"), "path", "filename", F.regexp_extract("filename", r"(\.[^.]+)$", 1).alias("extension"), "text", plain_pages(F.col("text")).alias("pages"))
 
 
@@ -79,7 +79,7 @@ MANIFEST = "experiment struct<id:string,runner:string>, params map<string,string
 
 def manifests(spark: SparkSession, path: str) -> DataFrame:
     """Run manifests, latest first: many small JSON documents, with or without a byte order mark."""
-    texts = spark.read.options(wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").text(path).select(F.regexp_replace("value", "^﻿", "").alias("v"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("run_time"))
+    texts = spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.json").text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("v"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("run_time"))
     return texts.select(F.from_json("v", MANIFEST).alias("m"), "path", "run_time").filter(F.col("m.experiment").isNotNull()).select("m.*", "path", "run_time").orderBy(F.desc("run_time"), "path")
 
 
