@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from corpus_spark.llm import jaccard, neighbours
 from corpus_spark.llm.common import components
@@ -169,3 +170,25 @@ def test_jaccard_counts_every_link(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: r["n_class_links"] for r in jaccard.join_components(df, 3, 90, one_in=2, every_link=True).collect()}
     assert got == {k: 60 for k in range(60)} | {100: 60, 101: 60, 102: 0}
+
+
+def test_rare_links_need_no_exact_comparison(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((12_000, 24))
+    x[6000:6060] = x[:60] + 0.02 * rng.standard_normal((60, 24))
+    rows = [(k, v.tolist(), k % 60 % 2) for k, v in enumerate(x)]
+    monkeypatch.setattr(neighbours, "_exact", lambda *a: pytest.fail("all pairs were compared"))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in neighbours.near_duplicates(df).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = [(k, 6000 + k) for k in range(60) if unit[k] @ unit[6000 + k] >= 0.98]
+    assert len(links) > 50
+    found = sum(got[a]["component_id"] == got[b]["component_id"] == a and got[a]["n_links"] >= 1 for a, b in links)
+    assert found >= 0.99 * len(links) and got[0]["recall"] >= 0.99
+
+
+def test_saturated_lists_grow(spark):
+    edges = spark.createDataFrame([(1, 10 + k, 0.99 - k / 10_000) for k in range(20)] + [(2, 30 + k, 0.9 - k / 1000) for k in range(20)], "src long, dst long, sim double")
+    for wide, want in ((4, 4), (8, 8), (48, 20)):
+        got = neighbours._best(edges.repartition(3), 4, wide, 0.98).groupBy("src").count().collect()
+        assert dict(got) == {1: want, 2: 4}
