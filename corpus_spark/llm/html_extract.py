@@ -50,6 +50,8 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 #: Open elements that a start tag ends.
 _ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dd", "dt", "p"}, "dd": {"dd", "dt", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 _SCOPE = frozenset("ul ol dl table article section div body main aside nav header footer form blockquote td th".split())
+#: Log-odds below the best element's that still count where no element of a page is likelier in than out.
+_MARGIN = 1.0
 #: Columns for the tokens of an element's attributes and its tag, and as many for those above it.
 _SLOTS = 192
 
@@ -269,15 +271,33 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
 
 
 def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
-    """Which elements are kept: most log-odds under the rule that a dropped element drops its subtree."""
-    value = np.array([o * (1 + n.own) if n.own else 0.0 for o, n in zip(odds, nodes)])
-    for i in range(len(nodes) - 1, 0, -1):
-        if value[i] > 0:
-            value[nodes[i].parent.index] += value[i]
-    keep = np.zeros(len(nodes), dtype=bool)
-    keep[0] = True
-    for i in range(1, len(nodes)):
-        keep[i] = keep[nodes[i].parent.index] and value[i] > 0
+    """Which elements are kept: most log-odds under the rule that a dropped element drops its subtree.
+
+    The root is kept, so texts that stand in no element are. Where that would leave a page with text without any, log-odds
+    count from a little below the best element's: the likeliest part of the page is its main part.
+    """
+    texts = np.array([n.own for n in nodes])
+
+    def kept(odds: np.ndarray) -> np.ndarray:
+        value = np.where(texts > 0, odds * (1 + texts), 0.0)
+        for i in range(len(nodes) - 1, 0, -1):
+            if value[i] > 0:
+                value[nodes[i].parent.index] += value[i]
+        keep = np.zeros(len(nodes), dtype=bool)
+        keep[0] = True
+        for i in range(1, len(nodes)):
+            keep[i] = keep[nodes[i].parent.index] and value[i] > 0
+        return keep
+
+    keep = kept(odds)
+    said = texts > 0
+    if said.any() and not (keep & said).any():
+        keep = kept(odds - odds[said].max() + _MARGIN)
+        if not (keep & said).any():  # the best one stands in elements that are worth less: these are kept as far as it is below them
+            best = nodes[int(np.argmax(np.where(said, odds, -np.inf)))]
+            while best is not None:
+                keep[best.index] = True
+                best = best.parent
     return keep
 
 
@@ -360,8 +380,10 @@ class Trees:
 
 
 # Layouts of practice pages. {m}, {r} and {x} stand for attributes with names of main parts, of the others, and of neither.
-_LAYOUT_MAIN = ("<article{x}>{t}</article>", "<main><article{m}>{t}</article></main>", "<div{m}>{t}</div>", "<div{x}><div{m}>{t}</div></div>", "<section{m}>{t}</section>", "<main{x}>{t}</main>", "<div{m}><div{x}>{t}</div></div>", "<div>{t}</div>", "<article{m}><header>{t}</header></article>")
-_LAYOUT_REST = ("<nav{x}><ul>{links}</ul></nav>", "<div{r}>{links}</div>", "<header{x}><div{r}>{t}</div>{links}</header>", "<header>{t}</header>", "<div{r}>{t}</div>", "<div{r}><p>{t}</p></div>", "<aside{r}><h3>{t}</h3><ul>{links}</ul></aside>", "<aside{x}><p>{t}</p><p>{u}</p></aside>", "<div{r}><p>{t}</p><button>ok</button></div>", "<div{r}>{t}</div>", '<form action="/s"{x}><label>{t}</label><input name="q"></form>', "<div{r}><form><p>{t}</p></form></div>", "<section{r}><h2>{t}</h2><div{r}><p>{u}</p></div><div{r}><p>{v}</p></div></section>", "<div{r}><ol><li><p>{u}</p></li><li><p>{v}</p></li></ol></div>", "<div{r}><ul>{links}</ul></div>", "<footer{x}>{t}</footer>", "<footer><p>&copy; {t}</p><ul>{links}</ul></footer>", "<div{r}><p>{t}</p></div>", "<section{r}><p>{u}</p></section>")
+_LAYOUT_MAIN = ("<article{x}>{t}</article>", "<main><article{m}>{t}</article></main>", "<div{m}>{t}</div>", "<div{x}><div{m}>{t}</div></div>", "<section{m}>{t}</section>", "<main{x}>{t}</main>", "<div{m}><div{x}>{t}</div></div>", "<div>{t}</div>", "<article{m}><header>{t}</header></article>", "{t}", "<main{x}><div>{t}</div></main>")
+_LAYOUT_REST = ("<nav{x}><ul>{links}</ul></nav>", "<div{r}>{links}</div>", "<header{x}><div{r}>{t}</div>{links}</header>", "<header>{t}</header>", "<div{r}>{t}</div>", "<div{r}><p>{t}</p></div>", "<aside{r}><h3>{t}</h3><ul>{links}</ul></aside>", "<aside{x}><p>{t}</p><p>{u}</p></aside>", "<div{r}><p>{t}</p><button>ok</button></div>", "<div{r}>{t}</div>", '<form action="/s"{x}><label>{t}</label><input name="q"></form>', "<div{r}><form><p>{t}</p></form></div>", "<section{r}><h2>{t}</h2><div{r}><p>{u}</p></div><div{r}><p>{v}</p></div></section>", "<div{r}><ol><li><p>{u}</p></li><li><p>{v}</p></li></ol></div>", "<div{r}><ul>{links}</ul></div>", "<footer{x}>{t}</footer>", "<footer><p>&copy; {t}</p><ul>{links}</ul></footer>", "<div{r}><p>{t}</p></div>", "<section{r}><p>{u}</p></section>", "<nav{x}><h2>{w}</h2><ul>{links}</ul></nav>", "<nav{x}>{row}</nav>", "<div{x}>{row}</div>", "<p{x}>{row}</p>", "<table{x}><tr><td>{row}</td></tr></table>", "<header{x}><h1><a href='/'>{w}</a></h1><nav>{row}</nav></header>", "<header><h1>{w}</h1><p>{u}</p></header>", "<div{r}><h1>{w}</h1>{row}</div>", "<footer{x}><p>{w}</p><p>{row}</p></footer>")
+#: Pages as two columns of a table: the rest in one cell, the main part in the other.
+_LAYOUT_CELLS = ("<table{x}><tr><td{r}>{rest}</td><td{m}>{main}</td></tr></table>", "<table><tr><td{m}>{main}</td><td>{rest}</td></tr></table>", "<table><tr><td colspan=2>{rest}</td></tr><tr><td>{main}</td></tr></table>")
 _NAMES_MAIN = "article articlebody article-content body-text content entry entry-content main-content maincontent post post-body post-content story story-body text prose page-content".split()
 _NAMES_REST = "ad ads ad-slot advert advertisement banner breadcrumb breadcrumbs comment comments comment-list consent cookie-notice cookies disclaimer discussion footer site-footer header site-header login masthead menu main-menu meta modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted related related-posts reply replies respond share sharing shoutbox sidebar signup social sponsor sponsored subscribe tags toc toolbar widget".split()
 _NAMES_NEITHER = "wrapper container row col inner outer box block clearfix section group layout grid item card".split()
@@ -384,13 +406,20 @@ def practice_page(texts: list[str], rng: np.random.Generator) -> tuple[str, str]
     neither = lambda: _named(_NAMES_NEITHER, rng) if rng.random() < 0.3 else ""
     title = " ".join(pick().split()[:9])
     body = [f"<h1>{esc(title)}</h1>"] if rng.random() < 0.8 else []
-    for _ in range(rng.integers(1, 12)):
+    bare = rng.random() < 0.15  # texts that stand directly in the main part
+    for _ in range(rng.integers(1, 12) if rng.random() < 0.8 else 1):
         t, kind = pick(), rng.random()
         if rng.random() < 0.3:
             t = " ".join(t.split()[: rng.integers(1, 12)])
         t = esc(t)
-        if kind < 0.62:
+        if bare and kind < 0.7:
+            body.append((t, f"{t}<br><br>", f"{t}<br>", f" {t} <p>{esc(short())}</p>")[rng.integers(4)])
+        elif kind < 0.56:
             body.append(f"<p>{t}</p>" if rng.random() < 0.8 else f"<p><b>{t}<br>")
+        elif kind < 0.59:
+            body.append(f"<figure><img src='/i'><figcaption>{esc(short())}</figcaption></figure>")
+        elif kind < 0.62:
+            body.append("<ul>" + "".join(f"<li><a href='/{k}'>{esc(' '.join(pick().split()[: rng.integers(1, 7)]))}</a></li>" for k in range(rng.integers(2, 6))) + "</ul>")
         elif kind < 0.7:
             body.append(f"<h2>{' '.join(t.split()[:6])}</h2>")
         elif kind < 0.76:
@@ -406,16 +435,21 @@ def practice_page(texts: list[str], rng: np.random.Generator) -> tuple[str, str]
         else:
             body.append(f"<div>{t}</div>")
     rest = []
-    for _ in range(rng.integers(1, 8)):
+    for _ in range(rng.integers(1, 8) if rng.random() < 0.92 else 0):
         links = "".join(f'<li><a href="/{k}">{esc(" ".join(pick().split()[: rng.integers(1, 5)]))}</a></li>' for k in range(rng.integers(2, 9)))
         long_one = rng.random() < 0.35
         say = (lambda: esc(pick())) if long_one else (lambda: esc(short()))
-        rest.append(f'<data-rest value="">{_LAYOUT_REST[rng.integers(len(_LAYOUT_REST))].format(links=links, t=say(), u=say(), v=say(), r=_named(_NAMES_REST, rng), x=neither())}</data-rest>')
+        few = lambda: esc(" ".join(pick().split()[: rng.integers(1, 4)]))
+        row = (" ", " | ", "<br>")[rng.integers(3)].join(f"<a href='/{k}'>{few()}</a>" for k in range(rng.integers(2, 7)))
+        rest.append(f'<data-rest value="">{_LAYOUT_REST[rng.integers(len(_LAYOUT_REST))].format(links=links, row=row, w=few(), t=say(), u=say(), v=say(), r=_named(_NAMES_REST, rng), x=neither())}</data-rest>')
     inside = "".join(body)
-    if rng.random() < 0.25:  # an advert or form within the article
+    if rest and rng.random() < 0.25:  # an advert or form within the article
         k = rng.integers(len(body) + 1)
         inside = "".join(body[:k]) + rest.pop() + "".join(body[k:])
     main = "<data-main>" + _LAYOUT_MAIN[rng.integers(len(_LAYOUT_MAIN))].format(t=inside, m=_named(_NAMES_MAIN, rng), x=neither()) + "</data-main>"
+    if rest and rng.random() < 0.08:
+        cells = _LAYOUT_CELLS[rng.integers(len(_LAYOUT_CELLS))].format(rest="".join(rest), main=f"<data-main>{inside}</data-main>", r=_named(_NAMES_REST, rng), m=_named(_NAMES_MAIN, rng), x=neither())
+        return f"<html><body>{cells}</body></html>", title
     k = int(rng.integers(len(rest) + 1)) if rest else 0
     wrap = ("{}", '<div class="wrapper">{}</div>', '<div id="page"><div class="container">{}</div></div>')[rng.integers(3)]
     return "<html><body>" + wrap.format("".join(rest[:k]) + main + "".join(rest[k:])) + "</body></html>", title
@@ -427,7 +461,7 @@ def _line(node: Node) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) or 1 if len(text) >= 3 else 0
 
 
-def _practice_rows(pages: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _practice_rows(pages: list[str], seed: int, times: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the elements of practice pages made from the texts of ``pages``."""
     rng = np.random.default_rng(seed)
     texts: list[str] = []
@@ -436,7 +470,7 @@ def _practice_rows(pages: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]
     xs, ys = [], []
     if not texts:
         return np.zeros((0, len(NAMES))), np.zeros(0)
-    for _ in range(2 * len(pages)):
+    for _ in range(times * len(pages)):
         root = parse(practice_page(texts, rng)[0])
         mark: dict[int, int] = {}
         stack = [(root, 0)]
@@ -446,6 +480,8 @@ def _practice_rows(pages: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]
             for c in node.items:
                 if isinstance(c, Node) and c.tag.startswith("data-"):
                     state = 1 if c.tag == "data-main" else 0
+                    if state and any(isinstance(g, str) and g.strip() for g in c.items):
+                        mark[id(node)] = 1  # main text stands directly in it
                     for g in c.items:
                         if isinstance(g, Node):
                             g.parent = node
@@ -501,6 +537,7 @@ def fit(pages: DataFrame, sample_pages: int = 400, trees: int = 30, depth: int =
 
     total = max(1, pages.count())
     step = max(1, total // sample_pages)
+    times = min(40, max(2, -(-2 * sample_pages // total)))  # pages of a small table are practised on more often
     chosen = F.col("html").isNotNull() & (F.pmod(F.xxhash64("page_id", F.lit(5)), F.lit(step)) == 0)
     some = written(pages.filter(chosen).select(F.nullif(F.regexp_extract("url", "^[a-zA-Z]+://([^/]+)", 1), F.lit("")).alias("host"), "html"), "sample-pages").repartition(6)
     often = repeated_texts(some)
@@ -509,7 +546,7 @@ def fit(pages: DataFrame, sample_pages: int = 400, trees: int = 30, depth: int =
         for pdf in parts:
             for at in range(0, len(pdf), 25):
                 part = pdf.iloc[at : at + 25]
-                x, y = _practice_rows(part["html"].tolist(), 1 + at)
+                x, y = _practice_rows(part["html"].tolist(), 1 + at, times)
                 for host, page in zip(part["host"], part["html"]):
                     if gone := often.get(host):
                         nodes, own = features(parse(page))
