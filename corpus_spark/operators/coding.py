@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpus_spark.sources.scratch import discard, written
+
 
 def pair(a: DataFrame, b: DataFrame, fields: Sequence[str], key: str = "annotation_id") -> DataFrame:
     left = a.select(key, *(F.col(f).alias(f"{f}_a") for f in fields))
@@ -94,6 +96,33 @@ def codebook_problems(codebook: DataFrame) -> DataFrame:
     return say(codebook.filter(blank("code_id")), "missing id").unionByName(say(twice, "duplicate id")).unionByName(say(codebook.filter(blank("description")), "empty description")).unionByName(say(lost, "unknown parent"))
 
 
+def codebook_roots(codebook: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """code_id, root, depth, problem: every code's line of parents followed to its end, however deep.
+
+    problem is ``unknown ancestor`` where the line ends in a parent that isn't there (root is that parent) and ``cycle``
+    where it never ends (root is null); else null. Jumps double with each round: a round joins every code that isn't at
+    its end with what its furthest known ancestor knows, so a line of n codes takes log2(n) rounds, and what is left
+    after as many rounds as there are codes stands above or in a cycle. Of repeated ids the least parent counts.
+    """
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    parent = F.when(~blank("parent_id"), F.col("parent_id"))
+    known = codebook.filter(~blank("code_id")).groupBy("code_id").agg(F.min(parent).alias("up"))
+    there = known.select(F.col("code_id").alias("up"), F.lit(True).alias("there"))
+    # at: the furthest ancestor known so far; done: it has no parent, or isn't there
+    lines = known.join(there, "up", "left").select("code_id", F.coalesce("up", "code_id").alias("at"), F.col("up").isNotNull().cast("long").alias("depth"), (F.col("up").isNull() | F.col("there").isNull()).alias("done"), (F.col("up").isNotNull() & F.col("there").isNull()).alias("lost"))
+    lines = written(lines, "lines")
+    rounds = min(most_rounds, max(1, lines.count()).bit_length() + 1)
+    for _ in range(rounds):
+        if not lines.filter(~F.col("done")).limit(1).count():
+            break
+        ahead = lines.select(F.col("code_id").alias("at"), F.col("at").alias("next_at"), F.col("depth").alias("next_depth"), F.col("done").alias("next_done"), F.col("lost").alias("next_lost"))
+        moved = lines.filter(~F.col("done")).join(ahead, "at").select("code_id", F.col("next_at").alias("at"), (F.col("depth") + F.col("next_depth")).alias("depth"), F.col("next_done").alias("done"), F.col("next_lost").alias("lost"))
+        before, lines = lines, written(lines.filter("done").unionByName(moved), "lines")
+        discard(before)
+    problem = F.when(~F.col("done"), "cycle").when(F.col("lost"), "unknown ancestor")
+    return lines.select("code_id", F.when(F.col("done"), F.col("at")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"), problem.alias("problem"))
+
+
 def flatten_codebook(books: DataFrame, column: str = "codes") -> DataFrame:
     """One row a code from an array of structs."""
     return books.select(F.explode(column).alias("c")).select("c.*")

@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def breakdown(df: DataFrame, child: str | Sequence[str], parent: str | Sequence[str] = (), drop_nulls: bool = True) -> DataFrame:
-    """parent keys, child keys, count, share. Counting shrinks the rows in each task before the shuffle."""
+def breakdown(df: DataFrame, child: str | Sequence[str], parent: str | Sequence[str] = (), drop_nulls: bool = True, weight: str | None = None) -> DataFrame:
+    """parent keys, child keys, count, share. Counting shrinks the rows in each task before the shuffle.
+
+    ``weight`` names a column of counts, where rows were counted before.
+    """
     children = [child] if isinstance(child, str) else list(child)
     parents = [parent] if isinstance(parent, str) else list(parent)
     keys = [*parents, *children]
@@ -17,7 +20,8 @@ def breakdown(df: DataFrame, child: str | Sequence[str], parent: str | Sequence[
     whole = F.lit(True)
     for k in keys if drop_nulls else ():
         whole = whole & F.col(k).isNotNull()
-    counts = df.groupBy(*keys).agg(F.count_if(whole).alias("count")).filter(F.col("count") > 0)
+    number = F.count_if(whole) if weight is None else F.coalesce(F.sum(F.when(whole, F.col(weight))), F.lit(0))
+    counts = df.groupBy(*keys).agg(number.alias("count")).filter(F.col("count") > 0)
     if parents:
         return counts.withColumn("share", _share(F.sum("count").over(Window.partitionBy(*parents))))
     return counts.crossJoin(F.broadcast(counts.agg(F.sum("count").alias("_total")))).select(*keys, "count", _share(F.col("_total")).alias("share"))
@@ -27,29 +31,45 @@ def _share(total: Column) -> Column:
     return F.coalesce(F.try_divide(F.col("count").cast("double"), total), F.lit(0.0))
 
 
-def closed_distribution(df: DataFrame, column: str, labels: Sequence[str]) -> DataFrame:
+def closed_distribution(df: DataFrame, column: str, labels: Sequence[str], weight: str | None = None) -> DataFrame:
     """Every label, also those that never occur, with count and share of all."""
     every = df.sparkSession.createDataFrame([(k, x) for k, x in enumerate(labels)], f"ord int, {column} string")
-    counts = df.groupBy(column).agg(F.count("*").alias("n"))
+    counts = df.groupBy(column).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
     rows = every.join(counts, column, "left")
     count = F.coalesce("n", F.lit(0))
     return rows.select("ord", column, count.alias("count")).withColumn("share", F.coalesce(F.try_divide(F.col("count").cast("double"), F.sum("count").over(Window.partitionBy())), F.lit(0.0))).drop("ord")
 
 
-def place_frequency(mentioned: DataFrame, meta: DataFrame) -> DataFrame:
-    return breakdown(mentioned, "toponym").join(meta, "toponym", "left")
+def place_frequency(mentioned: DataFrame, meta: DataFrame, weight: str | None = None) -> DataFrame:
+    return breakdown(mentioned, "toponym", weight=weight).join(meta, "toponym", "left")
+
+
+def top_places(mentioned: DataFrame, n: int, weight: str | None = None) -> DataFrame:
+    return breakdown(mentioned, "toponym", weight=weight).orderBy(F.desc("count"), "toponym").limit(n)
+
 
+def city_stats(with_meta: DataFrame, weight: str | None = None) -> DataFrame:
+    return breakdown(with_meta.filter(F.col("parent_city").isNotNull()), "parent_city", weight=weight)
 
-def top_places(mentioned: DataFrame, n: int) -> DataFrame:
-    return breakdown(mentioned, "toponym").orderBy(F.desc("count"), "toponym").limit(n)
 
+def district_stats(with_meta: DataFrame, weight: str | None = None) -> DataFrame:
+    return breakdown(with_meta.filter(F.col("type") == "district"), "toponym", "parent_city", weight=weight)
 
-def city_stats(with_meta: DataFrame) -> DataFrame:
-    return breakdown(with_meta.filter(F.col("parent_city").isNotNull()), "parent_city")
 
+def cube(rows: DataFrame, sets: Sequence[Sequence[str]], places: str = "toponyms") -> DataFrame:
+    """Counts for several sets of keys in one scan and one shuffle: the keys, toponym, set (its number), docs, said.
 
-def district_stats(with_meta: DataFrame) -> DataFrame:
-    return breakdown(with_meta.filter(F.col("type") == "district"), "toponym", "parent_city")
+    docs counts rows, said their mentions of places; ``toponym`` in a set stands for the mentions' names. Keys that a set
+    doesn't have are null in its rows. Blank names are no mentions.
+    """
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    each = rows.select(*(k for k in keys if k != "toponym"), F.posexplode_outer(places).alias("_at", "toponym"))
+    first, named = F.coalesce("_at", F.lit(0)) == 0, F.trim(F.coalesce("toponym", F.lit(""))) != ""
+    each = each.withColumns({"_first": first, "_named": named})
+    got = each.groupingSets([list(s) for s in sets], *keys).agg(F.grouping_id().alias("_id"), F.count_if("_first").alias("docs"), F.count_if("_named").alias("said"))
+    number = {sum((k not in s) << (len(keys) - 1 - i) for i, k in enumerate(keys)): n for n, s in enumerate(sets)}
+    which = F.create_map(*(F.lit(x) for pair in number.items() for x in pair))
+    return got.withColumn("set", which[F.col("_id").cast("int")]).drop("_id")
 
 
 def source_comparison(mentioned: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ def gazetteer_frame(spark: SparkSession, meta: Mapping[str, tuple[str, str | Non
     return spark.createDataFrame([(k, *v) for k, v in meta.items()], "toponym string, type string, parent_city string")
 
 
-def _few(meta: DataFrame, rows: int = 200_000) -> DataFrame:
+def few(meta: DataFrame, rows: int = 200_000) -> DataFrame:
     """Broadcast if a count proves it small."""
     return F.broadcast(meta) if meta.count() <= rows else meta
 
@@ -120,7 +120,7 @@ def mentions(df: DataFrame, meta: DataFrame | None = None, column: str = "topony
     """One row a mention; blank names go; type and parent_city from a gazetteer frame."""
     # outer, because Spark would move a size filter on what makes the list below everything else
     out = df.withColumn("toponym", F.explode_outer(column)).drop(column).filter(F.trim(F.coalesce("toponym", F.lit(""))) != "")
-    return out if meta is None else out.join(_few(meta), "toponym", "left")
+    return out if meta is None else out.join(few(meta), "toponym", "left")
 
 
 def ensure_places(df: DataFrame, gazetteer: Mapping[str, Sequence[str]], text_columns: Sequence[str] = ("text", "clean_text", "comment")) -> DataFrame:

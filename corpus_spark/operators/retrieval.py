@@ -28,6 +28,8 @@ def chunk(documents: DataFrame, size: int = 1200, overlap: int = 200) -> DataFra
     step = size - overlap
     count = lambda t: F.when(F.length(t) == 0, 0).when(F.length(t) <= size, 1).otherwise(F.ceil((F.length(t) - size) / step) + 1).cast("int")
     pages = documents.withColumn("pages", F.transform("pages", lambda p: F.struct(p["page_number"].alias("page_number"), collapse(F.coalesce(p["text"], F.lit(""))).alias("text"))))
+    # through a generator, so that texts are collapsed once and not for each column that reads them
+    pages = pages.select("doc_id", "filename", "path", F.explode_outer(F.array("pages")).alias("pages"))
     counted = pages.withColumn("counts", F.transform("pages", lambda p: count(p["text"])))
     each = counted.select("doc_id", "filename", "path", "counts", F.posexplode("pages").alias("page", "p"))
     before = F.aggregate(F.slice("counts", F.lit(1), F.col("page")), F.lit(0), lambda a, x: a + x)

@@ -79,7 +79,8 @@ def hash_topic(text: Column, k: int) -> Column:
 
 
 def _tokens(df: DataFrame, topic: str, doc: str, text: str, pattern: str) -> DataFrame:
-    return df.select(topic, doc, F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(pattern), F.lit(0))).alias("term"))
+    # outer, because Spark would extract tokens a second time to leave empty lists out
+    return df.select(topic, doc, F.explode_outer(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(pattern), F.lit(0))).alias("term")).filter(F.col("term").isNotNull())
 
 
 def tfidf_labels(df: DataFrame, topic: str = "topic_id", doc: str = "doc_id", text: str = "text", top: int = 5, vocabulary: int = 2000) -> DataFrame:

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_spark.functions import text as T
-from corpus_spark.operators import gazetteer, vector_index, windows
+from corpus_spark.operators import coding, gazetteer, vector_index, windows
 from corpus_spark.plans import bindings as Z
 from corpus_spark.plans.queries import SQL, query
+from corpus_spark.plans import queries_more  # noqa: F401
 from corpus_spark.plans.queries_io import _CSV, _ROWS, _renamed, _rows
 from corpus_spark.sources import comments
 from corpus_spark.sources import tables as S
 from corpus_spark.sources.scratch import fresh_path
+from corpus_spark.streaming import rollup
 
 # Places of a gazetteer made of the benchmark: every two words in a row name their item
 
@@ -106,3 +108,44 @@ def w1_window_pieces(spark, d):
     """Weeks in pieces of about 3,000 characters."""
     got = windows.roll_up_pieces(Z.labelled(spark, d), "7 days", "4 days", most=3000)
     return got.select("source", "group", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "piece", "text", "message_count")
+
+
+# A codebook of many levels
+
+
+@query("""WITH RECURSIVE b AS (SELECT 'n' || p_partkey AS code_id, CASE WHEN p_partkey % 101 = 0 THEN 'n' || (2 * p_partkey) WHEN p_partkey % 50 = 7 THEN 'x' || p_partkey WHEN p_partkey > 1 THEN 'n' || (p_partkey // 2) END AS parent_id FROM part),
+l AS (SELECT code_id, code_id AS top, 0 AS depth, [code_id] AS path, FALSE AS again FROM b
+      UNION ALL SELECT l.code_id, b.parent_id, depth + 1, list_append(path, b.parent_id), list_contains(path, b.parent_id) FROM l JOIN b ON b.code_id = l.top WHERE b.parent_id IS NOT NULL AND NOT again),
+e AS (SELECT code_id, max_by(top, depth) AS top, max(depth) AS depth, max_by(again, depth) AS again FROM l GROUP BY code_id)
+SELECT code_id, CASE WHEN NOT again THEN top END AS root, CASE WHEN NOT again THEN depth END::BIGINT AS depth, CASE WHEN again THEN 'cycle' WHEN top NOT IN (SELECT code_id FROM b) THEN 'unknown ancestor' END AS problem FROM e""")
+def j6_codebook_roots(spark, d):
+    """A tree of all parts, with parents that aren't there and pairs that are each other's parent."""
+    k = F.col("p_partkey")
+    name = lambda mark, c: F.concat(F.lit(mark), c.cast("string"))
+    parent = F.when(k % 101 == 0, name("n", 2 * k)).when(k % 50 == 7, name("x", k)).when(k > 1, name("n", F.floor(k / 2)))
+    return coding.codebook_roots(Z.table(spark, d, "part").select(name("n", k).alias("code_id"), parent.alias("parent_id")))
+
+
+# A stream through interruptions
+
+
+@query(SQL["w1_windows"].replace("FROM l GROUP BY", "FROM l, (SELECT min(epoch(datetime)) AS a, max(epoch(datetime)) AS b FROM l) WHERE length(clean_text) >= 5 AND NOT (row_id % 97 = 0 AND epoch(datetime) < a + (b - a) / 3) GROUP BY"))
+def st1_stream_restart(spark, d):
+    """Three parts in time, each read by a query of its own that goes on from the last one's state. All rows of a part come
+    twice; some of the first part come with the third, behind the watermark; a last row closes all windows."""
+    folder = fresh_path(spark, "stream-parts")
+    rows = Z.messages(spark, d).select("row_id", F.col("datetime").cast("timestamp").alias("datetime"), "group", "comment", "source")
+    at = F.col("datetime").cast("double")
+    low, high, last = rows.agg(F.min(at), F.max(at), F.max("datetime")).first()
+    part = F.when(at < low + (high - low) / 3, F.when(F.col("row_id") % 97 == 0, 3).otherwise(1)).when(at < low + 2 * (high - low) / 3, 2).otherwise(3)
+    parted = rows.withColumn("part", part)
+    for n in (1, 2, 3, 4):
+        own = parted.filter(F.col("part") == n).drop("part")
+        if n == 4:
+            own = spark.createDataFrame([(-1, last, "end", "the end of it", "end")], rows.schema).withColumn("datetime", F.col("datetime") + F.expr("interval 10 days"))
+        own.unionByName(own).write.parquet(f"{folder}/in/{n}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/in")
+        out = rollup.documents_stream(stream, "6 hours", "1 hour", 5, unique="row_id")
+        rollup.run_available(out, folder)
+    got = spark.read.schema(out.schema).parquet(f"{folder}/out").filter("source <> 'end'")
+    return got.select("source", "group", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("window_end"), "period", "text", "message_count")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +11,29 @@ from corpus_spark.functions import text as T
 from corpus_spark.operators.windows import roll_up
 
 
-def documents_stream(messages: DataFrame, width: str = "1 hour", delay: str = "1 hour", shortest: int = 5, tiebreak: str = "row_id") -> DataFrame:
+def documents_stream(messages: DataFrame, width: str = "1 hour", delay: str = "1 hour", shortest: int = 5, tiebreak: str = "row_id", unique: str | None = None) -> DataFrame:
     """messages: datetime timestamp, group, comment, source and a tie-break id from the source.
 
-    State is one row a (source, group, window) that is still open; it is dropped once the watermark passes.
+    State is one row a (source, group, window) that is still open; it is dropped once the watermark passes. With
+    ``unique``, an id, messages that arrive again within the delay count once; their ids are kept for as long.
+    Rows behind the watermark are left out; ``late_rows`` says how many.
     """
     clean = messages.filter(F.col("comment").isNotNull() & F.col("datetime").isNotNull()).withColumn("clean_text", T.clean_text(T.fix_encoding(F.col("comment"))))
     kept = clean.filter(F.length("clean_text") >= shortest).withColumn("lang", T.language(F.col("clean_text")))
-    return roll_up(kept.withWatermark("datetime", delay), width, tiebreak=tiebreak)
+    marked = kept.withWatermark("datetime", delay)
+    return roll_up(marked.dropDuplicatesWithinWatermark([unique]) if unique else marked, width, tiebreak=tiebreak)
+
+
+def run_available(documents: DataFrame, folder: str) -> list[dict]:
+    """Appends what is closed by now to Parquet below a folder, state beside it; a later call goes on from there.
+
+    Returns the progress of the batches that this call ran.
+    """
+    q = documents.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return [p if isinstance(p, dict) else json.loads(p.json) for p in q.recentProgress]
+
+
+def late_rows(progress: list[dict]) -> int:
+    """Rows that came behind the watermark of the first stateful step that met them."""
+    return sum(max((s["numRowsDroppedByWatermark"] for s in p["stateOperators"]), default=0) for p in progress)
