@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpus_spark.sources.scratch import written
+
 WIDTH = 384
 
 
@@ -88,7 +90,7 @@ def tfidf_labels(df: DataFrame, topic: str = "topic_id", doc: str = "doc_id", te
 
     Tokens are counted by (topic, document, term) first; everything after works on those counts.
     """
-    tf = _tokens(df, topic, doc, text, r"(?U)\b\w{3,}\b").groupBy(topic, doc, "term").agg(F.count("*").alias("tf"))
+    tf = written(_tokens(df, topic, doc, text, r"(?U)\b\w{3,}\b").groupBy(topic, doc, "term").agg(F.count("*").alias("tf")), "term-counts")
     docs = df.groupBy(topic).agg(F.count("*").alias("n"))
     terms = tf.groupBy(topic, "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     known = terms.withColumn("_r", F.row_number().over(Window.partitionBy(topic).orderBy(F.desc("total"), "term"))).filter(F.col("_r") <= vocabulary)
