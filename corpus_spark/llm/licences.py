@@ -2,7 +2,8 @@
 
 A sparse word n-gram (one and two words) multinomial logistic regression, fitted by Spark ML on
 variants of public notices and of the paragraphs of public licence texts, whole and in part, and on a bounded sample of the corpus' own lines as the unknown class: about
-``sample_lines`` lines, chosen by hash from all lines of about ``sample_docs`` documents. The
+``sample_lines`` lines, chosen by hash from all lines of about ``sample_docs`` documents. Lines that share
+words with a notice without being one belong to it, and a passage that its sentence denies is none. The
 probability that a passage must reach is calibrated on held-out lines of the unknown class; a comparison
 with the family's notices then confirms the prediction: enough of a notice's word pairs must be there.
 Only n-grams of the notices carry weights, and no passage without their word pairs could be confirmed, so
@@ -28,27 +29,26 @@ UNKNOWN = "unknown"
 # Public notices of each family, and the paragraphs of their public texts, in lower case.
 NOTICES = {
     "apache": [
-        "licensed under the apache license version 2.0", "distributed under the apache license 2.0",
+        "spdx-license-identifier apache-2.0", "licensed under the apache license version 2.0", "distributed under the apache license 2.0",
         "licensed under the apache license version 2.0 (the license) you may not use this file except in compliance with the license you may obtain a copy of the license at http://www.apache.org/licenses/license-2.0",
         "you may not use this file except in compliance with the license",
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     ],
     "mit": [
-        "released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software",
+        "spdx-license-identifier mit", "released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files (the software) to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and/or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
         "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
         "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     ],
     "gpl": [
-        "this work is licensed under the gnu general public license version 3", "released under the gnu lesser general public license", "licensed under the gnu affero general public license",
+        "spdx-license-identifier gpl-2.0-only", "spdx-license-identifier gpl-3.0-or-later", "this work is licensed under the gnu general public license version 3", 
         "this program is free software you can redistribute it and/or modify it under the terms of the gnu general public license",
         "this program is free software you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or (at your option) any later version",
-        "this library is free software you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or (at your option) any later version",
         "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
         "you should have received a copy of the gnu general public license along with this program if not see https://www.gnu.org/licenses/",
     ],
     "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted", "released under the bsd 3-clause license", "licensed under the new bsd license",
+        "spdx-license-identifier bsd-3-clause", "spdx-license-identifier bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted", "released under the bsd 3-clause license", "licensed under the new bsd license",
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
         "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
         "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
@@ -56,23 +56,43 @@ NOTICES = {
         "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
     ],
     "isc": [
-        "released under the isc license", "permission to use copy modify and/or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "spdx-license-identifier isc", "released under the isc license", "permission to use copy modify and/or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
         "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
     ],
     "zlib": [
-        "this software is provided as-is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+        "spdx-license-identifier zlib", "this software is provided as-is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
         "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
     ],
     "boost": ["distributed under the boost software license version 1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the software) to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software"],
-    "mpl": ["this source code form is subject to the terms of the mozilla public license", "licensed under the mozilla public license 2.0", "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at https://mozilla.org/mpl/2.0/"],
-    "cc": ["licensed under cc by-nc 4.0", "licensed under cc by 4.0", "licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution 4.0 international license", "this work is licensed under a creative commons attribution-sharealike 4.0 international license to view a copy of this license visit http://creativecommons.org/licenses/by-sa/4.0/"],
+    "mpl": ["spdx-license-identifier mpl-2.0", "this source code form is subject to the terms of the mozilla public license", "licensed under the mozilla public license 2.0", "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at https://mozilla.org/mpl/2.0/"],
+    "cc": ["licensed under cc by-nd 4.0", "licensed under cc by-nc-sa 4.0", "licensed under cc by-nc-nd 4.0", "spdx-license-identifier cc-by-4.0", "spdx-license-identifier cc-by-sa-4.0", "licensed under cc by-nc 4.0", "licensed under cc by 4.0", "licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution 4.0 international license", "this work is licensed under a creative commons attribution-sharealike 4.0 international license to view a copy of this license visit http://creativecommons.org/licenses/by-sa/4.0/"],
     "reserved": ["all rights reserved", "copyright all rights reserved no part may be reproduced without permission", "no part of this publication may be reproduced stored or transmitted in any form or by any means without the prior written permission of the publisher"],
     "public_domain": ["this work is in the public domain", "released into the public domain", "dedicated to the public domain under cc0 1.0 universal", "this is free and unencumbered software released into the public domain", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non-commercial and by any means"],
+    "lgpl": ["released under the gnu lesser general public license", "this library is free software you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or (at your option) any later version", "licensed under the gnu lesser general public license version 2.1", "gnu lesser general public license version 3", "licensed under the lgpl", "gnu library general public license", "spdx-license-identifier lgpl-2.1-or-later", "spdx-license-identifier lgpl-3.0-only"],
+    "agpl": ["licensed under the gnu affero general public license", "released under the gnu affero general public license version 3", "it under the terms of the gnu affero general public license as published by the free software foundation", "spdx-license-identifier agpl-3.0-or-later", "licensed under the agpl"],
+    "epl": ["licensed under the eclipse public license version 2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license v2.0 which is available at https://www.eclipse.org/legal/epl-2.0", "spdx-license-identifier epl-2.0"],
+    "eupl": ["licensed under the eupl version 1.2", "licensed under the european union public licence", "licensed under the eupl version 1.2 or as soon they will be approved by the european commission subsequent versions of the eupl (the licence)", "you may not use this work except in compliance with the licence", "spdx-license-identifier eupl-1.2"],
+    "cddl": ["licensed under the common development and distribution license", "the contents of this file are subject to the terms of the common development and distribution license (the license)", "this file is subject to the cddl version 1.0", "spdx-license-identifier cddl-1.0"],
+    "wtfpl": ["do what the fuck you want to public license", "this program is free software it comes without any warranty to the extent permitted by applicable law you can redistribute it and/or modify it under the terms of the do what the fuck you want to public license", "licensed under the wtfpl", "spdx-license-identifier wtfpl"],
+    "unlicense": ["released under the unlicense", "for more information please refer to https://unlicense.org", "spdx-license-identifier unlicense"],
+    "artistic": ["released under the artistic license 2.0", "this is free software you can redistribute it and/or modify it under the same terms as the perl 5 programming language", "spdx-license-identifier artistic-2.0"],
 }
 #: Pairs of these alone say nothing of a licence, so no passage begins with them.
 _PLAIN_WORDS = frozenset("a all and any are as at be but by for from if in is it may no not of on or see that the this to under use with without you".split())
 _WORD = re.compile(r"[\w./-]*\w")
 _GAP = 6
+#: Words that deny what follows them in a sentence; _DENIED words before a passage are looked at.
+_DENIALS = frozenset("not no never nor neither without cannot don't doesn't isn't aren't won't wasn't weren't didn't".split())
+_DENIED = 8
+_SAID = re.compile(r"[\w./-]*\w(?:['\u2019]t\b)?|[.!?;:](?=\s|$)")
+
+
+def denied(before: str) -> bool:
+    """Whether a sentence's words so far deny what comes next: "we do not ship software ..."."""
+    sentence: list[str] = []
+    for m in _SAID.finditer(before.lower().replace("\u2019", "'")):
+        sentence = [] if m[0] in ".!?;:" else [*sentence[1 - _DENIED :], m[0]]
+    return not _DENIALS.isdisjoint(sentence)
 
 
 def words(text: str) -> list[str]:
@@ -94,8 +114,9 @@ class Notices:
         self.first = frozenset(p.split(" ")[0] for p in self.every_pair)
 
     def passages(self, line: str) -> list[list[str]]:
-        """Stretches of words around known pairs, at most _GAP words apart."""
-        w = words(line)
+        """Stretches of words around known pairs, at most _GAP words apart; those that their sentence denies are left out."""
+        spans = list(_WORD.finditer(line.lower()))
+        w = [m[0] for m in spans]
         at = [i for i in range(len(w) - 1) if w[i] in self.first and f"{w[i]} {w[i + 1]}" in self.every_pair]
         out: list[list[int]] = []
         for i in at:
@@ -103,7 +124,7 @@ class Notices:
                 out[-1][1] = i
             else:
                 out.append([i, i])
-        return [w[max(0, a - 1) : b + 3] for a, b in out]
+        return [w[max(0, a - 1) : b + 3] for a, b in out if not (a and denied(line[: spans[a].start()]))]
 
     def wrapped(self, lines: list[str], confirm: float) -> Iterator[tuple[int, int, list[str]]]:
         """Stretches that cross line ends and hold enough pairs of some notice: first line, last line, words; few lines first."""
@@ -166,6 +187,7 @@ def _practice(lines: list[str], notes: Notices, notices: dict[str, list[str]], r
         w = words(line)
         i = rng.integers(max(1, len(w)))
         rows.append((0, *notes.known(w[i : i + rng.integers(3, 20)])))
+        rows += [(0, *notes.known(p)) for p in notes.passages(line)]  # hard ones: pairs of a notice, but not a notice
         noise = [common[rng.integers(len(common))] if rng.random() < 0.6 else known[rng.integers(len(known))].split(" ")[0] for _ in range(rng.integers(3, 15))]
         rows.append((0, *notes.known(noise)))
     return rows
@@ -202,7 +224,7 @@ def fit(docs: DataFrame, notices: dict[str, list[str]] = NOTICES, sample_docs: i
         notes = Notices(notices)
         for pdf in parts:
             for at in range(0, len(pdf), 400):
-                lines = [x for x in pdf["line"].iloc[at : at + 400] if not notes.passages(x)]
+                lines = [x for x in pdf["line"].iloc[at : at + 400] if not any(notes.confirmed(f, p) >= 0.6 for p in notes.passages(x) for f in notices)]
                 rows = _practice(lines, notes, notices, np.random.default_rng(at))
                 yield pd.DataFrame({"label": [float(k) for k, _, _ in rows], "grams": [g for _, g, _ in rows], "rest": [r for _, _, r in rows], "held": [i % 5 == 0 for i in range(len(rows))]})
 
