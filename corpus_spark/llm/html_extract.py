@@ -271,29 +271,26 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
 
 
 def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
-    """Which elements are kept: most log-odds under the rule that a dropped element drops its subtree.
+    """Which elements are kept: most log-odds under the rule that a dropped element drops its subtree. The root is kept."""
+    value = np.array([o * (1 + n.own) if n.own else 0.0 for o, n in zip(odds, nodes)])
+    for i in range(len(nodes) - 1, 0, -1):
+        if value[i] > 0:
+            value[nodes[i].parent.index] += value[i]
+    keep = np.zeros(len(nodes), dtype=bool)
+    keep[0] = True
+    for i in range(1, len(nodes)):
+        keep[i] = keep[nodes[i].parent.index] and value[i] > 0
+    return keep
 
-    The root is kept, so texts that stand in no element are. Where that would leave a page with text without any, log-odds
-    count from a little below the best element's: the likeliest part of the page is its main part.
-    """
-    texts = np.array([n.own for n in nodes])
-
-    def kept(odds: np.ndarray) -> np.ndarray:
-        value = np.where(texts > 0, odds * (1 + texts), 0.0)
-        for i in range(len(nodes) - 1, 0, -1):
-            if value[i] > 0:
-                value[nodes[i].parent.index] += value[i]
-        keep = np.zeros(len(nodes), dtype=bool)
-        keep[0] = True
-        for i in range(1, len(nodes)):
-            keep[i] = keep[nodes[i].parent.index] and value[i] > 0
-        return keep
-
-    keep = kept(odds)
-    said = texts > 0
+
+def choose(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
+    """decode(), but where that would leave a page with text without any: log-odds count from a little below the best
+    element's then, for the likeliest part of a page is its main part."""
+    said = np.array([n.own > 0 for n in nodes])
+    keep = decode(nodes, odds)
     if said.any() and not (keep & said).any():
-        keep = kept(odds - odds[said].max() + _MARGIN)
-        if not (keep & said).any():  # the best one stands in elements that are worth less: these are kept as far as it is below them
+        keep = decode(nodes, odds - odds[said].max() + _MARGIN)
+        if not (keep & said).any():  # the best one stands in elements that are worth less: it is kept with these
             best = nodes[int(np.argmax(np.where(said, odds, -np.inf)))]
             while best is not None:
                 keep[best.index] = True
@@ -573,7 +570,7 @@ def main_texts(pages: list[str | None], trees: Trees) -> list[str]:
         at += len(nodes)
         if len(nodes) == 1:
             own = np.ones(1)
-        out.append("\n".join(blocks(root, decode(nodes, own))))
+        out.append("\n".join(blocks(root, choose(nodes, own))))
     return out
 
 

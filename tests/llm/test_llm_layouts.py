@@ -46,8 +46,8 @@ def test_a_page_with_text_is_never_empty():
     root, own = nodes("<div><nav>menu</nav><p>one</p><p>two</p></div>")
     odds = np.array([0.0, -2.0, -9.0, -3.0, -3.5])
     assert [n.tag for n in own] == ["#root", "div", "nav", "p", "p"]
-    assert H.blocks(root, H.decode(own, odds)) == ["one", "two"]
+    assert H.blocks(root, H.choose(own, odds)) == ["one", "two"]
     root, own = nodes("<div>side <p>main</p></div>")
-    assert "main" in "".join(H.blocks(root, H.decode(own, np.array([0.0, -5.0, -1.0]))))
+    assert "main" in "".join(H.blocks(root, H.choose(own, np.array([0.0, -5.0, -1.0]))))
     root, own = nodes("<div><p></p></div>")
-    assert H.blocks(root, H.decode(own, np.array([0.0, -5.0, -1.0]))) == []
+    assert H.blocks(root, H.choose(own, np.array([0.0, -5.0, -1.0]))) == []
