@@ -7,7 +7,8 @@ whole alias. Aliases match as whole words: neither edge of a match may touch a w
 
 A gazetteer whose aliases were counted and are small enough is broadcast once and looked up batch by
 batch, without a shuffle; a larger one is joined: n-grams are dealt out and met with aliases by Spark.
-Both ways give the same names.
+Bits of hashed aliases, at most 4 MB of them, are broadcast first and hold back nearly all n-grams that
+are no alias. Both ways give the same names.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from corpus_spark.sources.scratch import written
 
 _TOKEN = r"(?U) ?(?:\w+|[^\w ])"
 _WORD = r"(?U)\w$"
+#: Bits of hashed aliases: 16 for each alias, up to this many, in words of 64.
+_MOST_BITS = 1 << 25
 
 
 def tokens(text: Column) -> Column:
@@ -121,12 +124,22 @@ def grams(df: DataFrame, text: str, key: str, longest: int, firsts: DataFrame) -
     return met.filter(ends).select(key, F.ltrim(F.array_join(F.slice("here", 1, F.col("n")), "")).alias("gram"))
 
 
+def _perhaps(found: DataFrame, known: DataFrame, count: int) -> DataFrame:
+    """The n-grams whose bit an alias has set. Of a huge gazetteer more pass, and the join that follows is exact anyway."""
+    bits = min(_MOST_BITS, 1 << max(10, (16 * count - 1).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    mark = known.select(slot("alias").alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("marks"))
+    asked = found.withColumn("s", slot("gram"))
+    met = (F.shiftright(asked["s"], 6) == mark["word"]) & (F.getbit(mark["marks"], asked["s"].bitwiseAND(63).cast("int")) == 1)
+    return asked.join(F.broadcast(mark), met, "leftsemi").drop("s")
+
+
 def _joined(df: DataFrame, text: str, known: DataFrame, into: str) -> DataFrame:
     known = written(known, "gazetteer")
-    longest = known.agg(F.max("length")).first()[0] or 1
+    longest, count = known.agg(F.coalesce(F.max("length"), F.lit(1)), F.count("*")).first()
     rows = written(df.withColumn("row of the text", F.monotonically_increasing_id()), "texts-with-places")
     firsts = known.groupBy("first").agg(F.collect_set("length").alias("lengths"))
-    hits = grams(rows, text, "row of the text", longest, firsts).distinct().join(known.select(F.col("alias").alias("gram"), "toponym", "ord"), "gram")
+    hits = _perhaps(grams(rows, text, "row of the text", longest, firsts), known, count).distinct().join(known.select(F.col("alias").alias("gram"), "toponym", "ord"), "gram")
     order = known.groupBy("toponym").agg(F.min("ord").alias("ord"))
     hits = hits.select("row of the text", "toponym").distinct().join(order, "toponym")
     of_row = hits.groupBy("row of the text").agg(F.array_sort(F.collect_list(F.struct("ord", "toponym"))).alias("found"))

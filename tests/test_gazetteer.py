@@ -42,3 +42,14 @@ def test_many_aliases_stay_out_of_the_plan(spark):
     many, few = G.add_places(df, "text", aliases(200_000)), G.add_places(df, "text", aliases(10))
     assert many.first()["toponyms"] == ["p77", "q199999"]
     assert abs(size(many) - size(few)) < 40
+
+
+def test_bits_hold_back_what_is_no_alias(spark):
+    known = G.compile_aliases(frame(spark))
+    asked = spark.range(20_000).select(F.concat(F.lit("no place "), F.col("id").cast("string")).alias("gram")).unionByName(known.select(F.col("alias").alias("gram")))
+    n = known.count()
+    passed = {r["gram"] for r in G._perhaps(asked, known, n).collect()}
+    assert {r["alias"] for r in known.collect()} <= passed and len(passed) < 20_000 / 8
+    plan = G._perhaps(asked, known, n)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
+    assert G._perhaps(asked.limit(0), known, n).count() == 0 and G._perhaps(asked, known.limit(0), 0).count() == 0
