@@ -10,7 +10,7 @@ from corpus_spark.operators import coding, gazetteer, vector_index, windows
 from corpus_spark.plans import bindings as Z
 from corpus_spark.plans.queries import SQL, query
 from corpus_spark.plans import queries_more  # noqa: F401
-from corpus_spark.plans.queries_io import _CSV, _ROWS, _renamed, _rows
+from corpus_spark.plans.queries_io import _CSV, _ROWS, _rows
 from corpus_spark.sources import comments
 from corpus_spark.sources import tables as S
 from corpus_spark.sources.scratch import fresh_path
@@ -19,15 +19,17 @@ from corpus_spark.streaming import rollup
 # Places of a gazetteer made of the benchmark: every two words in a row name their item
 
 _NORMAL = r"trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'))"
-_WORD = r"[\p{L}\p{M}\p{N}_]"
-_PLACES = f"""WITH t AS (SELECT doc_id, {_NORMAL} AS v FROM documents),
+
+
+def _edges(text: str) -> str:
+    """A text with a mark at each place where a whole word may begin, and another where one may end: whole words are parts of it."""
+    return rf"(chr(1) || regexp_replace({text}, '([^\p{{L}}\p{{M}}\p{{N}}_])', chr(2) || '\1' || chr(1), 'g') || chr(2))"
+
+
+_PLACES = f"""WITH t AS MATERIALIZED (SELECT doc_id, v, {_edges("v")} AS marked FROM (SELECT doc_id, {_NORMAL} AS v FROM documents)),
 w AS (SELECT item_id, string_split({_NORMAL}, ' ') AS w FROM benchmark),
-a AS (SELECT DISTINCT item_id, w[i] || ' ' || w[i + 1] AS alias FROM w, unnest(range(1, len(w))) u(i)),
-c AS MATERIALIZED (SELECT t.doc_id, a.item_id, t.v, a.alias FROM t JOIN a ON contains(t.v, a.alias)),
-p AS (SELECT doc_id, item_id, alias, string_split(v, alias) AS p FROM c),
-h AS (SELECT DISTINCT doc_id, item_id FROM p WHERE len(list_filter(range(1, len(p)), lambda i:
-        NOT regexp_matches(CASE WHEN p[i] <> '' THEN right(p[i], 1) WHEN i = 1 THEN ' ' ELSE right(alias, 1) END, '{_WORD}')
-    AND NOT regexp_matches(CASE WHEN p[i + 1] <> '' THEN left(p[i + 1], 1) WHEN i + 1 = len(p) THEN ' ' ELSE left(alias, 1) END, '{_WORD}'))) > 0)
+a AS MATERIALIZED (SELECT item_id, alias, {_edges("alias")} AS marked FROM (SELECT DISTINCT item_id, w[i] || ' ' || w[i + 1] AS alias FROM w, unnest(range(1, len(w))) u(i))),
+h AS (SELECT DISTINCT doc_id, item_id FROM t JOIN a ON contains(t.v, a.alias) AND contains(t.marked, a.marked))
 SELECT t.doc_id, coalesce(list('item ' || item_id ORDER BY item_id) FILTER (item_id IS NOT NULL), []) AS toponyms FROM t LEFT JOIN h USING (doc_id) GROUP BY t.doc_id"""
 
 
@@ -80,7 +82,6 @@ def io8_articles(spark, d):
     """One text file an item, read as articles."""
     folder = fresh_path(spark, "articles")
     Z.table(spark, d, "benchmark").select("item_id", F.col("text").alias("value")).write.partitionBy("item_id").text(folder)
-    _renamed(spark, folder, ".json", ".txt")
     got = S.articles(spark, folder)
     fits = F.col("doc_id") == F.concat(F.lit("article_"), F.substring(F.sha1(F.col("path").cast("binary")), 1, 12))
     return got.select(F.regexp_extract("path", "item_id=(\\d+)", 1).cast("long").alias("item_id"), "extension", "text", fits.alias("id_fits"), F.size("pages").alias("pages"))

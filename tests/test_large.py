@@ -3,10 +3,12 @@
 import datetime as dt
 import hashlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from corpus_spark.operators import retrieval, sampling, vector_index, windows
 
 
@@ -92,3 +94,43 @@ def test_stored_index(spark, tmp_path):
     pick = lambda d: {(r["query_id"], r["rank"], r["id"]) for r in d.filter("query_id <> 2000").collect()}
     assert pick(got) == pick(want)
     assert vector_index.search(spark, folder, q.limit(0), 5, "id").count() == 0
+
+
+@pytest.mark.parametrize("name", ["c4_places_of_table", "c4_places_joined"])
+def test_places_sql_sees_occurrences_that_overlap(spark, tmp_path, name):
+    """The first 'de de' touches a word, the one that begins inside it doesn't."""
+    texts = ["xde de de", "de de de", "xde dex", "a-b c,", "xa-b c", "(a-b cd", "-a b c", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "de de"), (2, "a-b c"), (3, "-a b c-")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted((i, list(x)) for i, x in db.sql(entry.oracle_sql()[name]).fetchall())
+    got = sorted((r["doc_id"], r["toponyms"]) for r in entry.queries()[name](spark, str(tmp_path)).collect())
+    assert got == want
+    assert dict(want)[0] == ["item 1"] and dict(want)[2] == []
+
+
+def test_lineage_of_a_table_of_several_files(spark, tmp_path):
+    """The given table lies in three files, in no order."""
+    rows = spark.createDataFrame([(7 * k % 4999, f"s{k % 3}") for k in range(4999)], "doc_id long, source string")
+    rows.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ["doc_id", "folder", "file_fits", "row_index", "source"]
+    want = sorted(db.sql(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()['io4_lineage']})").fetchall())
+    assert sorted(tuple(r) for r in entry.queries()["io4_lineage"](spark, str(tmp_path)).select(columns).collect()) == want
+    assert want[2000] == (2000, "file=1", True, 0, "s" + str([k for k in range(4999) if 7 * k % 4999 == 2000][0] % 3))
+
+
+def test_manifests_are_not_moved_one_by_one(spark, tmp_path, monkeypatch):
+    """All files of the runs lie in one folder, and each is opened once."""
+    from corpus_spark.plans import queries_io
+
+    seen = []
+    monkeypatch.setattr(queries_io, "fresh_path", lambda _, name: seen.append(f"{tmp_path}/{name}") or seen[-1])
+    spark.createDataFrame([(k, f"S{k}", k % 5) for k in range(300)], "s_suppkey long, s_name string, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = entry.queries()["io12_manifests"](spark, str(tmp_path))
+    assert sorted((r["experiment"], r["best"]) for r in got.collect()) == sorted((f"e{k}", None if k % 2 else f"S{k}") for k in range(300))
+    assert "Text" not in plan(got)
+    assert len(list((tmp_path / "manifests").glob("*.txt"))) == 300
