@@ -17,7 +17,7 @@ from corpus_spark.plans import bindings as Z
 from corpus_spark.plans.corpus import preprocess
 from corpus_spark.sources import comments
 from corpus_spark.sources import tables as S
-from corpus_spark.sources.scratch import spread
+from corpus_spark.sources.scratch import fresh_path, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,9 +46,14 @@ def io3_source_from_path(spark, d):
     return p.select("page_id", "url", F.when(comments.source_of(F.regexp_replace(F.lower("url"), "blog", "youtube")) == "youtube", "blog").otherwise("web").alias("kind"))
 
 
-@query("SELECT doc_id, 'documents.parquet' AS source_file, row_number() OVER () - 1 AS row_index, source FROM documents")
+@query("SELECT doc_id, 'file=' || (doc_id // 2000) AS folder, TRUE AS file_fits, row_number() OVER (PARTITION BY doc_id // 2000 ORDER BY doc_id) - 1 AS row_index, source FROM documents")
 def io4_lineage(spark, d):
-    return S.with_lineage(spark, f"{d}/documents.parquet").select("doc_id", "source_file", "row_index", "source")
+    """Files of 2,000 ids in a row, each in its folder and in the order of ids: SQL sees no files, but it can tell these."""
+    path, at = fresh_path(spark, "lineage-files"), F.expr("doc_id div 2000")
+    _docs(spark, d).select("doc_id", "source", at.alias("file")).repartition("file").sortWithinPartitions("file", "doc_id").write.partitionBy("file").parquet(path)
+    got = S.with_lineage(spark, path)
+    fits = F.col("source_path").endswith(F.concat(F.lit("/"), "source_file"))
+    return got.select("doc_id", F.regexp_extract("source_path", "/(file=[^/]+)/[^/]+$", 1).alias("folder"), fits.alias("file_fits"), "row_index", "source")
 
 
 @query("SELECT doc_id, text, NULL::BIGINT AS item_id FROM documents WHERE trim(coalesce(text, '')) <> '' UNION ALL SELECT NULL, text, item_id FROM benchmark WHERE trim(coalesce(text, '')) <> ''")
