@@ -74,27 +74,15 @@ def io10_write_index(spark, d):
 
 @query("SELECT 'e' || s_suppkey AS experiment, s_name AS runner, s_nationkey::VARCHAR AS nation, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS best FROM supplier")
 def io12_manifests(spark, d):
-    """One JSON file a run, some with a byte order mark."""
+    """JSON files of one run and of up to 99, two for every hundred runs, some with a byte order mark."""
     folder, k = fresh_path(spark, "manifests"), F.col("s_suppkey")
     run = F.struct(F.struct(F.concat(F.lit("e"), k.cast("string")).alias("id"), F.col("s_name").alias("runner")).alias("experiment"), F.struct(F.col("s_nationkey").alias("nation")).alias("params"), F.struct(F.when(k % 2 == 0, F.col("s_name")).alias("best")).alias("result"))
-    mark = F.when(k % 3 == 0, F.lit("﻿")).otherwise("")
-    files = Z.table(spark, d, "supplier").select(F.concat(mark, F.to_json(run)).alias("value"), k.alias("run"))
-    files.write.partitionBy("run").text(f"{folder}/txt")
-    # the text writer names its files .txt; the manifests' reader looks for .json
-    _renamed(spark, f"{folder}/txt", ".txt", ".json")
-    return S.manifests(spark, f"{folder}/txt").select(F.col("experiment.id").alias("experiment"), F.col("experiment.runner").alias("runner"), F.col("params")["nation"].alias("nation"), F.col("result")["best"].alias("best"))
-
-
-def _renamed(spark, folder: str, before: str, after: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    each = fs.listFiles(path(folder), True)
-    found = []
-    while each.hasNext():
-        found.append(each.next().getPath().toString())
-    for name in found:
-        if name.endswith(before):
-            fs.rename(path(name), path(name[: -len(before)] + after))
+    files = Z.table(spark, d, "supplier").groupBy(F.expr("s_suppkey div 100").alias("file"), (k % 100 == 0).alias("alone")).agg(F.collect_list(run).alias("runs"))
+    mark = F.when(F.col("file") % 3 == 0, F.lit("﻿")).otherwise("")
+    text = F.when(F.col("alone"), F.to_json(F.get("runs", F.lit(0)))).otherwise(F.to_json("runs"))
+    # files lie side by side in one folder, and tasks, not the driver, put them there
+    files.select(F.concat(mark, text).alias("value")).write.options(**{"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}).text(folder)
+    return S.manifests(spark, folder, "*.txt").select(F.col("experiment.id").alias("experiment"), F.col("experiment.runner").alias("runner"), F.col("params")["nation"].alias("nation"), F.col("result")["best"].alias("best"))
 
 
 @query("SELECT event_id::VARCHAR AS event, event_type AS text, '{\"user\":' || user_id || '}' AS about FROM events")

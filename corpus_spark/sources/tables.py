@@ -74,13 +74,20 @@ def write_index(chunks: DataFrame, folder: str) -> DataFrame:
     return chunks.sparkSession.read.parquet(f"{folder}/chunks").agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("documents"), F.max(F.size("embedding")).alias("dimensions"))
 
 
-MANIFEST = "experiment struct<id:string,runner:string>, params map<string,string>, result map<string,string>"
+MANIFEST = "experiment: struct<id:string,runner:string>, params: map<string,string>, result: map<string,string>"
 
 
-def manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Run manifests, latest first: many small JSON documents, with or without a byte order mark."""
-    texts = spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.json").text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("v"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("run_time"))
-    return texts.select(F.from_json("v", MANIFEST).alias("m"), "path", "run_time").filter(F.col("m.experiment").isNotNull()).select("m.*", "path", "run_time").orderBy(F.desc("run_time"), "path")
+def manifests(spark: SparkSession, path: str, names: str = "*.json") -> DataFrame:
+    """Run manifests, latest first: many small JSON files, with or without a byte order mark, of one run or a list of runs.
+
+    ``names`` says which files are manifests. Each file is opened once: what is sorted is a table of what they hold.
+    """
+    files = spark.read.options(recursiveFileLookup=True, pathGlobFilter=names).text(path, wholetext=True)
+    # a part of the scan is a few dozen small files; tasks take several of them, in proportion to the files
+    parts = files.coalesce(max(4 * spark.sparkContext.defaultParallelism, files.rdd.getNumPartitions() // 64))
+    texts = parts.select(F.regexp_replace("value", "^﻿", "").alias("v"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("run_time"))
+    found = texts.select(F.explode(F.from_json("v", f"array<struct<{MANIFEST}>>")).alias("m"), "path", "run_time").filter(F.col("m.experiment").isNotNull()).select("m.*", "path", "run_time")
+    return written(found, "manifests").orderBy(F.desc("run_time"), "path")
 
 
 def evidence_rows(documents: DataFrame, json: str = "value") -> DataFrame:
