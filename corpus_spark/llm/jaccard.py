@@ -1,7 +1,7 @@
 """Operator 10: n-gram Jaccard join by vertical partitioning.
 
 A document's n-grams are hashed to 64 bits; the global n-gram order is by frequency level, rare ones first,
-and by hash. The levels come from a table of fixed size, filled from a sample of the documents; any order
+and by hash. The levels come from a table of fixed size, filled from all documents; any order
 gives the same result, this one makes prefixes selective. Documents with the same set are one class from
 then on. The order of hashes is cut into fragments; the overlap of a pair is counted in each fragment apart
 and summed per pair. Candidates are pairs with a common n-gram in their prefixes, whose sizes allow
@@ -25,7 +25,11 @@ documents have are looked up by broadcast, so that no hot n-gram, group of copie
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -42,6 +46,8 @@ _CACHE: dict[bytes, int] = {}
 #: Cells of the frequency table: 16 MB, whatever the corpus.
 _CELLS = 1 << 24
 _CELL_SHIFT = np.uint64(40)
+#: Cells that travel together.
+_BLOCK = 1 << 14
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -77,27 +83,62 @@ def _prefix(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-def frequency_levels(docs: DataFrame, n: int, one_in: int) -> np.ndarray:
+def _counted(parts: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """block, counts: how many n-grams of a task's texts fall into each cell, packed in blocks of cells, empty ones left out."""
+    cells = np.zeros(_CELLS, dtype=np.uint16)
+
+    def packed() -> pa.RecordBatch:
+        blocks = cells.reshape(-1, _BLOCK)
+        said = np.flatnonzero(blocks.any(axis=1))
+        return pa.RecordBatch.from_pydict({"block": pa.array(said, pa.int32()), "counts": pa.array([zlib.compress(blocks[k].tobytes(), 1) for k in said], pa.binary())})
+
+    for batch in parts:
+        texts = batch.column("text")
+        for at in range(0, batch.num_rows, 256):
+            got = np.concatenate([shingle_hashes(t, n) for t in texts.slice(at, 256).to_pylist()])
+            own, more = np.unique((got >> _CELL_SHIFT).astype(np.int64), return_counts=True)
+            while len(own):
+                take = np.minimum(more, 65535 - cells[own].astype(np.int64))
+                cells[own] += take.astype(np.uint16)
+                own, more = own[more > take], (more - take)[more > take]
+                if len(own):  # a cell is full: hand over what there is
+                    yield packed()
+                    cells[:] = 0
+    yield packed()
+
+
+def frequency_levels(docs: DataFrame, n: int, one_in: int = 1) -> np.ndarray:
     """How frequent n-grams are, by the cell of their hash: 0 for rare ones, one more for each doubling of the count.
 
-    Documents are counted in a sample, one in ``one_in`` by hash. A cell shares its count among the n-grams that fall
-    into it, so that counts up to twice the mean, or up to 3, say nothing and are 0. The array has a fixed size; what reaches the
-    driver are cells above twice the mean, half of them at most.
+    All documents are counted, unless ``one_in`` asks for a sample by hash. A cell shares its count among the n-grams that
+    fall into it, so that counts up to twice the mean, or up to 3, say nothing and are 0. A task shuffles its cells as packed
+    blocks, not n-grams; what reaches the driver is one byte a cell, of a fixed number of cells.
     """
 
-    def work(part: pa.RecordBatch) -> dict:
-        got = np.concatenate([shingle_hashes(t, n) for t in part.column("text").to_pylist()])
-        v, c = np.unique((got >> _CELL_SHIFT).astype(np.int32), return_counts=True)
-        return {"cell": v, "n": c}
+    def added(blocks: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(_BLOCK, dtype=np.int64)
+        for x in blocks["counts"]:
+            total += np.frombuffer(zlib.decompress(x), dtype=np.uint16)
+        return pd.DataFrame({"block": [blocks["block"].iloc[0]], "n": [int(total.sum())], "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    taken = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(one_in)) == 0).select("text")
-    counts = written(map_slices(taken, work, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")), "frequency")
+    taken = docs.select("text") if one_in == 1 else docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(one_in)) == 0).select("text")
+    counted = taken.mapInArrow(lambda parts: _counted(parts, n), "block int, counts binary")
+    counts = written(counted.groupBy("block").applyInPandas(added, "block int, n bigint, counts binary"), "frequency")
     noise = max(3.0, 2 * (counts.agg(F.sum("n")).first()[0] or 0) / _CELLS)
-    rows = counts.filter(F.col("n") > noise).select("cell", (F.floor(F.log2(F.col("n") / noise)) + 1).cast("tinyint").alias("level")).toArrow()
+
+    def levelled(part: pa.RecordBatch) -> dict:
+        rows = []
+        for x in part.column("counts").to_pylist():
+            c = np.frombuffer(zlib.decompress(x), dtype=np.int64)
+            rows.append(np.where(c > noise, np.floor(np.log2(np.maximum(c, 1) / noise)) + 1, 0).astype(np.uint8).tobytes())
+        return {"block": part.column("block"), "levels": rows}
+
+    rows = map_slices(counts.select("block", "counts"), levelled, "block int, levels binary").toArrow()
     discard(counts)
-    levels = np.zeros(_CELLS, dtype=np.uint8)
-    levels[rows.column("cell").to_numpy()] = rows.column("level").to_numpy()
-    return levels
+    levels = np.zeros((_CELLS // _BLOCK, _BLOCK), dtype=np.uint8)
+    for k, x in zip(rows.column("block").to_pylist(), rows.column("levels").to_pylist()):
+        levels[k] = np.frombuffer(x, dtype=np.uint8)
+    return levels.reshape(-1)
 
 
 def sets(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> DataFrame:
@@ -204,7 +245,7 @@ def _buckets(now: DataFrame, most: int) -> DataFrame:
     return met.filter((F.col("x.lo") < F.col("x.hi")) | (F.col("x.rep") < F.col("y.rep")))
 
 
-def join_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments: int = 4, one_in: int = 16, rounds: int = 2, every_link: bool = False, bucket: int = 2000) -> DataFrame:
+def join_components(docs: DataFrame, n: int = 3, percent: int = 90, fragments: int = 4, one_in: int = 1, rounds: int = 2, every_link: bool = False, bucket: int = 2000) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id, n_class_links.
 
     n_class_links counts the other classes that the class links with, if ``every_link`` is set; else it is null.

@@ -1,4 +1,7 @@
+import zlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpus_spark.llm import jaccard, neighbours
@@ -192,3 +195,16 @@ def test_saturated_lists_grow(spark):
     for wide, want in ((4, 4), (8, 8), (48, 20)):
         got = neighbours._best(edges.repartition(3), 4, wide, 0.98).groupBy("src").count().collect()
         assert dict(got) == {1: want, 2: 4}
+
+
+def test_levels_are_counted_over_all_documents(spark):
+    """An n-gram of 40 of 4,000 documents has the level that all of them give; full cells are handed over and summed."""
+    rows = [(k, f"a b c w{k} v{k} u{k}" if k % 100 == 0 else f"w{k} v{k} u{k}") for k in range(4000)]
+    levels = jaccard.frequency_levels(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3)
+    cell = lambda t: int(jaccard.shingle_hashes(t, 3)[0] >> np.uint64(40))
+    assert levels.shape == (1 << 24,) and levels.dtype == np.uint8
+    assert levels[cell("a b c")] == int(np.log2(40 / 3)) + 1 and levels[cell("w1 v1 u1")] == 0
+    assert (levels > 0).sum() == 1
+    many = [pa.RecordBatch.from_pydict({"text": ["x y z"] * 70_000})]
+    packed = [np.frombuffer(zlib.decompress(x), dtype=np.uint16) for p in jaccard._counted(iter(many), 3) for x in p.column("counts").to_pylist()]
+    assert len(packed) == 2 and sum(int(x.sum()) for x in packed) == 70_000
