@@ -13,6 +13,8 @@ from corpus_spark.functions.text import collapse, sentences
 
 #: Queries travel to every task; more than this go in several rounds.
 MOST_QUERIES = 10_000
+#: Scores that a task holds at once, 8 MB of them; ranking takes a few copies.
+MOST_SCORES = 1_000_000
 
 
 def chunk(documents: DataFrame, size: int = 1200, overlap: int = 200) -> DataFrame:
@@ -77,6 +79,14 @@ def _best_of(rows: pd.DataFrame, scores: np.ndarray, ids: np.ndarray, k: int, pl
     return out
 
 
+def _best_in_turns(rows: pd.DataFrame, x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, place: list[str], item_id: str, digits: int | None) -> Iterator[pd.DataFrame]:
+    """``_best_of`` for some queries at a time, so that a task never holds the scores of all of them."""
+    width = max(1, MOST_SCORES // len(rows))
+    for at in range(0, len(ids), width):
+        s = x @ q[at : at + width].T
+        yield _best_of(rows, s if digits is None else np.round(s, digits), ids[at : at + width], k, place, item_id)
+
+
 def nearest(items: DataFrame, queries: DataFrame, k: int, item_id: str, location: Sequence[str], vector: str = "embedding", digits: int | None = None) -> DataFrame:
     """query_id, location, item_id, score, rank: the k best by cosine for each query, one per location.
 
@@ -104,8 +114,7 @@ def _nearest(items: DataFrame, queries: DataFrame, k: int, item_id: str, locatio
         for pdf in parts:
             for at in range(0, len(pdf) if len(ids) else 0, 2000):
                 part = pdf.iloc[at : at + 2000]
-                s = _unit(part["v"]) @ q.T
-                rows = _best_of(part.drop(columns="v"), s if digits is None else np.round(s, digits), ids, k, list(location), item_id)
+                rows = pd.concat(_best_in_turns(part.drop(columns="v"), _unit(part["v"]), ids, q, k, list(location), item_id, digits))
                 rows = rows if held is None else pd.concat([held, rows])
                 rows = rows.sort_values(["query_id", "score", item_id], ascending=[True, False, True]).drop_duplicates(["query_id", *location])
                 held = rows[rows.groupby("query_id").cumcount() < k]

@@ -134,3 +134,18 @@ def test_manifests_are_not_moved_one_by_one(spark, tmp_path, monkeypatch):
     assert sorted((r["experiment"], r["best"]) for r in got.collect()) == sorted((f"e{k}", None if k % 2 else f"S{k}") for k in range(300))
     assert "Text" not in plan(got)
     assert len(list((tmp_path / "manifests").glob("*.txt"))) == 6
+
+
+def test_scores_of_many_queries_are_held_in_turns(monkeypatch):
+    """No more scores at once than the bound, and the turns give what one turn gives."""
+    import pandas as pd
+
+    x = np.random.default_rng(5).integers(-9, 9, (600, 8)).astype(float)
+    rows, ids, sizes, before = pd.DataFrame({"id": range(600)}), np.arange(1000), [], retrieval._best_of
+    q = np.random.default_rng(6).integers(-9, 9, (1000, 8)).astype(float)
+    monkeypatch.setattr(retrieval, "MOST_SCORES", 60_000)
+    monkeypatch.setattr(retrieval, "_best_of", lambda rows, scores, *more: sizes.append(scores.size) or before(rows, scores, *more))
+    show = lambda df: sorted(map(tuple, df[["query_id", "id", "score"]].to_numpy().tolist()))
+    got = pd.concat(retrieval._best_in_turns(rows, x, ids, q, 3, ["id"], "id", 9))
+    assert max(sizes) <= 60_000 and sum(sizes) == 600_000
+    assert show(got) == show(before(rows, np.round(x @ q.T, 9), ids, 3, ["id"], "id"))
