@@ -19,7 +19,12 @@ META = {"Thonia": ("city", "Thonia"), "Estia": ("district", "Thonia"), "Dela": (
 POSITIVE, NEGATIVE = ("thon", "est", "des", "ist"), ("er", "und", "une", "no")
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get(_BATCH).rstrip("b") == str(64 << 20):
+        spark.conf.set(_BATCH, str(4 << 20))  # Spark's own 64 MB is held several times over by each Python worker
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

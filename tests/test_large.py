@@ -149,3 +149,13 @@ def test_scores_of_many_queries_are_held_in_turns(monkeypatch):
     got = pd.concat(retrieval._best_in_turns(rows, x, ids, q, 3, ["id"], "id", 9))
     assert max(sizes) <= 60_000 and sum(sizes) == 600_000
     assert show(got) == show(before(rows, np.round(x @ q.T, 9), ids, 3, ["id"], "id"))
+
+
+def test_python_gets_texts_in_small_batches(spark, tmp_path):
+    from corpus_spark.plans import bindings
+
+    spark.range(1).write.parquet(f"{tmp_path}/documents.parquet")
+    bindings.table(spark, str(tmp_path), "documents")
+    said = F.pandas_udf(lambda s: s.map(lambda _: len(s)), "long")
+    texts = spark.range(0, 6000, 1, 1).select(F.concat(F.repeat(F.lit("x"), 3000), F.col("id").cast("string")).alias("t"))
+    assert texts.select(said("t").alias("n")).agg(F.max("n")).first()[0] < 2000
