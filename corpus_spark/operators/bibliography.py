@@ -102,18 +102,22 @@ def relevance(candidates: DataFrame, required: Sequence[str], optional: Sequence
     must, may = clean(required), clean(optional)
     hits = lambda text, terms: sum((text.contains(t).cast("int") for t in terms), F.lit(0))
     share = lambda text: hits(text, must + may) / float(len(must + may)) if must + may else F.lit(0.0)
-    title, abstract = tidy(F.col("title")), tidy(F.col("abstract"))
-    everything = tidy(F.concat(F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), " "), F.lit(" "), F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract", F.lit(""))))
+    # a generator's output can't be worked out again in a filter below it: each text is tidied once, whatever is asked of it
+    texts = F.struct(tidy(F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), " ")).alias("keywords"), tidy(F.col("title")).alias("title"), tidy(F.col("abstract")).alias("abstract"))
+    rows = candidates.select("*", F.explode_outer(F.array(texts)).alias("_tidy"))
+    title, abstract = F.col("_tidy.title"), F.col("_tidy.abstract")
+    joined = lambda *parts: F.concat_ws(" ", *(F.nullif(F.col(f"_tidy.{c}"), F.lit("")) for c in parts))
+    everything = joined("keywords", "title", "abstract")
     keyword = 0.7 * (hits(everything, must) / float(len(must)) if must else F.lit(1.0)) + 0.3 * (hits(everything, may) / float(len(may)) if may else F.lit(0.0))
     year, cited = F.coalesce("year", F.lit(0)), F.coalesce("citation_count", F.lit(0))
     recency = F.when(year == 0, 0.0).when((year < year_from) | (year > year_to), -0.1).otherwise(0.05 * ((year - year_from) / float(max(1, year_to - year_from))))
     citation = F.when(cited == 0, 0.0).otherwise(F.least(F.lit(0.08), F.log10(cited + 1) * 0.03))
     open_ = F.when(F.coalesce("open_access", F.lit(False)) | (F.coalesce("pdf_url", F.lit("")) != ""), 0.05).otherwise(0.0)
     score = F.least(F.lit(1.0), weights[0] * share(title) + weights[1] * share(abstract) + weights[2] * keyword + recency + citation + open_)
-    matched = F.array_compact(F.array(*(F.when(tidy(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract", F.lit("")))).contains(t), F.lit(t)) for t in must))) if must else F.array().cast("array<string>")
+    matched = F.array_compact(F.array(*(F.when(joined("title", "abstract").contains(t), F.lit(t)) for t in must))) if must else F.array().cast("array<string>")
     two = lambda name, c: F.concat(F.lit(f"{name}="), F.format_string("%.2f", c))
     reason = F.concat_ws("; ", two("title_score", share(title)), two("abstract_score", share(abstract)), two("keyword_score", keyword), F.when(F.size(matched) > 0, F.concat(F.lit("matched required terms: "), F.array_join(matched, ", "))), F.when(open_ > 0, F.lit("OA/PDF available")), F.when(F.col("citation_count").isNotNull(), F.concat(F.lit("cited_by_count="), F.col("citation_count").cast("string"))), F.when(recency != 0, two("recency_bonus", recency)), F.when(citation != 0, two("citation_bonus", citation)))
-    return candidates.withColumns({"relevance_score": F.bround(score, 4), "reason": reason})
+    return rows.withColumns({"relevance_score": F.bround(score, 4), "reason": reason}).drop("_tidy")
 
 
 def fill_pdf(candidates: DataFrame) -> DataFrame:

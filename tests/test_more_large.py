@@ -1,10 +1,11 @@
 """Tables in one scan, streams through interruptions, codebooks of many levels, plans without repeated work."""
 
 import datetime as dt
+import math
 
 from pyspark.sql import functions as F
 
-from corpus_spark.operators import coding, lexicon, windows
+from corpus_spark.operators import bibliography, coding, lexicon, windows
 from corpus_spark.operators import distributions as D
 from corpus_spark.plans import corpus
 from corpus_spark.streaming import rollup
@@ -80,3 +81,18 @@ def test_texts_are_worked_out_once(spark):
     assert optimized(QUERIES["t5_preprocess"](spark, sf)).count("regexp_replace") <= 12
     assert optimized(QUERIES["r1_chunks"](spark, sf)).count("regexp_replace") <= 2
     assert optimized(QUERIES["w8_tfidf_labels"](spark, sf)).count("regexp_extract_all") == 0  # counts of terms were written
+
+
+def test_relevance_tidies_a_text_once_though_scores_are_filtered(spark):
+    rows = [("c1", "The  Title", " Thon\tthe eau ", ["the", "x"], 2010, 5, None, ""), ("c2", None, None, None, 0, None, True, ""), ("c3", "a", "", ["of the"], 1990, 0, None, "p")]
+    docs = spark.createDataFrame(rows, "candidate_id string, title string, abstract string, keywords array<string>, year int, citation_count int, open_access boolean, pdf_url string")
+    scored = bibliography.relevance(docs, ["the", "the title thon"], ["x the"], 2005, 2020)
+    # terms may reach over the borders of keywords, title and abstract
+    hits = {"c1": (1, 1, 3), "c2": (0, 0, 0), "c3": (0, 0, 1)}
+    more = {"c1": 0.05 * 5 / 15 + math.log10(6) * 0.03, "c2": 0.05, "c3": -0.1 + 0.05}
+    want = {k: 0.45 * t / 3 + 0.35 * a / 3 + 0.2 * (0.7 * min(e, 2) / 2 + 0.3 * max(0, e - 2)) + more[k] for k, (t, a, e) in hits.items()}
+    got = {r["candidate_id"]: r for r in scored.collect()}
+    assert {k: r["relevance_score"] for k, r in got.items()} == {k: round(v, 4) for k, v in want.items()}
+    assert "matched required terms: the, the title thon" in got["c1"]["reason"]
+    for part in bibliography.select(scored, 0.2):
+        assert optimized(part.select("candidate_id", "relevance_score")).count("regexp_replace(") == 3
