@@ -77,16 +77,32 @@ def _among(terms: Sequence[str]) -> Column:
     return F.array(*(F.lit(t) for t in sorted({x.lower() for x in terms})))
 
 
+#: Punctuation that is no part of a token at its ends.
+_ENDS = ".,!?;:()[]{}\"'"
+
+
 def sentiment(text: Column, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE) -> Column:
-    tokens = F.array_distinct(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda t: F.lower(F.btrim(t, F.lit(".,!?;:()[]{}\"'")))))
-    found = lambda t, words: F.size(F.array_intersect(t, F.array(*map(F.lit, words))))
+    """Which side has more distinct words among the tokens, in lower case and without punctuation at their ends."""
+    # a word with white space or with punctuation at its ends is no token
+    words = sorted({w for w in (*positive, *negative) if w and not w[0] in _ENDS and not w[-1] in _ENDS and w.split() == [w]})
+    ends = "[" + "".join("\\" + c for c in _ENDS) + "]*"
+    one = "(?U)(?<!\\S)" + ends + "(" + "|".join("\\Q" + w + "\\E" for w in words) + ")" + ends + "(?!\\S)"
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(one), F.lit(1))) if words else F.array().cast("array<string>")
+    found = lambda t, words: F.size(F.array_intersect(t, F.array(*map(F.lit, words)).cast("array<string>")))
     side = F.sign(once(tokens, lambda t: found(t, positive) - found(t, negative))).cast("int")
     return F.element_at(F.array(F.lit("negative"), F.lit("neutral"), F.lit("positive")), side + 2)
 
 
 def theme(text: Column, themes: Mapping[str, Sequence[str]] = THEMES, default: str = THEME_DEFAULT) -> Column:
     """The label with most distinct terms found as whole words."""
-    found = whole_words(F.coalesce(text, F.lit("")), [t for terms in themes.values() for t in terms])
+    return once(whole_words(F.coalesce(text, F.lit("")), _all_terms(themes)), lambda f: _theme_among(f, themes, default))
+
+
+def _all_terms(lists: Mapping[str, Sequence[str]]) -> list[str]:
+    return [t for terms in lists.values() for t in terms]
+
+
+def _theme_among(found: Column, themes: Mapping[str, Sequence[str]], default: str) -> Column:
     return once(found, lambda f: _first_best([F.size(F.array_intersect(f, _among(terms))) for terms in themes.values()], list(themes), default))
 
 
@@ -98,11 +114,13 @@ def perception(text: Column, labels: Mapping[str, Sequence[str]] = PERCEPTIONS,
 
 def places(text: Column, gazetteer: Mapping[str, Sequence[str]]) -> Column:
     """All names with an alias in the text as whole words, in the gazetteer's order."""
-    value = T.collapse(F.lower(F.coalesce(text, F.lit(""))))
+    return _places_among(whole_words(T.collapse(F.lower(F.coalesce(text, F.lit("")))), _all_terms(gazetteer)), gazetteer)
+
+
+def _places_among(found: Column, gazetteer: Mapping[str, Sequence[str]]) -> Column:
     known = [(name, aliases) for name, aliases in gazetteer.items() if aliases]
     if not known:
         return F.array().cast("array<string>")
-    found = whole_words(value, [a for _, aliases in known for a in aliases])
     return once(found, lambda f: F.array_compact(F.array(*(F.when(F.arrays_overlap(f, _among(aliases)), F.lit(name)) for name, aliases in known))))
 
 
@@ -135,12 +153,16 @@ def label_all(
     df: DataFrame, text: str, gazetteer: Mapping[str, Sequence[str]], compatibility: bool = True, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE,
     themes: Mapping[str, Sequence[str]] = THEMES, theme_default: str = THEME_DEFAULT, perceptions: Mapping[str, Sequence[str]] = PERCEPTIONS, perception_default: str = PERCEPTION_DEFAULT,
 ) -> DataFrame:
-    """Cleaned text, language, sentiment, theme, places and perception in one narrow pass."""
+    """Cleaned text, language, sentiment, theme, places and perception in one narrow pass.
+
+    The terms of themes and places are found together: clean text has no white space that place names would collapse.
+    """
     low = df.withColumn("clean_text", T.clean_text(F.col(text), compatibility)).withColumn("low", F.lower("clean_text"))
+    low = low.withColumn("found", whole_words(F.col("low"), [*_all_terms(themes), *_all_terms(gazetteer)]))
     return low.select(
-        "*", T.language(F.col("clean_text")).alias("lang"), sentiment(F.col("low"), positive, negative).alias("sentiment"), theme(F.col("low"), themes, theme_default).alias("theme"),
-        places(F.col("low"), gazetteer).alias("toponyms"), perception(F.col("low"), perceptions, perception_default).alias("place_perception"),
-    ).drop("low")
+        "*", T.language(F.col("clean_text")).alias("lang"), sentiment(F.col("low"), positive, negative).alias("sentiment"), _theme_among(F.col("found"), themes, theme_default).alias("theme"),
+        _places_among(F.col("found"), gazetteer).alias("toponyms"), perception(F.col("low"), perceptions, perception_default).alias("place_perception"),
+    ).drop("low", "found")
 
 
 def in_scope(df: DataFrame, scope: str) -> DataFrame:

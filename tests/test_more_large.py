@@ -96,3 +96,15 @@ def test_relevance_tidies_a_text_once_though_scores_are_filtered(spark):
     assert "matched required terms: the, the title thon" in got["c1"]["reason"]
     for part in bibliography.select(scored, 0.2):
         assert optimized(part.select("candidate_id", "relevance_score")).count("regexp_replace(") == 3
+
+
+def test_labels_find_their_terms_together(spark):
+    rows = [(1, "The déjà  vu, «über» Ёлка"), (2, "ﬁne ² text in the end"), (3, "été una"), (4, None), (5, "สวัสดี the hello"), (6, "привет the hello"), (7, "12 !"), (8, " 'good!' (bad), good bad. problem... xgood "), (9, "good-bad")]
+    docs = spark.createDataFrame(rows, "row_id int, comment string")
+    got = lexicon.label_all(docs, "comment", {"End": ("in the end",), "Vu": ("vu", "déjà vu")}, themes={"a": ("the", "una"), "b": ("vu", "end", "the end")}, theme_default="none")
+    assert optimized(got).count("regexp_extract_all(") < optimized(docs.select(lexicon.theme(F.col("comment"), {"a": ("the", "una"), "b": ("vu", "end", "the end")}), lexicon.places(F.col("comment"), {"End": ("in the end",), "Vu": ("vu", "déjà vu")}), lexicon.sentiment(F.col("comment")))).count("regexp_extract_all(")
+    found = {r["row_id"]: (r["clean_text"], r["lang"], r["sentiment"], r["theme"], r["toponyms"]) for r in got.collect()}
+    assert found == {
+        1: ("The déjà vu, «über» Ёлка", "en", "neutral", "a", ["Vu"]), 2: ("fine 2 text in the end", "en", "neutral", "b", ["End"]), 3: ("été una", "en", "neutral", "a", []), 4: ("", "other", "neutral", "none", []),
+        5: ("สวัสดี the hello", "en", "neutral", "a", []), 6: ("привет the hello", "en", "neutral", "a", []), 7: ("12 !", "other", "neutral", "none", []), 8: ("'good!' (bad), good bad. problem... xgood", "en", "negative", "none", []), 9: ("good-bad", "en", "neutral", "none", []),
+    }
