@@ -85,17 +85,20 @@ def _tokens(df: DataFrame, topic: str, doc: str, text: str, pattern: str) -> Dat
     return df.select(topic, doc, F.explode_outer(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(pattern), F.lit(0))).alias("term")).filter(F.col("term").isNotNull())
 
 
-def tfidf_labels(df: DataFrame, topic: str = "topic_id", doc: str = "doc_id", text: str = "text", top: int = 5, vocabulary: int = 2000) -> DataFrame:
+def tfidf_labels(df: DataFrame, topic: str = "topic_id", doc: str = "doc_id", text: str = "text", top: int = 5, vocabulary: int = 2000, few: int = 200_000) -> DataFrame:
     """topic, term, score, rank: mean of unit-length tf-idf rows over all documents of the topic.
 
-    Tokens are counted by (topic, document, term) first; everything after works on those counts.
+    Tokens are counted by (topic, document, term) first; everything after works on those counts. Documents are dealt out
+    whole, so that their many tokens are counted where they are found, and the counts meet the vocabulary without moving
+    unless it has more than ``few`` terms.
     """
-    tf = written(_tokens(df, topic, doc, text, r"(?U)\b\w{3,}\b").groupBy(topic, doc, "term").agg(F.count("*").alias("tf")), "term-counts")
+    dealt = df.select(topic, doc, text).repartition(topic, doc)
+    tf = written(_tokens(dealt, topic, doc, text, r"(?U)\b\w{3,}\b").groupBy(topic, doc, "term").agg(F.count("*").alias("tf")), "term-counts")
     docs = df.groupBy(topic).agg(F.count("*").alias("n"))
     terms = tf.groupBy(topic, "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     known = terms.withColumn("_r", F.row_number().over(Window.partitionBy(topic).orderBy(F.desc("total"), "term"))).filter(F.col("_r") <= vocabulary)
-    idf = known.join(docs, topic).select(topic, "term", "n", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weight = tf.join(idf, [topic, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    idf = written(known.join(docs, topic).select(topic, "term", "n", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+    weight = tf.join(F.broadcast(idf) if idf.count() <= few else idf, [topic, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(topic, doc)))
     scores = weight.withColumn("u", F.col("w") / norm).groupBy(topic, "term").agg((F.sum("u") / F.first("n")).alias("score"))
     rank = F.row_number().over(Window.partitionBy(topic).orderBy(F.desc(F.round("score", 9)), F.desc("term")))

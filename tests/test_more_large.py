@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from corpus_spark.operators import bibliography, coding, lexicon, windows
+from corpus_spark.operators import bibliography, coding, lexicon, topics, windows
 from corpus_spark.operators import distributions as D
 from corpus_spark.plans import corpus
 from corpus_spark.streaming import rollup
@@ -108,3 +108,11 @@ def test_labels_find_their_terms_together(spark):
         1: ("The déjà vu, «über» Ёлка", "en", "neutral", "a", ["Vu"]), 2: ("fine 2 text in the end", "en", "neutral", "b", ["End"]), 3: ("été una", "en", "neutral", "a", []), 4: ("", "other", "neutral", "none", []),
         5: ("สวัสดี the hello", "en", "neutral", "a", []), 6: ("привет the hello", "en", "neutral", "a", []), 7: ("12 !", "other", "neutral", "none", []), 8: ("'good!' (bad), good bad. problem... xgood", "en", "negative", "none", []), 9: ("good-bad", "en", "neutral", "none", []),
     }
+
+
+def test_tfidf_counts_where_documents_lie_and_vocabulary_is_broadcast(spark):
+    said = [("a", k % 7, f"word{k % 5} word{k % 3} common Common xy") for k in range(40)] + [("b", None, "other words here words"), ("b", 1, None)]
+    docs = spark.createDataFrame(said, "topic_id string, doc_id int, text string")
+    got, shuffled = topics.tfidf_labels(docs), topics.tfidf_labels(docs, few=0)
+    assert rows(got) == rows(shuffled) and {r[0] for r in rows(got)} == {"a", "b"}
+    assert "strategy=broadcast" in optimized(got) and "strategy=broadcast" not in optimized(shuffled)
