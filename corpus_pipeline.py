@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_spark.llm import jaccard, langid, packing, places, quality
-from corpus_spark.llm.common import discard, table, whole, written
+from corpus_spark.llm.common import discard, small_batches, table, whole, written
 from corpus_spark.llm.queries import vocabulary
 
 
@@ -25,6 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A row without text, or with too few words, goes; ties and repeats are those of ``quality.assess``.
     """
+    small_batches(spark)
     docs = places.placed(docs)
     numbers = places.files(docs)
     verdict = quality.assess(places.keyed(docs, numbers, "doc_id", ["doc_id", "source", "text"]))
@@ -36,6 +37,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A row with null text goes. Where no row is labelled nothing can be told, and all rows go.
     """
+    small_batches(spark)
     model = vocabulary("piece_bpe_32k.model")
     langs, prob = langid.fit(docs.filter(~langid.held_out()).select("doc_id", "text", "lang"), model)
     pred, score = "the language", "its score"
@@ -48,6 +50,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Among equal ids the row that stands first in the files stays. Rows without words link with nothing.
     """
+    small_batches(spark)
     docs = places.placed(docs)
     numbers = places.files(docs)
     found = jaccard.join_components(places.keyed(docs, numbers, "doc_id", ["doc_id", "text"]), n=5, percent=80).select("doc_id", "component_id")
@@ -64,6 +67,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens: one row for each piece of a document; null text is the end token alone."""
+    small_batches(spark)
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
 
 

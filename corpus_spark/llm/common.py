@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpus_spark.sources.scratch import discard, scratch_dir, spread, written  # noqa: F401
+from corpus_spark.sources.scratch import discard, scratch_dir, small_batches, spread, written  # noqa: F401
 
 #: Words are runs of bytes outside these, as in ``[^\x20\x09-\x0D]+``.
 ASCII_SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, dealt: bool = True) -> DataFrame:
+    small_batches(spark)
     found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(found) if dealt else found
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpus_spark.functions import text as T
 from corpus_spark.operators import lexicon
-from corpus_spark.sources.scratch import spread
+from corpus_spark.sources.scratch import small_batches, spread
 
 SALT = "test-salt"
 #: Themes, places and words from frequent tokens of the test tables.
@@ -19,12 +19,8 @@ META = {"Thonia": ("city", "Thonia"), "Estia": ("district", "Thonia"), "Dela": (
 POSITIVE, NEGATIVE = ("thon", "est", "des", "ist"), ("er", "und", "une", "no")
 
 
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if spark.conf.get(_BATCH).rstrip("b") == str(64 << 20):
-        spark.conf.set(_BATCH, str(4 << 20))  # Spark's own 64 MB is held several times over by each Python worker
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

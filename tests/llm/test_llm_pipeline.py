@@ -89,3 +89,17 @@ def test_stages_shuffle_no_texts(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         plan = stage(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan, name
+
+
+def test_stages_hand_python_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    try:
+        spark.conf.set(name, str(64 << 20))
+        corpus_pipeline.packing_stage(spark, docs, SF)
+        assert spark.conf.get(name) == str(4 << 20)
+        spark.conf.set(name, str(1 << 20))  # what a session has chosen stays
+        corpus_pipeline.packing_stage(spark, docs, SF)
+        assert spark.conf.get(name) == str(1 << 20)
+    finally:
+        spark.conf.unset(name)
