@@ -42,35 +42,55 @@ def roll_up(messages: DataFrame, width: str = "1 hour", start: str | None = None
 _KEYS = ["source", "group", "window_start", "window_end"]
 
 
-def roll_up_pieces(messages: DataFrame, width: str = "1 hour", start: str | None = None, tiebreak: str = "row_id", text: str = "clean_text", most: int = 16 << 20) -> DataFrame:
+def roll_up_pieces(messages: DataFrame, width: str = "1 hour", start: str | None = None, tiebreak: str = "row_id", text: str = "clean_text", most: int = 16 << 20, size: str | None = None, span: int = 8 << 20) -> DataFrame:
     """source, group, window_start, window_end, piece, text, message_count: windows in pieces of about ``most`` characters.
 
     A piece holds the messages that begin within ``most`` characters of the window's text, newlines counted, so no row
     has more than ``most`` characters and one message. Windows that are no longer have one piece, as from ``roll_up``.
-    Longer ones are sorted in ranges: a range's length and the lengths before it give each message its place, and no
-    task has a whole window.
+    Lengths are placed first, without texts: windows of more than ``span`` characters are cut where a piece begins, about
+    every ``span`` characters. Texts are then moved once, to the cut that they lie in, and no task has a whole window.
+    ``size`` names a column that has the texts' lengths (null for a null text); if it was made before the messages were
+    joined, their lengths move without them.
     """
-    said = F.coalesce(text, F.lit(""))
-    rows = _rows(messages).select("source", "group", _span(width, start).alias("w"), "datetime", tiebreak, F.col(text).alias("text"), (F.length(said) + F.col(text).isNotNull().cast("int")).cast("long").alias("size"))
+    length = F.col(size) if size else F.length(text)
+    rows = _rows(messages).select("source", "group", _span(width, start).alias("w"), "datetime", tiebreak, F.col(text).alias("text"), F.coalesce(length + 1, F.lit(0)).cast("long").alias("size"))
     rows = rows.select("source", "group", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "datetime", tiebreak, "text", "size")
-    hot = written(rows.groupBy(*_KEYS).agg(F.sum("size").alias("n")).filter(F.col("n") > most).select(*_KEYS), "hot-windows")
-    few = F.broadcast(hot) if hot.count() <= 200_000 else hot
     order = ["datetime", tiebreak]
-    ranged = rows.join(few, _KEYS, "left_semi").repartitionByRange(*_KEYS, *order).withColumn("range", F.spark_partition_id())
-    ranged = written(ranged, "hot-messages")
-    totals = ranged.groupBy(*_KEYS, "range").agg(F.sum("size").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(*_KEYS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*_KEYS, "range", F.coalesce(before, F.lit(0)).alias("offset"))
-    upto = F.sum("size").over(Window.partitionBy(*_KEYS, "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    placed = ranged.withColumn("upto", F.coalesce(upto, F.lit(0))).join(offsets, [*_KEYS, "range"])
-    long_ones = placed.withColumn("piece", F.floor((F.col("offset") + F.col("upto")) / most))
-    short_ones = rows.join(few, _KEYS, "left_anti").withColumn("piece", F.lit(0).cast("long"))
-    item = F.struct(*order, F.col("text"))
-    every = long_ones.select(*short_ones.columns).unionByName(short_ones)
-    got = every.groupBy(*_KEYS, "piece").agg(F.array_sort(F.collect_list(item)).alias("items"), F.count("*").alias("message_count"))
+    cuts = _cuts(written(rows.drop("text"), "lengths"), order, most, max(most, span)).withColumnsRenamed({k: f"_{k}" for k in _KEYS})
+    at = F.struct(*order)
+    inside = [*(F.col(k) == F.col(f"_{k}") for k in _KEYS), at >= F.col("low"), F.col("high").isNull() | (at < F.col("high"))]
+    placed = rows.join(F.broadcast(cuts), inside, "left").select(*_KEYS, *order, "text", "size", "begin")
+    part = Window.partitionBy(*_KEYS, "begin").orderBy(*order)  # of both sums, so that texts are sorted once
+    upto = F.coalesce(F.sum("size").over(part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    long = F.col("begin").isNotNull() | (F.sum("size").over(part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > most)
+    placed = placed.withColumn("piece", F.when(long, F.floor((F.coalesce("begin", F.lit(0)) + upto) / most)).otherwise(0))
+    # pieces lie within cuts, so they are collected where the lengths were summed
+    got = placed.groupBy(*_KEYS, "begin", "piece").agg(F.array_sort(F.collect_list(F.struct(*order, "text"))).alias("items"), F.count("*").alias("message_count"))
     return got.select(*_KEYS, "piece", F.array_join(F.transform("items", lambda x: x["text"]), "\n").alias("text"), "message_count")
 
 
+def _cuts(lengths: DataFrame, order: list[str], most: int, span: int) -> DataFrame:
+    """The cuts of windows of more than ``span`` characters: keys, begin (the characters before it), low, high.
+
+    A cut is the first piece of a block of ``span`` characters and what follows it; messages alike in ``order`` stay together.
+    Rows are sorted in ranges: a range's length, those before it and the end of the last one give each message its place.
+    """
+    hot = lengths.groupBy(*_KEYS).agg(F.sum("size").alias("n")).filter(F.col("n") > span).select(*_KEYS)
+    ranged = written(lengths.join(F.broadcast(hot), _KEYS, "left_semi").repartitionByRange(*_KEYS, *order).withColumn("range", F.spark_partition_id()), "hot-lengths")
+    at, inside, ranges = F.struct(*order), Window.partitionBy(*_KEYS, "range").orderBy(*order), Window.partitionBy(*_KEYS).orderBy("range")
+    upto = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.select(*_KEYS, "range", at.alias("at"), "size", upto.alias("upto"), F.lag(at).over(inside).alias("at_before"), F.lag("size").over(inside).alias("size_before"))
+    totals = placed.groupBy(*_KEYS, "range").agg(F.sum("size").alias("n"), F.max("upto").alias("last"))
+    offset = F.coalesce(F.sum("n").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = totals.select(*_KEYS, "range", offset.alias("offset"), (offset - F.lag("n").over(ranges) + F.lag("last").over(ranges)).alias("last_before"))
+    begin, before = F.col("offset") + F.col("upto"), F.coalesce(F.col("offset") + F.col("upto") - F.col("size_before"), F.col("last_before"))
+    # the first of its window, or of a piece and not a tie of the message before, which can't be in another range
+    first = before.isNull() | ((F.floor(begin / most) > F.floor(before / most)) & (F.col("at_before").isNull() | (F.col("at") != F.col("at_before"))))
+    firsts = placed.join(ahead, [*_KEYS, "range"]).filter(first).groupBy(*_KEYS, F.floor(begin / span)).agg(F.min(F.struct(begin.alias("begin"), "at")).alias("cut"))
+    high = F.lead("cut.at").over(Window.partitionBy(*_KEYS).orderBy("cut"))
+    return written(firsts.select(*_KEYS, F.col("cut.begin").alias("begin"), F.col("cut.at").alias("low"), high.alias("high")), "cuts")
+
+
 def number(documents: DataFrame, template: str = "doc_%08d", keys: tuple[str, ...] = ("source", "group", "window_start"), name: str = "doc_id") -> DataFrame:
     """Dense ids in the order of ``keys``: ranges are sorted apart, and each range starts after the sizes before it.
 

@@ -30,6 +30,13 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(e, d["doc_id"] == e["event_id"]).select(F.col("doc_id").alias("row_id"), F.col("ts").alias("datetime"), F.col("user_id").cast("string").alias("author"), F.col("event_type").alias("group"), F.col("text").alias("comment"), "source")
 
 
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with clean text and its length as ``chars``, both made before documents meet events, so that lengths move without texts."""
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", "source", T.clean_text(F.col("text")).alias("clean_text")).withColumn("chars", F.length("clean_text"))
+    e = table(spark, sf_dir, "events")
+    return d.join(e, d["doc_id"] == e["event_id"]).select(F.col("doc_id").alias("row_id"), F.col("ts").alias("datetime"), F.col("event_type").alias("group"), "source", "clean_text", "chars")
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with clean text, language and all labels."""
     m = lexicon.label_all(messages(spark, sf_dir), "comment", GAZETTEER, positive=POSITIVE, negative=NEGATIVE, themes=THEMES, theme_default=THEME_DEFAULT, perceptions=PERCEPTIONS, perception_default="none")

@@ -107,7 +107,7 @@ p AS (SELECT *, coalesce(sum(length(clean_text) + 1) OVER (PARTITION BY source,
 SELECT source, "group", strftime(t, '%Y-%m-%d %H:%M:%S') AS window_start, CASE WHEN whole > 3000 THEN upto // 3000 ELSE 0 END::BIGINT AS piece, string_agg(clean_text, chr(10) ORDER BY datetime, row_id) AS text, count(*) AS message_count FROM p GROUP BY ALL""")
 def w1_window_pieces(spark, d):
     """Weeks in pieces of about 3,000 characters."""
-    got = windows.roll_up_pieces(Z.labelled(spark, d), "7 days", "4 days", most=3000)
+    got = windows.roll_up_pieces(Z.cleaned(spark, d), "7 days", "4 days", most=3000, size="chars")
     return got.select("source", "group", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "piece", "text", "message_count")
 
 

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import hashlib
+import random
+import re
 
 import duckdb
 import numpy as np
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from corpus_spark.operators import retrieval, sampling, vector_index, windows
+from corpus_spark.plans import bindings as Z
+from corpus_spark.sources import scratch
 
 
 def plan(df):
@@ -72,6 +76,56 @@ def test_window_pieces(spark):
     assert {(r["group"], r["window_start"]): r["text"] for r in whole.collect()} == want
 
 
+@pytest.mark.parametrize(("most", "span"), [(500, 1), (500, 3000), (40, 900), (500, 8 << 20)])
+def test_pieces_are_cut_without_texts(spark, monkeypatch, most, span):
+    """Ties, copies of a message, nulls and messages longer than a piece, in windows over several ranges; texts move once."""
+    tables, t0, rnd = {}, dt.datetime(2024, 1, 1), random.Random(5)
+    monkeypatch.setattr(windows, "written", lambda df, name: tables.setdefault(name, scratch.written(df, name)))
+    say = lambda k: None if k % 11 == 0 else "" if k % 13 == 0 else f"{k} " + "x" * rnd.choice([1, 5, 30, 700 if k % 50 == 0 else 2])
+    rows = [(g, t0 + dt.timedelta(seconds=k // 4), say(k), None if k % 97 == 0 else k) for g, n in (("hot", 2000), ("warm", 300), ("calm", 3), ("exact", 2)) for k in range(1, n)]
+    rows += [("hot", t0 + dt.timedelta(seconds=100), "the same words", 77)] * 120 + [("edge", t0, "y" * (most - 1), 1), ("edge", t0, None, 2), ("edge", t0, None, 3)]
+    m = spark.createDataFrame([(g, "s", t, x, k) for g, t, x, k in rows], "`group` string, source string, datetime timestamp, clean_text string, row_id long").repartition(6)
+    want = {}
+    key = lambda r: (r[0], r[1], r[3] is not None, r[3] or 0, r[2] is not None, r[2] or "")
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=key)
+        size = lambda r: 0 if r[2] is None else len(r[2]) + 1
+        whole, upto = sum(map(size, own)), 0
+        for r in own:
+            want.setdefault((g, upto // most if whole > most else 0), []).append(r)
+            upto += size(r)
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = windows.roll_up_pieces(m, most=most, span=span)
+        assert plan(got).count("Exchange hashpartitioning") == 1
+        found = {(r["group"], r["piece"]): (r["text"], r["message_count"]) for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    assert found == {k: ("\n".join(r[2] for r in v if r[2] is not None), len(v)) for k, v in want.items()}
+    assert not any("text" in df.columns for df in tables.values())
+    cuts = tables["cuts"].groupBy("group").count().collect()
+    assert tables["hot-lengths"].select("range").distinct().count() > 1 if span < 5000 else not cuts
+    assert span > 5000 or {r["group"]: r["count"] for r in cuts}["hot"] > 5
+
+
+def test_lengths_move_without_texts(spark, tmp_path):
+    """Clean text and its length are made below the join with events, and the join for lengths has no texts."""
+    rows = [(k, None if k == 5 else f"a  text {k} http://x.y/z", "s") for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, dt.datetime(2024, 1, 1), "g") for k in range(30)], "event_id long, ts timestamp, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = Z.cleaned(spark, str(tmp_path))
+        said = plan(got.select("row_id", "group", "source", "datetime", "chars"))
+        found = {r["row_id"]: (r["clean_text"], r["chars"]) for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert found == {k: (x, len(x)) for k, x in ((k, "" if k == 5 else f"a text {k}") for k in range(30))}
+    assert "SortMergeJoin" in said and re.search(r"Exchange hashpartitioning\(doc_id.*\n.*Project \[doc_id#\d+L, source#\d+, length\(", said)
+
+
 def test_stored_index(spark, tmp_path):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((40, 8))
