@@ -476,16 +476,15 @@ def e8_snippets(spark, d):
 @query(SQL["w1_windows"].replace("FROM l GROUP BY", "FROM l WHERE length(clean_text) >= 5 GROUP BY"))
 def st1_stream_windows(spark, d):
     """Raw messages to windowed documents on a stream with a watermark; a last row far ahead closes all windows."""
-    from corpus_spark.streaming.rollup import documents_stream
+    from corpus_spark.streaming.rollup import documents_stream, run_available
 
     folder = fresh_path(spark, "stream")
     rows = Z.messages(spark, d).select("row_id", F.col("datetime").cast("timestamp").alias("datetime"), "group", "comment", "source")
     rows.write.parquet(f"{folder}/in/1")
-    last = rows.agg(F.max("datetime").alias("t")).select(F.lit(-1).cast("long").alias("row_id"), (F.col("t") + F.expr("interval 10 days")).alias("datetime"), F.lit("end").alias("group"), F.lit("the end of it").alias("comment"), F.lit("end").alias("source"))
+    last = spark.read.schema(rows.schema).parquet(f"{folder}/in/1").agg(F.max("datetime").alias("t")).select(F.lit(-1).cast("long").alias("row_id"), (F.col("t") + F.expr("interval 10 days")).alias("datetime"), F.lit("end").alias("group"), F.lit("the end of it").alias("comment"), F.lit("end").alias("source"))
     last.write.parquet(f"{folder}/in/2")
     stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/in")
     out = documents_stream(stream, "6 hours", "1 hour", 5)
-    q = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    run_available(out, folder)
     got = spark.read.schema(out.schema).parquet(f"{folder}/out").filter("source <> 'end'")
     return got.select("source", "group", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("window_end"), "period", "text", "message_count")

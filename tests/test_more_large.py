@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import pathlib
 
 from pyspark.sql import functions as F
 
@@ -62,6 +63,40 @@ def test_stream_with_late_and_repeated_rows_and_restarts(spark, tmp_path):
     assert dropped == len(late)
 
 
+def test_stream_keeps_state_on_disk_and_cleans_once(spark, tmp_path):
+    from corpus_spark.plans import queries_more
+
+    store = "spark.sql.streaming.stateStore.providerClass"
+    kind = "row_id long, datetime timestamp, `group` string, comment string, source string"
+    said = [(k, dt.datetime(2024, 5, 1) + dt.timedelta(minutes=k), "g", f"message  number {k}", "s") for k in range(90)]
+    end = (9999, dt.datetime(2024, 6, 1), "end", "the very end", "end")
+
+    def runs(folder, first_store=None):
+        """Two runs, the second from the first one's state."""
+        for n, part in enumerate((said[:40], [*said[40:], end])):
+            spark.createDataFrame(part, kind).coalesce(1).write.parquet(f"{folder}/in/{n}")
+            out = rollup.documents_stream(spark.readStream.schema(kind).option("recursiveFileLookup", True).parquet(f"{folder}/in"))
+            if first_store and n == 0:
+                spark.conf.set(store, first_store)
+            progress = rollup.run_available(out, folder)
+            spark.conf.unset(store)
+            yield progress, spark.read.schema(out.schema).parquet(f"{folder}/out").filter("source = 's'")
+
+    want = [("\n".join(f"message number {k}" for k in range(a, min(a + 60, 90))), min(60, 90 - a)) for a in (0, 60)]
+    on_disk = lambda progress: {any(k.startswith("rocksdb") for k in s["customMetrics"]) for p in progress for s in p["stateOperators"]}
+    for folder, first_store, disk in (("new", None, True), ("old", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider", False)):
+        for progress, got in runs(str(tmp_path / folder), first_store):
+            assert on_disk(progress) == {disk}, folder
+        assert rows(got.select("text", "message_count")) == want, folder
+    plan = optimized(rollup.documents_stream(spark.read.schema(kind).parquet(str(tmp_path / "new/in/*"))))
+    assert plan.count("ArrowEvalPython") == 2  # repair and NFKC
+    scratch = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(scratch.glob("stream-*"))
+    assert queries_more.st1_stream_windows(spark, "/root/testdata/sf0.001").count() > 0
+    (folder,) = set(scratch.glob("stream-*")) - before
+    assert list(folder.rglob("state/0/*/*.zip")) and not list(folder.rglob("state/0/*/*.delta"))
+
+
 def test_codebook_roots(spark):
     chain = [(f"c{k}", f"c{k - 1}" if k else None, "d") for k in range(300)]
     odd = [("x", "nowhere", "d"), ("y", "x", "d"), ("p", "q", "d"), ("q", "p", "d"), ("r", "p", "d"), ("self", "self", "d"), (None, "c1", "d"), (" ", None, "d"), ("c5", "c4", "again")]
