@@ -30,7 +30,8 @@ def documents_stream(messages: DataFrame, width: str = "1 hour", delay: str = "1
 
 _STATE = "spark.sql.streaming.stateStore."
 #: Open windows hold whole texts, which Spark's own store keeps in an executor's heap; RocksDB has them on its disk, and 128 MB in memory.
-_ON_DISK = {f"{_STATE}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{_STATE}rocksdb.boundedMemoryUsage": "true", f"{_STATE}rocksdb.maxMemoryUsageMB": "128"}
+#: fallocate would set aside several MB of disk for each of the many stores.
+_ON_DISK = {f"{_STATE}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{_STATE}rocksdb.boundedMemoryUsage": "true", f"{_STATE}rocksdb.maxMemoryUsageMB": "128", f"{_STATE}rocksdb.allowFAllocate": "false"}
 
 
 @contextmanager
